@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, mixing, quality, tokenfile
+from . import bpe, lm, media, mixing, quality, tokenfile
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, counts = tokenfile.write_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return tokenfile.read_tokens(spark, folder, counts)
@@ -40,7 +44,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_bpe, op6_token_files, op7_media, op9_quality)}
+    return {f.__name__: f for f in (op1_mixing, op2_bpe, op5_lm, op6_token_files, op7_media, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
