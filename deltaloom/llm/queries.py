@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lm, media, mixing, quality, tokenfile
+from . import bpe, lm, media, mixing, pii, quality, tokenfile
 from .common import table
 
 
@@ -38,13 +38,17 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.scored(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_bpe, op5_lm, op6_token_files, op7_media, op9_quality)}
+    return {f.__name__: f for f in (op1_mixing, op2_bpe, op5_lm, op6_token_files, op7_media, op8_pii, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
