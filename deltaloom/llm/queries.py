@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lm, media, mixing, pii, quality, tokenfile
+from . import bpe, embeddings, lm, media, mixing, pii, quality, tokenfile
 from .common import table
 
 
@@ -47,8 +47,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_bpe, op5_lm, op6_token_files, op7_media, op8_pii, op9_quality)}
+    return {f.__name__: f for f in (op1_mixing, op2_bpe, op5_lm, op6_token_files, op7_media, op8_pii, op9_quality, op10_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
