@@ -87,7 +87,8 @@ def mix(docs: DataFrame, keep: Sequence[str] = (), weights: Sequence[float] = (3
     finish = F.when(F.col("target") > 0, F.least(F.col("ends").cast("double"), F.col("target")) / F.col("target")).otherwise(0.0)
     rows = rows.withColumn("virtual_finish", finish)
     # global order: finish times are spread evenly over [0, 1], so equal slices of virtual time are even ranges
-    rows = rows.withColumn("span", F.least(F.lit(buckets - 1), (F.col("virtual_finish") * buckets).cast("int")))
+    # (copies that aren't served stand outside the order; they are spread by their hash)
+    rows = rows.withColumn("span", F.when(F.col("served") > 0, F.least(F.lit(buckets - 1), (F.col("virtual_finish") * buckets).cast("int"))).otherwise(F.col("slice")))
     spans = rows.groupBy("span").agg(F.sum("served").alias("in_span"))
     everything = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, 0)
     spans = spans.select(F.col("span").alias("s_span"), (F.sum("in_span").over(everything) - F.col("in_span")).alias("span_start"))
