@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, jaccard, lm, media, mixing, pii, quality, tokenfile
+from . import bpe, embeddings, jaccard, lm, media, mixing, pii, quality, substrings, tokenfile
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked_documents(table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_bpe, op4_jaccard, op5_lm, op6_token_files, op7_media, op8_pii, op9_quality, op10_embeddings)}
+    return {f.__name__: f for f in (op1_mixing, op2_bpe, op3_substrings, op4_jaccard, op5_lm, op6_token_files, op7_media, op8_pii, op9_quality, op10_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
