@@ -66,7 +66,7 @@ def mix(docs: DataFrame, keep: Sequence[str] = (), weights: Sequence[float] = (3
     spark = docs.sparkSession
     buckets = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), *[F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(keep)])
     slice_ = (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).cast("int")
     rows = rows.withColumn("slice", slice_)
     totals = rows.groupBy("source", "slice").agg(F.sum("size").alias("in_slice"))
@@ -97,7 +97,7 @@ def mix(docs: DataFrame, keep: Sequence[str] = (), weights: Sequence[float] = (3
     rows = rows.join(F.broadcast(spans), F.col("span") == F.col("s_span"))  # as many rows as slices
     rows = rows.withColumn("mix_start", F.col("span_start") + F.col("run"))
     taken = F.greatest(F.lit(0), F.least(F.col("served"), F.col("total_budget") - F.col("mix_start"))).cast("long")
-    return rows.select("doc_id", "source", "size", "source_size", "target", "key", "slice", "place", "copy", "served", "virtual_finish", "mix_start", taken.alias("taken"), *[F.col(f"_keep_{c}").alias(f"keep_{c}") for c in keep])
+    return rows.select("doc_id", "source", "size", "source_size", "target", "key", "slice", "place", "copy", "served", "virtual_finish", "mix_start", taken.alias("taken"), *[F.col(f"_keep_{i}").alias(f"keep_{c}") for i, c in enumerate(keep)])
 
 
 def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
@@ -115,7 +115,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     others = [c for c in columns if c not in ("doc_id", "source")]
     rows = mix(docs, keep=others, **options)
     rows = rows.where((F.col("taken") > 0) & (F.col("taken") * 2 > F.col("size")))
-    return rows.select(*[F.col(c if c in ("doc_id", "source") else f"keep_{c}").alias(c) for c in columns])
+    return rows.select(*[F.col(c if c in ("doc_id", "source") else f"`keep_{c}`").alias(c) for c in columns])
 
 
 OP1_SQL = r"""

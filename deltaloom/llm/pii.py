@@ -198,8 +198,8 @@ def digests(docs: DataFrame, model: dict[int, float] | None = None) -> DataFrame
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of the text replaced by its kind in brackets, and n_chars of the new text."""
-    rows = with_spans(docs)
+    """``docs`` with every span of the text replaced by its kind in brackets, and n_chars, if there is one, of the new text."""
+    rows = with_spans(docs.select(F.struct("*").alias("row"), "text"))  # so that no column of theirs clashes with ours
     # spans by start; one that begins inside what is already masked only lengthens it
     spans = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
@@ -209,10 +209,9 @@ def masked(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"), acc["text"].alias("text"))
 
     rest = lambda acc: F.concat(acc["out"], F.substring(acc["text"], acc["at"] + 1, F.length(acc["text"])))
+    found = F.size("spans") > 0
     text = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.col("text").alias("text")), add, rest)
-    new = F.when(F.size("spans") > 0, text).otherwise(F.col("text"))
-    columns = [c for c in docs.columns]
-    rows = rows.withColumn("text", new)
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*columns)
+    rows = rows.select("row", found.alias("found"), F.when(found, text).otherwise(F.col("text")).alias("text"))
+    own = lambda c: F.col("row").getField(c)
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("found"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(own("n_chars")) if "n_chars" in docs.columns else None}
+    return rows.select(*[(own(c) if new.get(c) is None else new[c]).alias(c) for c in docs.columns])

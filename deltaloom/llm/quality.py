@@ -173,12 +173,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
     return ByteCnn().fit([t.encode() for _, _, t in found], np.array([q for _, q, _ in found], np.float32))
 
 
-def scored(docs: DataFrame, model: ByteCnn | None, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted; with ``keep``, the columns of ``docs`` before score and predicted."""
+def scored(docs: DataFrame, model: ByteCnn | None, keep: str | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted; with ``keep``, the columns of ``docs`` and the score in a column of that name."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model.p if model else None)  # a few thousand numbers
     rows = docs if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = (", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", quality_score double" if keep else "doc_id long, held_out boolean, score double, predicted int")
+    schema = (", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{keep}` double" if keep else "doc_id long, held_out boolean, score double, predicted int")
 
     def make():
         net = ByteCnn() if shared.value else None
@@ -189,7 +189,7 @@ def scored(docs: DataFrame, model: ByteCnn | None, keep: bool = False) -> DataFr
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             score = net.scores(texts) if net else np.ones(len(texts))
             if keep:
-                return pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "quality_score"])
+                return pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, keep])
             held = [bucket(d, 4) == 2 for d in batch.column("doc_id").to_pylist()]
             return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "held_out": pa.array(held), "score": pa.array(score, pa.float64()), "predicted": pa.array((score >= THRESHOLD).astype(np.int32))})
 
@@ -200,5 +200,7 @@ def scored(docs: DataFrame, model: ByteCnn | None, keep: bool = False) -> DataFr
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject, unchanged."""
-    name = "quality_score"
-    return scored(docs, fit_quality(docs, labels), keep=True).where(F.col(name) >= THRESHOLD).select(*docs.columns)
+    name = "score"
+    while name in docs.columns:
+        name = f"_{name}"
+    return scored(docs, fit_quality(docs, labels), keep=name).where(F.col(name) >= THRESHOLD).select(*docs.columns)
