@@ -1,0 +1,405 @@
+"""Mixing, BPE, passages, shingle join, language model, personal data, quality: against brute force on small tables."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from deltaloom.llm import bpe, jaccard, lm, mixing, pii, quality, substrings
+from deltaloom.llm.queries import tokenizer_file
+
+SMALL = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def frame(spark, texts, extra=False, sources=("b", "a", None)):
+    """Rows with ties, nulls and repeats; with ``extra``, columns whose names operators use themselves."""
+    rows = [(i, t, "en", sources[i % len(sources)], None if t is None else len(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    if extra:
+        for name in ("score", "size", "key", "spans", "candidates", "_kept_id", "seed", "marks", "row", "copy"):
+            df = df.withColumn(name, F.lit(1))
+    return df
+
+
+def noise(rng, n, words=40):
+    return " ".join(rng.choice([f"w{i}" for i in range(words)]) for _ in range(n))
+
+
+# mixing
+
+
+def water_level(sizes, weights=(3, 1, 2), share=1.5, most=2):
+    names = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    w = {s: weights[i % 3] for i, s in enumerate(names)}
+    open_, target, left = set(names), {}, share * sum(sizes.values())
+    while open_:
+        level = left / sum(w[s] for s in open_)
+        over = {s for s in open_ if level * w[s] > most * sizes[s]}
+        for s in over or open_:
+            target[s] = most * sizes[s] if over else level * w[s]
+        left -= sum(target[s] for s in over)
+        open_ -= over or set(open_)
+    return target
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mixing_meets_targets(spark, seed):
+    rng = random.Random(seed)
+    texts = [None, "", *[noise(rng, rng.choice([1, 3, 50, 400])) for _ in range(60)]]
+    df = frame(spark, texts, extra=True, sources=("b", "a", None, "a", "a", "ö"))
+    rows = mixing.mixed_sizes(df).collect()
+    assert len(rows) == len(texts)
+    sizes, taken = collections.Counter(), collections.Counter()
+    for r in rows:
+        assert r["size"] == len(WORD.findall(texts[r["doc_id"]] or "")) and 0 <= r["taken"] <= 2 * r["size"]
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+    want = water_level(sizes)
+    for r in rows:
+        assert r["source_size"] == sizes[r["source"]] and math.isclose(r["target"], want[r["source"]])
+    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+    again = mixing.mixed_sizes(df.repartition(7)).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+    mixed = mixing.mixed_documents(df)
+    assert mixed.columns == df.columns
+    words = collections.Counter()
+    for r in mixed.collect():
+        words[r["source"]] += len(WORD.findall(r["text"] or ""))
+    assert all(abs(words[s] - want[s]) <= 400 for s in sizes)
+
+
+def test_mixing_order_and_edges(spark):
+    rows = mixing.mix(frame(spark, ["a b c", "d", "e f", None, "g h i j"])).where("served > 0").collect()
+    ordered = sorted(rows, key=lambda r: r["mix_start"])
+    assert [r["virtual_finish"] for r in ordered] == sorted(r["virtual_finish"] for r in rows)
+    assert sum(r["taken"] for r in rows) <= 15
+    assert mixing.mixed_sizes(frame(spark, [])).count() == 0
+    repeats = spark.createDataFrame([(1, "a b", "en", "s", 3)] * 3 + [(None, "c", None, None, None)], SCHEMA)
+    assert mixing.mixed_sizes(repeats).count() == 4
+
+
+def test_mixing_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SMALL}/documents.parquet'")
+    want = con.execute(f"select doc_id, target, taken from ({mixing.OP1_SQL}) order by 1").fetchall()
+    got = mixing.mixed_sizes(spark.read.parquet(f"{SMALL}/documents.parquet")).select("doc_id", "target", "taken").orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == want
+
+
+# byte-pair encoding
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+
+
+def test_bpe_is_the_library(library):
+    encoder = bpe.WordEncoder(tokenizer_file("word_bpe_49k.json"), most=50)
+    rng = random.Random(2)
+    letters = "aAbéÉßİΣσς'stré \n\t\x1c\x85　日本1²½ǅ한가𝒳😀-_=</w>&%"
+    for _ in range(3000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 30)))
+        if rng.random() < 0.1:
+            text += "<|endoftext|>" + text[:3]
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text) == ids
+        assert encoder.texts([text])[0][2] == library.decode(ids, skip_special_tokens=False) == encoder.decode(ids)
+    for text in ("a" * 20_000, "ab" * 9_000, "!" * 3_000):
+        assert encoder.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_verification_is_exact():
+    merger = bpe.Merger(tokenizer_file("word_bpe_49k.json"))
+    rng = random.Random(3)
+    words = ["".join(rng.choice("theradnio") for _ in range(rng.randint(1, 14))) for _ in range(2000)]
+    assert merger.encode_words(words) == [merger.merged(merger.symbols(w)) for w in words]
+    assert any(merger.greedy(merger.symbols(w)) != ids for w, ids in zip(words, merger.encode_words(words)))
+
+
+def test_bpe_rows(spark, library):
+    texts = [None, "", "Hello  WORLD's", "x" * 5000, "Hello  WORLD's", "<|startoftext|>a"]
+    rows = bpe.encoded(frame(spark, texts, extra=True), tokenizer_file("word_bpe_49k.json"), keep_text=True).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert r["ids"] == ids and r["n_tokens"] == len(ids) and r["decoded"] == decoded
+        assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
+    assert bpe.encoded(frame(spark, []), tokenizer_file("word_bpe_49k.json")).count() == 0
+
+
+# repeated passages
+
+
+def without_repeats(texts, window):
+    words = [WORD.findall(t or "") for t in texts]
+    seen = collections.Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
+    out = []
+    for w in words:
+        gone = [False] * len(w)
+        for i in range(len(w) - window + 1):
+            if seen[tuple(w[i : i + window])] > 1:
+                gone[i : i + window] = [True] * window
+        out.append((len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
+    return out
+
+
+@pytest.mark.parametrize(("window", "anchor", "hot"), [(35, 8, 4096), (35, 8, 1), (12, 3, 2)])
+def test_passages(spark, window, anchor, hot):
+    rng = random.Random(window + hot)
+    passage = [noise(rng, 60, 500) for _ in range(4)]
+    texts = [None, "", "a", noise(rng, window), passage[0], passage[0]]
+    for i in range(40):
+        a, b = rng.sample(passage, 2)
+        words = f"{noise(rng, rng.randint(0, 40), 300)} {a[rng.randint(0, 30):]} {noise(rng, 5)} {b}".split()
+        words[rng.randrange(len(words))] = "edited"
+        texts.append("\n".join(words))
+    texts += [" ".join(["same"] * 200), " ".join(["x y z"] * 50), noise(rng, 3000, 10_000) + " " + passage[1], texts[-1]]
+    want = without_repeats(texts, window)
+    rows = substrings.without_repeats(frame(spark, texts, extra=True), window, anchor, keep_text=True, hot=hot).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert (r["n_words"], r["n_removed"], r["kept"]) == want[r["doc_id"]]
+        assert r["kept_sha256"] == hashlib.sha256(r["kept"].encode()).hexdigest()
+
+
+def test_passages_repeated_rows(spark):
+    text = " ".join(map(str, range(50)))
+    df = spark.createDataFrame([(1, text, "en", "s", 1)] * 3 + [(None, text + " more", None, None, None)], SCHEMA)
+    assert sorted(r["n_removed"] for r in substrings.without_repeats(df).collect()) == [50, 50, 50, 50]
+    one = spark.createDataFrame([(1, text, "en", "s", 1)], SCHEMA)
+    assert substrings.without_repeats(one).first()["n_removed"] == 0
+    assert substrings.without_repeats(frame(spark, [])).count() == 0
+
+
+# shingle join
+
+
+def shingle_sets(texts, k):
+    out = []
+    for t in texts:
+        w = WORD.findall((t or "").translate(LOWER))
+        out.append(frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else []))
+    return out
+
+
+def components(sets, percent):
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x and sets[j] and 100 * len(x & sets[j]) >= percent * len(x | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize(("k", "percent", "seed"), [(4, 85, 1), (5, 80, 2), (1, 85, 3), (2, 60, 4)])
+def test_shingle_join(spark, k, percent, seed):
+    rng = random.Random(seed)
+    texts = [None, "", "one", "ONE", "one two", "É one"]
+    for _ in range(25):
+        base = noise(rng, rng.choice([6, 9, 14, 20, 40, 90, 200]), 200).split()
+        texts.append(" ".join(base))
+        for _ in range(rng.randint(0, 6)):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 40))):
+                copy[rng.randrange(len(copy))] = rng.choice(["new", "words", f"n{rng.random()}"])
+            if rng.random() < 0.5:
+                copy += noise(rng, rng.randint(0, 1 + len(base) // 15)).split()
+            texts.append(" ".join(copy))
+    sets = shingle_sets(texts, k)
+    rows = jaccard.linked_documents(frame(spark, texts, extra=True), k, percent).collect()
+    assert len(rows) == len(texts)
+    want = components(sets, percent)
+    assert {r["doc_id"]: r["n_shingles"] for r in rows} == {i: len(x) for i, x in enumerate(sets)}
+    assert {r["doc_id"]: r["component_id"] for r in rows} == dict(enumerate(want))
+    kept = jaccard.one_of_each(frame(spark, texts, extra=True), k, percent)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
+
+
+def test_shingle_blocking_loses_no_pair():
+    """Similar sets share a list whatever the boundary between light and heavy sets."""
+    rng = np.random.default_rng(5)
+    for light in (0, 7, 13, 20):
+        for _ in range(300):
+            n = int(rng.integers(1, 60))
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            b = a[rng.random(len(a)) > 0.04]
+            b = np.unique(np.concatenate([b, rng.integers(0, 2**63, int(rng.integers(0, 3))).astype(np.uint64)]))
+            shared = len(np.intersect1d(a, b))
+            if len(a) and len(b) and 100 * shared >= 85 * (len(a) + len(b) - shared):
+                assert len(np.intersect1d(jaccard.keys_of(a, 85, light), jaccard.keys_of(b, 85, light)))
+
+
+def test_shingle_join_edges(spark):
+    repeats = spark.createDataFrame([(5, "a b c d e", "en", "s", 1)] * 2 + [(2, "a b c d e", "en", "s", 1), (None, "a b c d e", None, None, None)], SCHEMA)
+    rows = [tuple(r) for r in jaccard.linked_documents(repeats).collect()]
+    assert sorted(rows, key=str) == sorted([(5, 2, 2), (5, 2, 2), (2, 2, 2), (None, 2, None)], key=str)
+    assert jaccard.one_of_each(repeats).count() == 1
+    assert jaccard.linked_documents(frame(spark, [])).count() == 0
+
+
+# language model
+
+
+def test_lm_base_and_model(spark, monkeypatch):
+    df = spark.read.parquet(f"{SMALL}/documents.parquet")
+    texts = {r["doc_id"]: lm.words(r["text"]) for r in df.collect()}
+    counts = collections.Counter()
+    for i, words in texts.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            counts.update([*words, None])
+    n, v = sum(counts.values()), len(counts)
+    for frequent in (lm.FREQUENT, 300):
+        monkeypatch.setattr(lm, "FREQUENT", frequent)
+        rows = lm.scored(df).collect()
+        assert len(rows) == len(texts)
+        for r in rows:
+            tokens = [*texts[r["doc_id"]], None]
+            base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens)
+            assert math.isclose(r["base_score"], base, rel_tol=1e-9)
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), sum(counts[w] > 0 for w in tokens), n)
+            assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0)
+        held = [r for r in rows if r["held_out"]]
+        assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_lm_table_is_normalised():
+    rng = np.random.default_rng(1)
+    runs = rng.integers(0, 3, (lm.CLASSES,) * 3).astype(float)
+    runs[:, 3, 4] += 500
+    model = lm.LogBilinear(runs.sum((0, 1))).fit(runs, steps=60)
+    table = 10.0 ** model.table().astype(float)
+    assert np.allclose(table.sum(1), 1, atol=1e-4)
+    rows = table.reshape(lm.CLASSES, lm.CLASSES, lm.CLASSES)
+    assert rows[:, 3, 4].mean() > 2 * rows[:, 5, 4].mean()
+
+
+def test_lm_edges(spark):
+    rows = {r["doc_id"]: r for r in lm.scored(frame(spark, [None, "", "a b", "a b", "zzz"], extra=True)).collect()}
+    assert rows[0]["n_tokens"] == rows[1]["n_tokens"] == 1 and rows[2]["score"] < 0
+    assert lm.scored(frame(spark, [])).count() == 0
+    alone = lm.scored(spark.createDataFrame([(None, "a b", None, None, None)], SCHEMA)).first()
+    assert alone["held_out"] and alone["n_known"] == 0 and alone["train_tokens"] == 0
+
+
+# personal data
+
+
+def luhn(number):
+    total = 0
+    for i, c in enumerate(reversed(number)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def base_spans(text):
+    number = lambda m: re.sub("[^0-9]", "", m[0])
+    return {
+        "email": [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)],
+        "ip": [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))],
+        "card": [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 16 <= len(number(m)) <= 19 and luhn(number(m))],
+        "phone": [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(number(m)) <= 15],
+    }
+
+
+def test_personal_data(spark):
+    rng = random.Random(3)
+    texts = [None, "", "a@b.c_x@e.f y@z", "1.2.3.4.5.6.7.8.9", "0001.2.3.004 256.1.1.1", "4111 1111 1111 1111 5500-0000-0000-0004", "+1 (743) 555-3824..", "😀é a.b@c.d.e.",
+             "4111111111111111" * 3, "1.2.3.4" * 300, "a@b.c " * 500, "a." * 5000 + "@b." + "c.d" * 3000, "1" * 20_000, "+1" + " 2" * 9_000]
+    parts = ["a", "b.", ".", "@", "1", "2.3", "9", "+", "-", " ", "(", ")", "é", "😀", "4111111111111111", "a@b.co", "1.2.3.4", "_", "%"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(600)]
+    df = frame(spark, texts, extra=True)
+    rows = pii.digests(df).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = base_spans(texts[r["doc_id"]] or "")
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [len(want[k]) for k in pii.KINDS]
+        named = [f"{k}:{a}:{b}" for k in pii.KINDS for a, b in want[k]]
+        assert r["base_sha256"] == hashlib.sha256(",".join(named).encode()).hexdigest()
+        assert set(named) <= set(r["spans"].split(",")) | {""}
+    masked = pii.masked(df)
+    assert masked.columns == df.columns
+    out = {r["doc_id"]: r for r in masked.collect()}
+    assert out[0]["text"] is None and out[6]["text"] == "[PHONE].." and out[6]["n_chars"] == 9
+    assert pii.digests(frame(spark, [])).count() == 0
+
+
+def test_personal_data_adds_only_what_looks_personal(spark):
+    texts = ["mail ann@example.com or bob.k@site.org now", "call +1 (743) 555-3824", "phone: 743-555-3824 please", "contact jo [at] mail [dot] com", "SSN 123-45-6789"] * 5
+    clean = ["the order 12345678 of page 20", "a version 3.14.15 b", "plain words only", "in 1999-2001 and 100-200"]
+    rows = pii.digests(frame(spark, texts + clean)).collect()
+    spans = {r["doc_id"]: r["spans"] for r in rows}
+    assert spans[2] == "phone:7:19" and spans[3].startswith("email:8:") and spans[4] == "id:4:15"
+    assert all(spans[len(texts) + i] == "" for i in range(len(clean)))
+
+
+def test_personal_data_plan_is_native(spark):
+    plan = pii.digests(frame(spark, ["a@b.c"]))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# quality
+
+
+def test_quality_gradients():
+    rng = random.Random(1)
+    texts = [t.encode() for t in (noise(rng, 200), noise(rng, 3), "", "ab", noise(rng, 90), "é" * 700)]
+    labels = np.array([1, 0, 1, 0, 1, 0], float)
+    net = quality.ByteCnn()
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    net.p["out"] += np.random.default_rng(0).normal(0, 0.1, net.p["out"].shape)
+    _, found = net.gradients(texts, labels)
+    for k, g in found.items():
+        at = np.unravel_index(np.argmax(abs(g)), g.shape)
+        net.p[k][at] += 1e-4
+        high, _ = net.gradients(texts, labels)
+        net.p[k][at] -= 2e-4
+        low, _ = net.gradients(texts, labels)
+        net.p[k][at] += 1e-4
+        assert math.isclose((high - low) / 2e-4, g[at], rel_tol=1e-3, abs_tol=1e-7)
+
+
+def test_quality_held_out(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rows = quality.scored(docs, quality.fit_quality(docs, labels)).join(labels, "doc_id").where("held_out").collect()
+    good, bad = ([r for r in rows if r["quality"] == q] for q in (1, 0))
+    assert np.mean([r["predicted"] == 1 for r in good]) > 0.98 and np.mean([r["predicted"] == 0 for r in bad]) > 0.9
+    assert all(r["predicted"] == (r["score"] >= 0.7) and 0 <= r["score"] <= 1 for r in rows)
+
+
+def test_quality_edges(spark):
+    df = frame(spark, [None, "", "words", "words"], extra=True)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert [r["score"] for r in quality.scored(df, quality.fit_quality(df, none)).collect()] == [1.0] * 4
+    kept = quality.kept_documents(df, none)
+    assert kept.columns == df.columns and kept.count() == 4
+    some = spark.createDataFrame([(2, 1, None), (None, 0, 0), (3, None, 1), (0, 0, 0)], "doc_id long, quality int, toxic int")
+    scores = {r["doc_id"]: r["score"] for r in quality.scored(df, quality.fit_quality(df, some)).collect()}
+    assert scores[0] == scores[1] and scores[2] == scores[3]
+    long = quality.ByteCnn().scores([b"ab" * 200_000, b"", b"x"])
+    assert len(long) == 3 and np.isfinite(long).all()
