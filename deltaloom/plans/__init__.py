@@ -1,0 +1,15 @@
+"""The registered queries: operators applied to whole tables, and the same in SQL."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    from . import turn_queries
+
+    return dict(turn_queries.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    from . import turn_queries
+
+    return dict(turn_queries.SQL)
