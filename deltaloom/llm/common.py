@@ -19,6 +19,8 @@ WORD_RE = re.compile(WORD)
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Text that one step of a Python worker takes at once, so that its lists of words stay small.
 STEP_CHARS = 1_500_000
+#: The same where every byte of the step becomes several 8-byte numbers.
+SMALL_STEP = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +58,7 @@ def steps(batch: pa.RecordBatch, text: str = "text", most: int = STEP_CHARS) ->
         yield batch.slice(start)
 
 
-def map_text(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, text: str = "text") -> DataFrame:
+def map_text(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, text: str = "text", most: int = STEP_CHARS) -> DataFrame:
     """``mapInArrow`` in bounded steps; ``make`` runs once in each task and returns the function of a step."""
 
     # texts may be long: few rows at once between the JVM and its workers
@@ -67,7 +69,7 @@ def map_text(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
         gc.disable()  # large dictionaries of small objects and no cycles: walking them costs more than the work itself
         try:
             for batch in batches:
-                for part in steps(batch, text):
+                for part in steps(batch, text, most):
                     if (out := step(part)) is not None and out.num_rows:
                         yield out
         finally:

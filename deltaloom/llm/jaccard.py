@@ -3,8 +3,8 @@
 A size-aware heavy-light join. Two sets of sizes a and b are similar when they share c(a, b) elements, and then differ in at
 most k(a, b). *Light* (small) sets enumerate all their subsets of that fixed size c; sets with a common subset are
 candidates. *Heavy* (large) sets are put on inverted lists: the hash space is cut into more than k parts, so similar sets
-agree in at least one whole part, and a list holds the sets with the same elements in one part. Where a set has so many
-empty parts that agreement could be in those alone, its elements themselves are lists, too. The boundary between light
+agree in whole parts, and a list holds the sets with the same elements in one part; the smallest parts, as many as there are
+to spare, need no list. Where a set has so many empty parts that agreement could be in those alone, its elements are lists. The boundary between light
 and heavy is the size up to which enumeration is estimated to cost less, over the sizes that occur.
 
 Lists are read in the order of their key and link every set to the smallest document of the list, so they are streams of
@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD_RE, map_text, written
+from .common import SMALL_STEP, map_text, written
 from .components import components
-from .words import U, WordHashes, mixed, shingles
+from .words import U, by_text, mixed, shingles, word_hashes
 
 WORDS, PERCENT = 4, 85
 #: No set above this size is light, however cheap: enumeration grows with a power of the size.
@@ -59,9 +59,9 @@ class Sizes:
         return (100 - self.p) * (n + self.most(n)) // (100 + self.p)
 
     def level(self, n: int) -> int:
-        """Parts are 2 to this power; one in sixteen is spare for empty parts."""
+        """Parts are 2 to this power; one in eight is spare, so that the smallest ones need no list."""
         level = 0
-        while (1 << level) - ((1 << level) >> 4) < self.differ(n) + 1 + (level > 0):
+        while (1 << level) - ((1 << level) >> 3) < self.differ(n) + 1 + (level > 0):
             level += 1
         return level
 
@@ -74,7 +74,7 @@ class Sizes:
 
     def most_differing(self, n: int, level: int) -> int:
         parts = 1 << level
-        return min(self.differ(n), parts - (parts >> 4) - 1 - (level > 0))
+        return min(self.differ(n), parts - (parts >> 3) - 1 - (level > 0))
 
     def boundary(self, histogram: dict[int, int]) -> int:
         """The size up to which sets are light, by the cost of rows and of checks that come to nothing."""
@@ -107,8 +107,14 @@ def keys_of(elements: np.ndarray, percent: int, light: int) -> np.ndarray:
             weights = mixed(elements, 4)
             part = (elements >> U(64 - level)).astype(np.int64) if level else np.zeros(n, np.int64)
             first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            out.append(mixed(np.add.reduceat(weights, first) + mixed(part[first].astype(U), 5), 2000 + level))
-            if len(first) <= s.most_differing(n, level):  # agreement may be in empty parts alone
+            held = np.diff(np.append(first, n))
+            # similar sets agree in ``sure`` parts at least; the size of the sure-th smallest part is reached by one of those,
+            # so smaller parts, which sets share by chance, need no list
+            sure, empty = (1 << level) - s.most_differing(n, level), (1 << level) - len(first)
+            least = 1 if empty >= sure else int(np.partition(held, sure - 1 - empty)[sure - 1 - empty])
+            full = held >= least
+            out.append(mixed(np.add.reduceat(weights, first)[full] + mixed(part[first].astype(U), 5)[full], 2000 + level))
+            if empty >= sure:  # agreement may be in empty parts alone
                 out.append(mixed(elements[: n - s.least(n) + 1], 3000 + level))
     return np.concatenate(out)
 
@@ -154,44 +160,37 @@ def linked(sets: list[np.ndarray], percent: int) -> list[int]:
     return [root_of(parent, i) for i in range(m)]
 
 
-def _element_sets(texts: list[str | None], hashes: WordHashes, k: int) -> list[np.ndarray]:
-    words = [WORD_RE.findall(t.translate(LOWER) if not t.isascii() else t.lower()) if t else [] for t in texts]
-    flat = hashes([w for x in words for w in x])
-    ends = np.cumsum([len(x) for x in words])
-    return [shingles(flat[e - len(x) : e], k) for x, e in zip(words, ends)]
+def element_sets(texts: pa.Array | pa.ChunkedArray, k: int) -> list[np.ndarray]:
+    return [shingles(x, k) for x in by_text(*word_hashes(texts, lower=True))]
 
 
 def set_rows(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n, h1, h2): the size and a 128-bit hash of every document's set."""
 
     def make():
-        hashes = WordHashes()
-
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = _element_sets(batch.column("text").to_pylist(), hashes, k)
+            found = element_sets(batch.column("text"), k)
             with np.errstate(over="ignore"):
                 h1, h2 = (np.array([mixed(x, salt).sum(dtype=U) for x in found], U).view(np.int64) for salt in (1, 2))
             return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array([len(x) for x in found], pa.int64()), "h1": pa.array(h1), "h2": pa.array(h2)})
 
         return step
 
-    return map_text(docs, make, "doc_id long, n long, h1 long, h2 long")
+    return map_text(docs, make, "doc_id long, n long, h1 long, h2 long", most=SMALL_STEP)
 
 
 def list_entries(docs: DataFrame, k: int, percent: int, light: int) -> DataFrame:
     """(key, doc_id) of every list that a document's set stands on."""
 
     def make():
-        hashes = WordHashes()
-
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [keys_of(x, percent, light) for x in _element_sets(batch.column("text").to_pylist(), hashes, k)]
+            found = [keys_of(x, percent, light) for x in element_sets(batch.column("text"), k)]
             doc_ids = np.repeat(np.array(batch.column("doc_id").to_pylist(), np.int64), [len(x) for x in found])
             return pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(found).view(np.int64)), "doc_id": pa.array(doc_ids)})
 
         return step
 
-    return map_text(docs.where("doc_id IS NOT NULL"), make, "key long, doc_id long")
+    return map_text(docs.where("doc_id IS NOT NULL"), make, "key long, doc_id long", most=SMALL_STEP)
 
 
 def stars(entries: DataFrame) -> DataFrame:
@@ -221,10 +220,10 @@ def verified(members: DataFrame, k: int, percent: int) -> DataFrame:
     def run(key, group):
         doc_ids = np.array(group["doc_id"].to_pylist(), np.int64)
         order = np.argsort(doc_ids, kind="stable")
-        texts = group["text"].to_pylist()
-        hashes, sets = WordHashes(), []
-        for lo in range(0, len(order), 256):
-            sets += _element_sets([texts[i] for i in order[lo : lo + 256]], hashes, k)
+        sets = []
+        for lo in range(0, group.num_rows, 256):
+            sets += element_sets(group["text"].slice(lo, 256), k)
+        sets = [sets[i] for i in order]
         full = [i for i, x in enumerate(sets) if len(x)]
         roots = linked([sets[i] for i in full], percent) if full else []
         doc_ids = doc_ids[order]
