@@ -14,7 +14,7 @@ have equal anchors. A document falls into segments, runs of windows with one anc
 4. The repeated windows go back to the occurrences of their segments, and those to the documents.
 
 Texts are shuffled once; both uses read the same exchange. Anchors and contents are 64-bit hashes of the words, always used
-together; what the shards compare are the words themselves.
+together; the symbols of a shard's index are its distinct words, told apart by 64-bit hashes.
 
 Defined results: a null or empty text has no words and the hash of the empty string; a document of fewer words than a window
 loses none; rows that repeat in full repeat each other's windows; a null doc_id is kept as null; an empty table gives none.
@@ -29,30 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, map_text, written
+from .common import SMALL_STEP, WORD_RE, map_text, written
 from .fmindex import FmIndex
-from .words import U, WordHashes, grams, mixed
+from .words import POWERS, U, by_text, grams, mixed, word_hashes
 
-WINDOW, ANCHOR, HOT, SHARD = 35, 8, 4_096, 20_000
-_BASE = 0xD6E8FEB86659FD93
-_INVERSE = pow(_BASE, -1, 1 << 64)
+WINDOW, ANCHOR, HOT, SHARD = 35, 8, 4_096, 10_000
 
 
-class Powers:
-    """Powers of the base and of its inverse modulo 2^64, as long as asked for."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, U)
-
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            size = max(n, 2 * len(self.up))
-            with np.errstate(over="ignore"):
-                self.up, self.down = (np.cumprod(np.concatenate([[U(1)], np.full(size, U(b))]), dtype=U) for b in (_BASE, _INVERSE))
-        return self.up[:n], self.down[:n]
-
-
-def segments(h: np.ndarray, window: int, anchor: int, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(h: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchor hash, hash of the words, first window and number of windows of each segment of a document."""
     windows = len(h) - window + 1
     if windows <= 0:
@@ -62,7 +46,7 @@ def segments(h: np.ndarray, window: int, anchor: int, powers: Powers) -> tuple[n
     place = np.lib.stride_tricks.sliding_window_view(g, width).argmin(1) + np.arange(windows)
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     many = np.diff(np.append(first, windows))
-    up, down = powers(len(h) + 1)
+    up, down = POWERS(len(h) + 1)
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, U), np.cumsum(mixed(h, 9) * up[: len(h)], dtype=U)])
         content = (sums[first + many + window - 1] - sums[first]) * down[first]
@@ -77,21 +61,25 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def segment_rows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     def make():
-        hashes, powers = WordHashes(), Powers()
-
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            words = [WORD_RE.findall(t) if t else [] for t in batch.column("text").to_pylist()]
-            flat = hashes([w for x in words for w in x])
-            ends = np.cumsum([len(x) for x in words])
-            found = [segments(flat[e - len(x) : e], window, anchor, powers) for x, e in zip(words, ends)]
-            sizes = [len(f[0]) for f in found]
+            found = [segments(h, window, anchor) for h in by_text(*word_hashes(batch.column("text")))]
+            row = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
             seed, seg, at, many = (np.concatenate(x) for x in zip(*found))
-            did, th = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("did", "th"))
-            return pa.RecordBatch.from_pydict({"seed": pa.array(seed.view(np.int64)), "seg": pa.array(seg.view(np.int64)), "did": pa.array(did), "th": pa.array(th), "at": pa.array(at, pa.int32()), "many": pa.array(many, pa.int32())})
+            # a document that repeats itself has the same segment over and over: that is one row
+            order = np.lexsort((at, seg, seed, row))
+            row, seed, seg, at, many = row[order], seed[order], seg[order], at[order], many[order]
+            new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (seed[1:] != seed[:-1]) | (seg[1:] != seg[:-1])])) if len(row) else np.empty(0, np.int64)
+            ends = np.append(new[1:], len(row))
+            rest = [at[a + 1 : b] if b - a > 1 else None for a, b in zip(new.tolist(), ends.tolist())] if len(new) < len(row) else [None] * len(new)
+            did, th = (batch.column(c).to_numpy()[row[new]] for c in ("did", "th"))
+            return pa.RecordBatch.from_pydict({
+                "seed": pa.array(seed[new].view(np.int64)), "seg": pa.array(seg[new].view(np.int64)), "did": pa.array(did), "th": pa.array(th),
+                "at": pa.array(at[new], pa.int32()), "many": pa.array(many[new], pa.int32()), "rest": pa.array(rest, pa.list_(pa.int32())),
+            })
 
         return step
 
-    return map_text(rows.select("did", "th", "text"), make, "seed long, seg long, did long, th long, at int, many int")
+    return map_text(rows.select("did", "th", "text"), make, "seed long, seg long, did long, th long, at int, many int, rest array<int>", most=SMALL_STEP)
 
 
 def fetched(rows: DataFrame, window: int) -> DataFrame:
@@ -118,39 +106,34 @@ def fetched(rows: DataFrame, window: int) -> DataFrame:
     return map_text(rows, make, "deal long, seed long, seg long, bit int, many int, twice boolean, words string")
 
 
-def repeated_windows(contents: list[str], several: list[bool], window: int) -> list[int]:
+def repeated_windows(contents: pa.Array, several: np.ndarray, window: int) -> np.ndarray:
     """For each distinct content, the windows (bits) that occur at least twice in all of them."""
-    cut = [c.split(" ") for c in contents]
-    ids: dict[str, int] = {}
-    text = np.fromiter((ids.setdefault(w, len(ids) + 1) if w is not None else 0 for c in cut for w in (*c, None)), np.int64)
-    index = FmIndex(text, len(ids) + 1, window)
-    sizes = np.array([len(c) for c in cut])
-    starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+    hashes, sizes = word_hashes(contents)
+    distinct, symbols = np.unique(hashes, return_inverse=True)
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    text = np.zeros(int(sizes.sum()) + len(sizes), np.int64)  # a zero after each content
+    text[np.arange(len(hashes)) + np.repeat(np.arange(len(sizes)), sizes)] = symbols + 1
+    del hashes, symbols
+    index = FmIndex(text, len(distinct) + 1, window)
     many = sizes - window + 1
-    owner = np.repeat(np.arange(len(cut)), many)
+    owner = np.repeat(np.arange(len(sizes)), many)
     bit = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
     hit = index.matching_lengths(text, starts[owner] + bit + window, window) >= window
-    masks = np.zeros(len(cut), np.int64)
+    masks = np.zeros(len(sizes), np.int64)
     np.bitwise_or.at(masks, owner[hit], np.int64(1) << bit[hit])
-    return [(1 << int(m)) - 1 if s else int(x) for m, s, x in zip(many, several, masks)]
+    return np.where(several, (np.int64(1) << many) - 1, masks)
 
 
 def masks(contents: DataFrame, window: int) -> DataFrame:
     """(shard, seed, seg, bit, many, twice, words) -> (seed, seg, mask)."""
 
     def run(key, group):
-        words, bits, twice = group["words"].to_pylist(), group["bit"].to_pylist(), group["twice"].to_pylist()
-        place: dict[str, int] = {}
-        several: list[bool] = []
-        at = []
-        for w, t in zip(words, twice):
-            if (i := place.setdefault(w, len(several))) == len(several):
-                several.append(t)
-            else:
-                several[i] = True
-            at.append(i)
-        found = repeated_windows(list(place), several, window)
-        mask = [found[i] << b for i, b in zip(at, bits)]
+        column = group["words"]
+        coded = pa.concat_arrays(column.chunks).dictionary_encode()  # equal contents are one
+        code = coded.indices.to_numpy()
+        twice = np.bincount(code, group["twice"].to_numpy()) + (np.bincount(code) > 1)
+        found = repeated_windows(coded.dictionary, twice > 0, window)
+        mask = found[code] << group["bit"].to_numpy().astype(np.int64)
         return pa.table({"seed": group["seed"], "seg": group["seg"], "mask": pa.array(mask, pa.int64())})
 
     return contents.groupBy("shard").applyInArrow(run, "seed long, seg long, mask long")
@@ -168,7 +151,8 @@ def removed(rows: DataFrame, window: int, keep_text: bool = False) -> DataFrame:
                 if marks:
                     edge = np.zeros(n + 1, np.int32)
                     for m in marks:
-                        starts = m["at"] + np.flatnonzero((m["mask"] >> np.arange(window)) & 1)
+                        bits = np.flatnonzero((m["mask"] >> np.arange(63)) & 1)
+                        starts = (np.array([m["at"], *(m["rest"] or ())])[:, None] + bits).ravel()
                         np.add.at(edge, starts, 1)
                         np.add.at(edge, starts + window, -1)
                     covered = np.cumsum(edge)[:n] > 0
@@ -192,9 +176,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     rows = keyed(docs)
     by_seed = Window.partitionBy("seed")
     # one narrow shuffle of all segments; only those whose anchor occurs again are kept
-    again = segment_rows(rows, window, anchor).repartition("seed").withColumn("n_seed", F.count("*").over(by_seed)).where("n_seed > 1").drop("n_seed")
+    again = segment_rows(rows, window, anchor).repartition("seed").withColumn("times", F.when(F.col("rest").isNull(), 1).otherwise(1 + F.size("rest"))).withColumn("n_seed", F.sum("times").over(by_seed)).where("n_seed > 1").drop("n_seed")
     again = written(again, "segments")
-    contents = again.groupBy("seed", "seg").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "at")).alias("one"), F.first("many").alias("many"))
+    contents = again.groupBy("seed", "seg").agg(F.sum("times").alias("n"), F.min(F.struct("did", "th", "at")).alias("one"), F.first("many").alias("many"))
     anchors = contents.groupBy("seed").agg(F.count("*").alias("contents"))
     contents = written(contents.join(anchors, "seed").select("seed", "seg", "n", "many", "contents", "one.did", "one.th", "one.at").where("n > 1 OR contents > 1"), "contents")
     unclear = contents.where("contents > 1")
@@ -208,6 +192,6 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     found = found.groupBy("seed", "seg").agg(F.bit_or("mask").alias("mask"))
     clear = contents.where("contents = 1 OR n > 1").select("seed", "seg", F.expr("shiftleft(1L, many) - 1 AS mask"))
     found = found.union(clear).groupBy("seed", "seg").agg(F.bit_or("mask").alias("mask")).where("mask <> 0")
-    marks = again.join(found, ["seed", "seg"]).groupBy("did", "th", "at").agg(F.bit_or("mask").alias("mask"))
-    marks = marks.groupBy("did", "th").agg(F.collect_list(F.struct("at", "mask")).alias("marks"))
+    marks = again.join(found, ["seed", "seg"]).groupBy("did", "th", "at").agg(F.bit_or("mask").alias("mask"), F.first("rest").alias("rest"))
+    marks = marks.groupBy("did", "th").agg(F.collect_list(F.struct("at", "mask", "rest")).alias("marks"))
     return removed(texts.join(marks, ["did", "th"], "left").select("doc_id", "text", "marks"), window, keep_text)
