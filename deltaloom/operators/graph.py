@@ -29,13 +29,16 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def closure(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], rounds: int = 10_000) -> DataFrame:
-    """``start`` and all that ``step`` adds to it, round by round, until nothing is new; one row for each key, the first found."""
+    """``start`` and all that ``step`` adds to it, round by round, until nothing is new; one row for each key, the first
+    found. A round writes its new rows only; what is known is the union of the rounds, put together after every eighth."""
     seen = frontier = settled(start)
-    for _ in range(rounds):
-        new = settled(step(frontier).join(seen.select(*keys), keys, "left_anti"))
-        if new.isEmpty():
+    for i in range(1, rounds + 1):
+        frontier = settled(step(frontier).join(seen.select(*keys), keys, "left_anti"))
+        if frontier.isEmpty():
             break
-        seen, frontier = settled(seen.unionByName(new)), new
+        seen = seen.unionByName(frontier)
+        if i % 8 == 0:
+            seen = settled(seen)
     return seen
 
 

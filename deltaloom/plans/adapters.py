@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as g
 from ..operators import turns as t
+from ..operators.delta import Graph
 
 POLICIES = [("A", None), ("B", 110.0), ("C", 60.0)]
 
@@ -109,7 +110,7 @@ def supplier_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return g.settled(nodes), edges
 
 
-def sides(nodes: DataFrame, edges: DataFrame):
+def sides(nodes: DataFrame, edges: DataFrame) -> tuple[Graph, Graph]:
     """The two graphs, each with one graph_id, so that rules compare them."""
     one = lambda df, side: df.where(F.col("graph_id") == side).withColumn("graph_id", F.lit("g"))
-    return (one(nodes, "before"), one(edges, "before")), (one(nodes, "after"), one(edges, "after"))
+    return Graph(one(nodes, "before"), one(edges, "before")), Graph(one(nodes, "after"), one(edges, "after"))

@@ -105,7 +105,7 @@ SQL["guarded_symbols"] = f"{W}, {GUARDED} SELECT * FROM gs"
 
 def changed_symbols(spark: SparkSession, sf: str) -> DataFrame:
     before, after = sides(*supplier_graph(spark, sf))
-    return graph.changed_symbols(before[0], after[0])
+    return graph.changed_symbols(before.nodes, after.nodes)
 
 
 SQL["changed_symbols"] = f"{W}, {NEAR} SELECT id FROM chg"
@@ -113,8 +113,8 @@ SQL["changed_symbols"] = f"{W}, {NEAR} SELECT id FROM chg"
 
 def neighbourhood_k2(spark: SparkSession, sf: str) -> DataFrame:
     before, after = sides(*supplier_graph(spark, sf))
-    links = graph.owner_links(*before).union(graph.owner_links(*after)).distinct()
-    return graph.neighbourhood(links, graph.changed_symbols(before[0], after[0]), before[0].union(after[0]).select("id").distinct(), 2)
+    links = graph.owner_links(before.nodes, before.edges).union(graph.owner_links(after.nodes, after.edges)).distinct()
+    return graph.neighbourhood(links, graph.changed_symbols(before.nodes, after.nodes), before.nodes.union(after.nodes).select("id").distinct(), 2)
 
 
 SQL["neighbourhood_k2"] = f"{W}, {NEAR} SELECT id FROM nb2"
@@ -128,7 +128,8 @@ def _both(spark: SparkSession, sf: str, rule: str | None, hops: int | None) -> D
     """The rule for the change and for its reverse, which is the control."""
     before, after = sides(*supplier_graph(spark, sf))
     rules = [rule] if rule else list(delta.RULES)
-    forward, back = _flags(delta.apply_rules(before, after, hops, rules)), _flags(delta.apply_rules(after, before, hops, rules))
+    before, after = delta.bounded(before, after, hops)  # the bound is the same both ways
+    forward, back = _flags(delta.apply_rules(before, after, None, rules)), _flags(delta.apply_rules(after, before, None, rules))
     return forward.withColumn("change", F.lit("forward")).union(back.withColumn("change", F.lit("control")))
 
 
