@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import delta, graph
+from ..operators import delta, flows, graph
 from .adapters import EDGES, read, sides, supplier_graph
 
 W = f"WITH RECURSIVE {EDGES}"
@@ -213,6 +213,13 @@ def graph_statistics(spark: SparkSession, sf: str) -> DataFrame:
 SQL["graph_statistics"] = f"""{W} SELECT graph_id, kind AS what, count(*) AS n FROM edge GROUP BY ALL UNION ALL SELECT graph_id, 'source', count(*) FROM node WHERE source GROUP BY ALL
 UNION ALL SELECT graph_id, 'sink', count(*) FROM node WHERE sink GROUP BY ALL UNION ALL SELECT graph_id, 'sanitizer', count(*) FROM node WHERE sanitizer GROUP BY ALL"""
 
+def supporting_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """For every supplier before the date, a path from a source to a sink through it or through one that it serves."""
+    before, _ = sides(*supplier_graph(spark, sf))
+    rows = flows.supporting_paths(before.nodes, before.edges, before.nodes.select(F.col("id").alias("symbol")))
+    return rows.select("symbol", F.array_join("path", ">").alias("path"), F.size("path").cast("long").alias("length"))
+
+
 QUERIES = {f.__name__: f for f in (
     edge_merge, sanitizer_free_reachability, shortest_free_paths, symbols_on_paths, guarded_symbols, changed_symbols, neighbourhood_k2, rule_r1, rule_r2, rule_r3, rule_r4, rules_all,
-    ablation_by_depth, rule_tally_rollup, graph_statistics)}
+    ablation_by_depth, rule_tally_rollup, graph_statistics, supporting_paths)}

@@ -214,6 +214,14 @@ def resolved_calls(spark: SparkSession, sf: str) -> DataFrame:
     return facts.resolved_calls(code_facts(spark, sf))
 
 
+def code_units(spark: SparkSession, sf: str) -> DataFrame:
+    """The inline programs' tokens without comments, docstrings and layout."""
+    from ..operators import units
+
+    rows = spark.createDataFrame(PROGRAMS, "path string, text string")
+    return units.mapped(rows, ["text"], lambda t: " ".join(units.code_tokens(t)), "tokens").select("path", "tokens")
+
+
 QUERIES = {f.__name__: f for f in (
     licence_family, scrub_lines, approx_tokens_by_source, trigram_resemblance_top5, near_duplicate_length_bound, near_duplicate_ratio, commit_url_parse, longest_prefix_match,
-    name_resolution_priority, scope_local_cross, advisory_funnel, dedupe_keep_first, argmax_repo, exclusion_anti_join, canonical_hash, snapshot_changes, code_facts, resolved_calls)}
+    name_resolution_priority, scope_local_cross, advisory_funnel, dedupe_keep_first, argmax_repo, exclusion_anti_join, canonical_hash, snapshot_changes, code_facts, resolved_calls, code_units)}
