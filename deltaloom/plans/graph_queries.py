@@ -129,6 +129,7 @@ def _both(spark: SparkSession, sf: str, rule: str | None, hops: int | None) -> D
     before, after = sides(*supplier_graph(spark, sf))
     rules = [rule] if rule else list(delta.RULES)
     before, after = delta.bounded(before, after, hops)  # the bound is the same both ways
+    delta.solved([before, after], paths=rule in (None, "R2", "R4"), guards=rule in (None, "R3"))
     forward, back = _flags(delta.apply_rules(before, after, None, rules)), _flags(delta.apply_rules(after, before, None, rules))
     return forward.withColumn("change", F.lit("forward")).union(back.withColumn("change", F.lit("control")))
 
@@ -186,7 +187,9 @@ def rules_all(spark: SparkSession, sf: str) -> DataFrame:
 def ablation_by_depth(spark: SparkSession, sf: str) -> DataFrame:
     """Flags by rule for the depths 0, 1, 2 and without a bound."""
     before, after = sides(*supplier_graph(spark, sf))
-    parts = [delta.apply_rules(before, after, h).select(F.lit(-1 if h is None else h).alias("hops"), "rule") for h in (0, 1, 2, None)]
+    pairs = {h: delta.bounded(before, after, None if h < 0 else h) for h in (0, 1, 2, -1)}
+    delta.solved([g for pair in pairs.values() for g in pair])
+    parts = [delta.apply_rules(*pair, None).select(F.lit(h).alias("hops"), "rule") for h, pair in pairs.items()]
     return reduce(DataFrame.union, parts).groupBy("hops", "rule").agg(F.count("*").alias("flags"))
 
 
