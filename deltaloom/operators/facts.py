@@ -166,3 +166,43 @@ def first_match(rows: DataFrame, scopes: list[tuple[str, DataFrame]], key: str,
         out.append(F.col(f"_v{i}"))
     scope = F.coalesce(*[F.when(c.isNotNull(), F.lit(n)) for c, (n, _) in zip(out, scopes)])
     return rows.withColumn(value, F.coalesce(*out)).withColumn("scope", scope).drop(*[f"_v{i}" for i in range(len(scopes))])
+
+
+def call_roles(calls: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Adds role and family to resolved calls: a catalogued sink before a sanitizer before a source; a call whose name is
+    that of a validator is a sanitizer if nothing else is known of it. ``catalog``: target, role, family; small."""
+    from ..functions.text import is_validator_name
+
+    order = F.create_map(*[F.lit(x) for pair in (("sink", 0), ("sanitizer", 1), ("source", 2)) for x in pair])
+    best = catalog.groupBy("target").agg(F.min_by(F.struct("role", "family"), order[F.col("role")]).alias("known"))
+    name = F.element_at(F.split("name", r"\."), -1)
+    rows = calls.join(best, "target", "left")
+    validator = F.coalesce(is_validator_name(name), F.lit(False))
+    return rows.select(*calls.columns, F.coalesce("known.role", F.when(validator, "sanitizer")).alias("role"), F.coalesce("known.family", F.when(validator, "validator")).alias("family"))
+
+
+def drawn_edges(roles: DataFrame, facts: DataFrame) -> DataFrame:
+    """(graph_id, src, dst, kind, via, resolution) from calls with roles.
+
+    Every call is a call edge from its symbol; one to a sanitizer is a sanitize edge, too. Values flow where a variable is
+    assigned from a call: from the callee to the next call of the same symbol that names the variable among its arguments.
+    """
+    to = F.coalesce("target", F.concat(F.lit("unknown::"), F.coalesce("name", F.lit("?"))))
+    rows = roles.select("path", "symbol", "name", "line", "role", "resolution", to.alias("dst"))
+    call = rows.select(F.lit("g").alias("graph_id"), F.col("symbol").alias("src"), "dst", F.lit("call").alias("kind"), F.array("symbol").alias("via"), "resolution")
+    sanitize = rows.where("role = 'sanitizer'").select(F.lit("g").alias("graph_id"), F.col("symbol").alias("src"), "dst", F.lit("sanitize").alias("kind"), F.array("symbol").alias("via"), "resolution")
+    made = facts.where("kind = 'assign' AND target IS NOT NULL").select("symbol", F.col("name").alias("variable"), F.col("target").alias("name"))
+    source = rows.select("symbol", "name", F.col("dst").alias("from")).join(made, ["symbol", "name"]).select("symbol", "variable", "from").distinct()
+    used = facts.where("kind = 'call'").select("symbol", F.col("name").alias("callee"), "line", F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace("detail", r"^[^(]*\(", ""), F.lit(r"\b[A-Za-z_]\w*\b"), F.lit(0)))).alias("variable"))
+    flow = source.join(used, ["symbol", "variable"]).join(rows.select("symbol", F.col("name").alias("callee"), "line", "dst", "resolution"), ["symbol", "callee", "line"])
+    taint = flow.where("`from` <> dst").select(F.lit("g").alias("graph_id"), F.col("from").alias("src"), "dst", F.lit("taint").alias("kind"), F.array("symbol").alias("via"), "resolution")
+    return call.union(sanitize).union(taint).distinct()
+
+
+def event_checks(files: DataFrame, facts: DataFrame, warn: int = 24 * 1024, fail: int = 48 * 1024) -> DataFrame:
+    """(event_id, name, status, detail): one row for each check of an event's files (event_id, path, text)."""
+    size = files.groupBy("event_id").agg(F.sum(F.octet_length("text")).alias("n"))
+    sized = size.select("event_id", F.lit("size").alias("name"), F.when(F.col("n") > fail, "fail").when(F.col("n") > warn, "warn").otherwise("ok").alias("status"), F.col("n").cast("string").alias("detail"))
+    broken = facts.where("kind = 'error'").select("path").distinct()
+    parsed = files.select("event_id", "path").join(broken.withColumn("bad", F.lit(True)), "path", "left").groupBy("event_id").agg(F.array_sort(F.collect_list(F.when(F.col("bad"), F.col("path")))).alias("bad"))
+    return sized.unionByName(parsed.select("event_id", F.lit("parse").alias("name"), F.when(F.size("bad") > 0, "fail").otherwise("ok").alias("status"), F.array_join("bad", ",").alias("detail")))

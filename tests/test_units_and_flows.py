@@ -95,3 +95,19 @@ def test_reports(spark):
     assert [r["path"] for r in analysers.unscanned(files, spark.createDataFrame([("k", json.dumps(rule))], "key string, json string")).collect()] == ["b.py"]
     items = spark.createDataFrame([([],), ([("uncertain",)],), ([("not-exploitable",)],), ([(None,)],), (None,)], "items array<struct<label:string>>")
     assert [r[0] for r in items.select(analysers.decision(F.col("items"))).collect()] == ["ALLOW", "BLOCK", "ALLOW", "BLOCK", "ALLOW"]
+
+
+def test_roles_edges_and_checks(spark):
+    from deltaloom.operators import facts
+
+    source = "import os\n\ndef check(v):\n    return v\n\ndef f(req):\n    a = req.get('x')\n    check(a)\n    b = os.getenv(a)\n    os.system(b)\n"
+    files = spark.createDataFrame([("e", "m.py", source), ("e", "bad.py", "def"), ("g", "n.py", "x" * 30_000)], "event_id string, path string, text string")
+    rows = facts.code_facts(files)
+    catalog = spark.createDataFrame([("os.system", "sink", "command"), ("os.getenv", "source", "env"), ("os.system", "source", "odd")], "target string, role string, family string")
+    roles = facts.call_roles(facts.resolved_calls(rows), catalog)
+    assert {r["name"]: (r["role"], r["family"]) for r in roles.where("symbol = 'm.py::f'").collect()} == {"req.get": (None, None), "check": ("sanitizer", "validator"), "os.getenv": ("source", "env"), "os.system": ("sink", "command")}
+    edges = {(r["kind"], r["src"], r["dst"]) for r in facts.drawn_edges(roles, rows).collect()}
+    assert ("sanitize", "m.py::f", "m.py::check") in edges and ("call", "m.py::f", "os.system") in edges
+    assert {e[1:] for e in edges if e[0] == "taint"} == {("unknown::req.get", "m.py::check"), ("unknown::req.get", "os.getenv"), ("os.getenv", "os.system")}
+    got = {(r["event_id"], r["name"]): (r["status"], r["detail"]) for r in facts.event_checks(files, rows).collect()}
+    assert got == {("e", "size"): ("ok", str(len(source) + 3)), ("e", "parse"): ("fail", "bad.py"), ("g", "size"): ("warn", "30000"), ("g", "parse"): ("ok", "")}
