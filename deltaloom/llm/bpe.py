@@ -60,7 +60,10 @@ class Merger:
             if x in self.text and y in self.text:
                 self.text.setdefault(z, self.text[x] + self.text[y])
         self.id = {text: i for i, text in self.text.items()}
-        self.longest = max(map(len, self.id), default=1)
+        #: The longest symbol that begins with these two letters.
+        self.reach: dict[str, int] = {}
+        for text in self.id:
+            self.reach[text[:2]] = max(self.reach.get(text[:2], 1), len(text))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.pairs: dict[int, bool] = {}
@@ -96,11 +99,16 @@ class Merger:
         return [x for x in ids if x >= 0]
 
     def greedy(self, symbols: str) -> list[int]:
-        out, at, n, get = [], 0, len(symbols), self.id.get
+        out, at, n, get, reach = [], 0, len(symbols), self.id.get, self.reach.get
+        last = n - 1 if n and symbols[-1] == END else -1  # the last letter goes with END
         while at < n:
-            stop = min(n, at + self.longest)
-            while (found := get(symbols[at:stop])) is None or stop == n - 1 and symbols[-1] == END:
+            stop = min(n, at + reach(symbols[at : at + 2], 1))
+            if stop == last:
                 stop -= 1
+            while (found := get(symbols[at:stop])) is None:
+                stop -= 1
+                if stop == last:
+                    stop -= 1
             out.append(found)
             at = stop
         return out
@@ -141,7 +149,7 @@ class WordEncoder:
 
     PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0  -     　\p{L}\p{N}]+")
 
-    def __init__(self, path: str, most: int = 250000):
+    def __init__(self, path: str, most: int = 200_000):
         self.merger = Merger(path)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.merger.special, key=len, reverse=True))) + ")") if self.merger.special else None
         self.chunks, self.by_word = Recent(most), Recent(most)
@@ -156,13 +164,19 @@ class WordEncoder:
         """Encode the chunks that aren't known; an entry has the number of ids, the ids and the tokens as text."""
         known, old = self.chunks.keys(), self.chunks.old
         new = [c for c in chunks if c not in known and c not in old]
-        parts = [[(p in self.merger.special, p) for p in (self.special.split(c) if self.special and "<|" in c else [c]) if p] for c in new]
-        cut = [[[p] if is_special else self.words(p) for is_special, p in x] for x in parts]
         ids, name, number = self.by_word, self.merger.names, self.number
-        distinct = [w for w in {w for y in cut for ws in y for w in ws} if not ids.known(w)]
+        plain = [c for c in new if "<|" not in c] if self.special else new
+        cut = [self.words(c) for c in plain]
+        odd = [] if len(plain) == len(new) else [c for c in new if "<|" in c]
+        parts = [[p for p in self.special.split(c) if p] for c in odd]
+        marked = [[[p] if p in self.merger.special else self.words(p) for p in x] for x in parts]
+        distinct = [w for w in {w for ws in cut for w in ws}.union(*[ws for x in marked for ws in x]) if not ids.known(w)]
         ids.update(zip(distinct, self.merger.encode_words(distinct)))
-        for c, x, y in zip(new, parts, cut):
-            own = [i for (is_special, p), ws in zip(x, y) for w in ws for i in ([self.merger.special[p]] if is_special else ids[w])]
+        for c, ws in zip(plain, cut):
+            own = ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]]
+            self.chunks[c] = (len(own), " ".join([number[i] for i in own]), " ".join([name[i] for i in own]))
+        for c, x, y in zip(odd, parts, marked):
+            own = [i for p, ws in zip(x, y) for w in ws for i in ([self.merger.special[p]] if p in self.merger.special else ids[w])]
             self.chunks[c] = (len(own), " ".join([number[i] for i in own]), " ".join([name[i] for i in own]))
         ids.turn()
 
