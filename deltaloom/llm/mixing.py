@@ -110,12 +110,19 @@ def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` as often as the mix serves them, whole: a copy that its target cuts is in if more than half
-    of it is. Other columns are carried unchanged."""
-    columns = docs.columns
-    others = [c for c in columns if c not in ("doc_id", "source")]
-    rows = mix(docs, keep=others, **options)
-    rows = rows.where((F.col("taken") > 0) & (F.col("taken") * 2 > F.col("size")))
-    return rows.select(*[F.col(c if c in ("doc_id", "source") else f"`keep_{c}`").alias(c) for c in columns])
+    of it is. Other columns are carried unchanged.
+
+    The mix is of narrow rows; texts are shuffled once, to meet the number of copies of their row. Rows that are equal in
+    all columns are interchangeable, so one of them stands for the copies of all.
+    """
+    plain = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    same = F.xxhash64(*plain, *[c.isNull() for c in plain])
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("of"), same.alias("hash"))
+    served = mix(rows, keep=["of", "hash"], **options).where((F.col("taken") > 0) & (F.col("taken") * 2 > F.col("size")))
+    copies = served.groupBy(F.col("keep_of").alias("of"), F.col("keep_hash").alias("hash")).agg(F.count("*").alias("copies"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    once = rows.select("row", "of", "hash").repartition(parts, "of", "hash").dropDuplicates(["of", "hash"])
+    return once.join(copies, ["of", "hash"]).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 OP1_SQL = r"""
