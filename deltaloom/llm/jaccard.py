@@ -210,7 +210,6 @@ def stars(entries: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"src": pa.array(doc[use]), "dst": pa.array(centers[use])})
             last_key, center = key[-1], centers[-1]
 
-    entries.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")  # narrow rows
     return entries.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "src long, dst long").distinct()
 
 
