@@ -252,7 +252,17 @@ def linked_documents(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
 
 
 def one_of_each(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` without all but the smallest document of every group; one row for each doc_id stays."""
-    kept = linked_documents(docs, k, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].cast("long") == kept["_kept_id"], "left_semi")
-    return rows.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The rows of ``docs`` without all but the smallest document of every group, and without repeated rows.
+
+    A document is a doc_id with a text, either may be null: texts under one doc_id, or under none, are linked and kept each on
+    its own. Of a group the smallest doc_id stays, null ids last; of rows that repeat a document, the smallest by the other
+    columns. What has no shingle is in no group and stays. Documents are told apart by 64-bit hashes.
+    """
+    key = F.xxhash64("doc_id", "text")
+    linked = linked_documents(docs.select(key.alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("_kept_key"), "component_id").distinct()
+    ids = docs.select(key.alias("_kept_key"), F.col("doc_id").cast("long").alias("id")).distinct()
+    smallest = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "_kept_key"))
+    kept = linked.join(ids, "_kept_key").groupBy("component_id").agg(smallest.alias("kept")).select("kept._kept_key")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("_kept_key")).join(kept, "_kept_key", "left_semi")
+    others = F.to_json(F.struct(*[F.col("row").getField(c) for c in docs.columns if c not in ("doc_id", "text")], F.lit(0)))
+    return rows.groupBy("_kept_key").agg(F.min_by("row", others).alias("row")).select("row.*")

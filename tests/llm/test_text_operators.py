@@ -261,6 +261,12 @@ def test_shingle_join_edges(spark):
     assert jaccard.linked_documents(frame(spark, [])).count() == 0
 
 
+def test_one_of_each_keeps_null_and_shared_ids(spark):
+    rows = [(None, "n o p q r", "en", "s", 1), (7, "a b c d e", "en", "s", 1), (7, "v w x y z", "en", "s", 1), (7, "v w x y z", "en", "r", 1), (9, "v w x y z", "en", "s", 1), (None, None, "en", "s", None), (3, "", "en", "s", 0)]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[1], rows[3], rows[5], rows[6]], key=str)
+
+
 # language model
 
 
