@@ -13,6 +13,11 @@ counted exactly: one query scans the inverted lists of its elements against all
 needed from sets that aren't joined to the most central set, which is asked first, so a group of near
 copies of one text takes one scan. Equal sets are one class throughout: only a class's smallest document is compared.
 
+A group of more than ``GROUP_BYTES`` of text is dealt in blocks. A task compares two blocks, all their sets with all: first
+one block with every other, which joins most near copies of one text; then what is not in the largest class so found with all
+blocks. Two sets of that class need no comparison and any other pair meets in a task, so the result is exact; components of
+the links that were verified end it.
+
 Shingles are 64-bit hashes of the words. Defined results: a null or empty text has no shingle and links with nothing; with
 fewer words than a shingle has, the whole sequence is one shingle; rows with the same doc_id are one document in the search
 for links; a null doc_id links with nothing and has a null component; an empty table gives none.
@@ -27,6 +32,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +43,8 @@ from .words import U, by_text, mixed, shingles, word_hashes
 WORDS, PERCENT = 4, 85
 #: No set above this size is light, however cheap: enumeration grows with a power of the size.
 LARGEST_LIGHT = 40
+#: Text of a group that one task takes, and half of what one takes of a group that is dealt in blocks.
+GROUP_BYTES, BLOCK_BYTES = 8 << 20, 4 << 20
 
 
 class Sizes:
@@ -165,18 +173,18 @@ def element_sets(texts: pa.Array | pa.ChunkedArray, k: int) -> list[np.ndarray]:
 
 
 def set_rows(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, h1, h2): the size and a 128-bit hash of every document's set."""
+    """(doc_id, n, h1, h2, bytes): the size and a 128-bit hash of every document's set, and the size of its text."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = element_sets(batch.column("text"), k)
             with np.errstate(over="ignore"):
                 h1, h2 = (np.array([mixed(x, salt).sum(dtype=U) for x in found], U).view(np.int64) for salt in (1, 2))
-            return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array([len(x) for x in found], pa.int64()), "h1": pa.array(h1), "h2": pa.array(h2)})
+            return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array([len(x) for x in found], pa.int64()), "h1": pa.array(h1), "h2": pa.array(h2), "bytes": pc.binary_length(batch.column("text")).cast(pa.int64())})
 
         return step
 
-    return map_text(docs, make, "doc_id long, n long, h1 long, h2 long", most=SMALL_STEP)
+    return map_text(docs, make, "doc_id long, n long, h1 long, h2 long, bytes long", most=SMALL_STEP)
 
 
 def list_entries(docs: DataFrame, k: int, percent: int, light: int) -> DataFrame:
@@ -214,7 +222,7 @@ def stars(entries: DataFrame) -> DataFrame:
 
 
 def verified(members: DataFrame, k: int, percent: int) -> DataFrame:
-    """(group, doc_id, text) -> (rep, root): exact components inside each group."""
+    """(grp, i, j, doc_id, text) -> (rep, root): exact components of what shares a task (grp, i, j)."""
 
     def run(key, group):
         doc_ids = np.array(group["doc_id"].to_pylist(), np.int64)
@@ -228,7 +236,37 @@ def verified(members: DataFrame, k: int, percent: int) -> DataFrame:
         doc_ids = doc_ids[order]
         return pa.table({"rep": pa.array(doc_ids[full], pa.int64()), "root": pa.array(doc_ids[[full[r] for r in roots]] if full else [], pa.int64())})
 
-    return members.groupBy("grp").applyInArrow(run, "rep long, root long")
+    return members.groupBy("grp", "i", "j").applyInArrow(run, "rep long, root long")
+
+
+def in_blocks(texts: DataFrame, placed: DataFrame, k: int, percent: int) -> DataFrame:
+    """(rep, root) of groups that are dealt in blocks. ``placed``: rep, grp, bytes, blocks; all narrow but ``texts``."""
+
+    def compared(tasks: DataFrame, name: str) -> DataFrame:
+        return written(verified(tasks.join(texts, F.col("rep") == F.col("doc_id")).select("grp", "i", "j", "doc_id", "text"), k, percent), name)
+
+    def every(n, start: int = 0):
+        return F.explode(F.sequence(F.lit(start), n - 1))
+
+    # rows that repeat a document are as many as they like; they are one here
+    texts = texts.join(placed.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").distinct()
+    at = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    zero = F.lit(0)
+    first = at.where("block > 0").select("rep", "grp", zero.alias("i"), F.col("block").alias("j"))
+    first = first.union(at.where("block = 0").select("rep", "grp", zero.alias("i"), every(F.col("blocks"), 1).alias("j")))
+    links = compared(first, "block-links")
+    classes = components(links.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
+    at = at.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("class", F.coalesce("component", "rep")).drop("component")
+    largest = at.groupBy("grp", "class").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("class", F.struct("n", "class")).alias("largest"))
+    left = written(at.join(largest, "grp").where("class <> largest"), "block-rest")
+    if left.isEmpty():
+        return at.select("rep", F.col("class").alias("root"))
+    parts = left.groupBy("grp").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("parts")).withColumn("parts", F.greatest("parts", F.lit(1)))
+    mine = left.join(parts, "grp").select("rep", "grp", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int").alias("i"), every(F.col("blocks")).alias("j"))
+    others = at.join(parts, "grp").select("rep", "grp", every(F.col("parts")).alias("i"), F.col("block").alias("j"))
+    links = links.union(compared(mine.union(others).distinct(), "block-links"))
+    found = components(links.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
+    return found.select(F.col("node").alias("rep"), F.col("component").alias("root"))
 
 
 def linked_documents(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -241,10 +279,18 @@ def linked_documents(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     groups = written(candidates.select(F.col("node").alias("rep"), F.col("component").alias("grp")), "candidate-groups")
     classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     wanted = classes.select("rep").distinct().join(groups, "rep")
-    wanted = wanted.join(wanted.groupBy("grp").count().where("count > 1"), "grp").select("rep", "grp")
-    members = texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("grp", "doc_id", "text")
-    found = verified(members, k, percent).groupBy("rep").agg(F.min("root").alias("root"))
-    found = written(found, "verified-links")
+    of_text = sets.where("n > 0").groupBy(F.col("doc_id").alias("rep")).agg(F.sum("bytes").alias("bytes"))
+    wanted = wanted.join(of_text, "rep")
+    sums = wanted.groupBy("grp").agg(F.count("*").alias("count"), F.sum("bytes").alias("sum")).where("count > 1")
+    blocks = F.when(F.col("sum") > GROUP_BYTES, F.ceil(F.col("sum") / BLOCK_BYTES).cast("int"))
+    placed = written(wanted.join(sums.select("grp", blocks.alias("blocks")), "grp"), "placed-candidates")
+    small, large = placed.where("blocks IS NULL"), placed.where("blocks IS NOT NULL")
+    none = F.lit(0)
+    members = texts.join(small, texts["doc_id"] == small["rep"]).select("grp", none.alias("i"), none.alias("j"), "doc_id", "text")
+    found = verified(members, k, percent)
+    if not large.isEmpty():
+        found = found.union(in_blocks(texts, large, k, percent))
+    found = written(found.groupBy("rep").agg(F.min("root").alias("root")), "verified-links")
     # ids that stand for several roots (rows that share a doc_id) are rare; one more step brings them together
     labelled = classes.join(found, "rep", "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("component"))
     rows = sets.join(labelled, ["h1", "h2", "n"], "left")

@@ -267,6 +267,31 @@ def test_one_of_each_keeps_null_and_shared_ids(spark):
     assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[1], rows[3], rows[5], rows[6]], key=str)
 
 
+def test_large_groups_are_dealt_in_blocks(spark, monkeypatch):
+    """A chain, copies of one text, and texts apart, all in groups that don't fit a task."""
+    rng, texts = random.Random(4), []
+    chain = noise(rng, 300, 4000).split()
+    texts += [" ".join(chain[i : i + 90]) for i in range(0, 200, 3)]
+    base = noise(rng, 90, 4000).split()
+    for i in range(60):
+        texts.append(" ".join([*base[: 90 - i % 4], *[f"n{i}"] * (i % 3)]))
+    texts += [texts[5], texts[70]]
+    seen, verified = [], jaccard.verified
+
+    def spy(members, *args):
+        seen.append([r["n"] for r in members.groupBy("grp", "i", "j").agg(F.sum(F.length("text")).alias("n")).collect()])
+        return verified(members, *args)
+
+    monkeypatch.setattr(jaccard, "verified", spy)
+    monkeypatch.setattr(jaccard, "GROUP_BYTES", 6000)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 3000)
+    for percent in (85, 92):
+        rows = jaccard.linked_documents(frame(spark, texts), 4, percent).collect()
+        assert {r["doc_id"]: r["component_id"] for r in rows} == dict(enumerate(components(shingle_sets(texts, 4), percent)))
+    tasks = [n for t in seen for n in t]
+    assert len(seen) > 2 and len(tasks) > 10 and max(tasks) < sum(map(len, texts)) / 2
+
+
 # language model
 
 
