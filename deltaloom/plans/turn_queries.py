@@ -135,7 +135,7 @@ def wilcoxon_exact_p(spark: SparkSession, sf: str) -> DataFrame:
 
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     rows = stats.per_event_recall(judged(spark, sf)).withColumn("recall", F.col("blocked") / F.col("introduced"))
-    return stats.bootstrap(rows, "condition", "recall", resamples=200)
+    return stats.bootstrap(rows, "condition", "recall")
 
 
 def holm_adjust(spark: SparkSession, sf: str) -> DataFrame:

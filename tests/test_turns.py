@@ -106,6 +106,21 @@ def test_holm_and_bootstrap(spark):
     assert spark.createDataFrame([(1,), (2,), (3,), (4,)], "x int").agg(stats.upper_median(F.col("x"))).first()[0] == 3
 
 
+def test_bootstrap_query_runs_all_resamples(spark):
+    from deltaloom.plans import turn_queries
+
+    small = "/root/testdata/sf0.001"
+    data: dict[str, list[float]] = {}
+    for r in turn_queries.per_event_recall(spark, small).collect():
+        data.setdefault(r["condition"], []).append(r["blocked"] / r["introduced"])
+    want = {}
+    for condition, values in data.items():
+        values, rng = sorted(values), random.Random(0)
+        means = sorted(sum(rng.choices(values, k=len(values))) / len(values) for _ in range(10_000))
+        want[condition] = (means[250], means[9749])
+    assert {r["condition"]: (r["low"], r["high"]) for r in turn_queries.bootstrap_ci(spark, small).collect()} == want
+
+
 def test_stream_is_batch(spark, tmp_path):
     from deltaloom.streaming.turn_state import turn_states
 
