@@ -1,7 +1,8 @@
 """Facts of Python source files as tables: symbols, imports, calls, assignments, guards; one file at a time.
 
 Parsing needs Python, so files go through Arrow batches; everything after it is relational. A file that doesn't parse
-gives one row of kind 'error'. Digests are of the code without comments, docstrings, layout and nested definitions.
+gives one row of kind 'error'. A call's ``uses`` are the names of all its arguments; its ``detail``, for reading, and a guard's
+are the first 120 characters of the code. Digests are of the code without comments, docstrings, layout and nested definitions.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "path string, kind string, symbol string, name string, target string, line int, end_line int, digest string, detail string"
+SCHEMA = "path string, kind string, symbol string, name string, target string, line int, end_line int, digest string, detail string, uses array<string>"
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 
 
@@ -79,12 +80,17 @@ def rejects(body: list[ast.stmt]) -> bool:
     return False
 
 
+def argument_names(call: ast.Call) -> list[str]:
+    """The variables that a call's arguments name, however long its text is."""
+    return sorted({n.id for a in [*call.args, *(k.value for k in call.keywords)] for n in ast.walk(a) if isinstance(n, ast.Name)})
+
+
 def extract(path: str, text: str) -> list[tuple]:
     """Rows of SCHEMA. Imports name the local alias and the full target, relative ones with leading dots."""
     try:
         tree = ast.parse(text or "")
     except (SyntaxError, ValueError) as e:
-        return [(path, "error", None, None, None, getattr(e, "lineno", None), None, None, str(e)[:120])]
+        return [(path, "error", None, None, None, getattr(e, "lineno", None), None, None, str(e)[:120], None)]
     rows: list[tuple] = []
 
     def visit(node: ast.AST, qualname: str) -> None:
@@ -92,25 +98,25 @@ def extract(path: str, text: str) -> list[tuple]:
         kind = "module" if not qualname else "class" if isinstance(node, ast.ClassDef) else "function"
         args = getattr(node, "args", None)
         names = {a.arg for a in [*args.posonlyargs, *args.args, *args.kwonlyargs, *filter(None, (args.vararg, args.kwarg))]} if args else set()
-        rows.append((path, kind, symbol, qualname or None, None, getattr(node, "lineno", 1), getattr(node, "end_lineno", None), digest(node), ",".join(a.arg for a in args.args) if args else None))
+        rows.append((path, kind, symbol, qualname or None, None, getattr(node, "lineno", 1), getattr(node, "end_lineno", None), digest(node), ",".join(a.arg for a in args.args) if args else None, None))
         for n in own_nodes(node):
             if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store):
                 names.add(n.id)
         for n in own_nodes(node):
             where = (getattr(n, "lineno", None), getattr(n, "end_lineno", None), None)
             if isinstance(n, ast.Import):
-                rows.extend((path, "import", symbol, a.asname or a.name.split(".")[0], a.name if a.asname else a.name.split(".")[0], *where, None) for a in n.names)
+                rows.extend((path, "import", symbol, a.asname or a.name.split(".")[0], a.name if a.asname else a.name.split(".")[0], *where, None, None) for a in n.names)
             elif isinstance(n, ast.ImportFrom):
                 base = "." * n.level + (n.module or "")
-                rows.extend((path, "star-import" if a.name == "*" else "import", symbol, a.asname or a.name, base if a.name == "*" else f"{base}.{a.name}" if n.module else f"{base}{a.name}", *where, None) for a in n.names)
+                rows.extend((path, "star-import" if a.name == "*" else "import", symbol, a.asname or a.name, base if a.name == "*" else f"{base}.{a.name}" if n.module else f"{base}{a.name}", *where, None, None) for a in n.names)
             elif isinstance(n, ast.Call):
-                rows.append((path, "call", symbol, dotted(n.func), None, *where, ast.unparse(n)[:120]))
+                rows.append((path, "call", symbol, dotted(n.func), None, *where, ast.unparse(n)[:120], argument_names(n)))
             elif isinstance(n, ast.Assign):
-                rows.extend((path, "assign", symbol, t.id, dotted(n.value.func) if isinstance(n.value, ast.Call) else dotted(n.value), *where, None) for t in n.targets if isinstance(t, ast.Name))
+                rows.extend((path, "assign", symbol, t.id, dotted(n.value.func) if isinstance(n.value, ast.Call) else dotted(n.value), *where, None, None) for t in n.targets if isinstance(t, ast.Name))
             elif isinstance(n, ast.Assert):
-                rows.append((path, "guard", symbol, "assert", fingerprint(n.test, names), *where, ast.unparse(n.test)[:120]))
+                rows.append((path, "guard", symbol, "assert", fingerprint(n.test, names), *where, ast.unparse(n.test)[:120], None))
             elif isinstance(n, ast.If) and (rejects(n.body) or rejects(n.orelse)):
-                rows.append((path, "guard", symbol, "reject", fingerprint(n.test, names), *where, ast.unparse(n.test)[:120]))
+                rows.append((path, "guard", symbol, "reject", fingerprint(n.test, names), *where, ast.unparse(n.test)[:120], None))
         inner = [c for c in ast.iter_child_nodes(node) if isinstance(c, _DEFS)]
         deep = [c for s in own_body(node) if not isinstance(s, _DEFS) for w in _walk(s) for c in ast.iter_child_nodes(w) if isinstance(c, _DEFS)]
         for child in [*inner, *deep]:
@@ -124,7 +130,7 @@ def code_facts(files: DataFrame) -> DataFrame:
     """(path, text) -> facts, one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string()] * 5 + [pa.int32()] * 2 + [pa.string()] * 2
+        kinds = [pa.string()] * 5 + [pa.int32()] * 2 + [pa.string()] * 2 + [pa.list_(pa.string())]
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         for batch in batches:
             rows = [r for p, t in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()) for r in extract(p, t)]
@@ -193,7 +199,7 @@ def drawn_edges(roles: DataFrame, facts: DataFrame) -> DataFrame:
     sanitize = rows.where("role = 'sanitizer'").select(F.lit("g").alias("graph_id"), F.col("symbol").alias("src"), "dst", F.lit("sanitize").alias("kind"), F.array("symbol").alias("via"), "resolution")
     made = facts.where("kind = 'assign' AND target IS NOT NULL").select("symbol", F.col("name").alias("variable"), F.col("target").alias("name"))
     source = rows.select("symbol", "name", F.col("dst").alias("from")).join(made, ["symbol", "name"]).select("symbol", "variable", "from").distinct()
-    used = facts.where("kind = 'call'").select("symbol", F.col("name").alias("callee"), "line", F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace("detail", r"^[^(]*\(", ""), F.lit(r"\b[A-Za-z_]\w*\b"), F.lit(0)))).alias("variable"))
+    used = facts.where("kind = 'call'").select("symbol", F.col("name").alias("callee"), "line", F.explode("uses").alias("variable"))
     flow = source.join(used, ["symbol", "variable"]).join(rows.select("symbol", F.col("name").alias("callee"), "line", "dst", "resolution"), ["symbol", "callee", "line"])
     taint = flow.where("`from` <> dst").select(F.lit("g").alias("graph_id"), F.col("from").alias("src"), "dst", F.lit("taint").alias("kind"), F.array("symbol").alias("via"), "resolution")
     return call.union(sanitize).union(taint).distinct()

@@ -111,3 +111,12 @@ def test_roles_edges_and_checks(spark):
     assert {e[1:] for e in edges if e[0] == "taint"} == {("unknown::req.get", "m.py::check"), ("unknown::req.get", "os.getenv"), ("os.getenv", "os.system")}
     got = {(r["event_id"], r["name"]): (r["status"], r["detail"]) for r in facts.event_checks(files, rows).collect()}
     assert got == {("e", "size"): ("ok", str(len(source) + 3)), ("e", "parse"): ("fail", "bad.py"), ("g", "size"): ("warn", "30000"), ("g", "parse"): ("ok", "")}
+
+
+def test_edges_of_long_calls(spark):
+    from deltaloom.operators import facts
+
+    source = f"import os\n\ndef f(req):\n    a = req.get('x')\n    b = os.getenv('y')\n    os.system('{'select ' * 40} b', key=[a])\n"
+    rows = facts.code_facts(spark.createDataFrame([("m.py", source)], "path string, text string"))
+    roles = facts.call_roles(facts.resolved_calls(rows), spark.createDataFrame([("os.system", "sink", "command")], "target string, role string, family string"))
+    assert [(r["src"], r["dst"]) for r in facts.drawn_edges(roles, rows).where("kind = 'taint'").collect()] == [("unknown::req.get", "os.system")]
