@@ -76,25 +76,3 @@ def map_text(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
             gc.enable()
 
     return df.mapInArrow(run, schema)
-
-
-class Recent(dict):
-    """A dictionary of at most twice ``most`` entries: those that aren't asked for again go first."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.old = most, {}
-
-    def __missing__(self, key):
-        value = self.old[key]
-        self[key] = value
-        return value
-
-    def known(self, key) -> bool:
-        return key in self or key in self.old
-
-    def turn(self) -> None:
-        """Call between steps, when no reference into the entries is held."""
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
