@@ -61,9 +61,6 @@ def steps(batch: pa.RecordBatch, text: str = "text", most: int = STEP_CHARS) ->
 def map_text(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, text: str = "text", most: int = STEP_CHARS) -> DataFrame:
     """``mapInArrow`` in bounded steps; ``make`` runs once in each task and returns the function of a step."""
 
-    # texts may be long: few rows at once between the JVM and its workers
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         gc.disable()  # large dictionaries of small objects and no cycles: walking them costs more than the work itself

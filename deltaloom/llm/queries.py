@@ -38,8 +38,8 @@ def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, counts = tokenfile.write_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
-    return tokenfile.read_tokens(spark, folder, counts)
+    folder = tokenfile.write_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return tokenfile.read_tokens(spark, folder)
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,24 +1,33 @@
 """Token ids as compressed binary blocks: a static range asymmetric numeral system.
 
-One frequency table, counted over the ids of all documents, is shared by every block. A block holds whole documents and
-is decoded without any other block: ``LANES`` coders are interleaved (token i belongs to lane i mod LANES), so encoding
-and decoding step through a block with array operations; a block also holds checkpoints, the coders' states and the
-position in the words at every ``EVERY``-th step, from which a reader may start, and ends in a checksum.
-
-Block layout, little-endian: magic ``DLT1``; uint32 number of documents, tokens, words, checkpoints; int64 doc_id and
-uint8 null flag and uint32 length of each document; uint64 states at the start; checkpoints (uint32 step, uint32 word, uint64
-states); uint32 words; uint32 CRC-32 of all that.
-
-Files: documents are ranged by doc_id into parts, a part's blocks are rows (part, block, data) of a Parquet data set in
-the shared folder, in ascending order of part and block. Spark's writers commit them, so a lost executor repeats its task.
-
-Defined results: a null or empty text has the end id only; null doc_ids come last; rows with the same doc_id are ordered
-by their ids; an empty table gives no block. Special tokens' strings in a text are special tokens, as in the library.
+One frequency table, counted over the ids of all documents, is shared by every block and stored with the files. A block holds
+whole documents and is decoded without any other block: ``LANES`` coders are interleaved (token i belongs to lane i mod
+LANES), so encoding and decoding step through a block with array operations. A block also holds checkpoints, the coders'
+states and the position in the words at every ``EVERY``-th step, and ends in a checksum; a reader decodes the stretches
+between all checkpoints side by side, or starts from one of them.
+
+Block layout, little-endian: magic ``DLT2``; uint32 number of documents, tokens, words, checkpoints, CRC-32 of the table;
+int64 doc_id and uint8 null flag and uint32 length of each document; uint64 states at the start; checkpoints (uint32 step,
+uint32 word, uint64 states); uint32 words; uint32 CRC-32 of all that.
+
+A folder has ``table`` (id, n: how often each id of the vocabulary occurs, and the end id) and ``blocks``, rows (part, block,
+data) of a Parquet data set in the shared folder. Nothing else is needed to read the ids back. Documents are ranged over the
+parts by doc_id, and files are named in that order, so that files, rows and documents ascend by doc_id. Spark's writers commit
+them, so a lost executor repeats its task.
+
+Hot ids: rows that share a doc_id, or have none, are ranged by a hash of their ids and by the place where they were read, so
+that however many there are they spread over parts.
+
+Defined results: a null or empty text has the end id only; null doc_ids come last; rows with the same doc_id are ordered by a
+hash of their ids; rows that repeat are written each; an empty table gives no block; other columns are ignored, whatever their
+names. Special tokens' strings in a text are special tokens, as in the library. A text of any length is one document of one
+block, so a task holds one whole document at least.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -26,13 +35,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
 from .common import map_text, shared_dir, written
 
-MAGIC, LANES, EVERY, BLOCK, SCALE = b"DLT1", 512, 128, 131_072, 20
+MAGIC, LANES, EVERY, BLOCK, SCALE = b"DLT2", 2_048, 64, 524_288, 20
 LOW = np.uint64(1 << 31)
 
 
@@ -40,6 +50,7 @@ class Model:
     """Frequencies of the ids, scaled to 2^SCALE; only ids that occur have a share."""
 
     def __init__(self, counts: np.ndarray):
+        self.mark = zlib.crc32(np.asarray(counts, "<i8").tobytes())
         counts = np.asarray(counts, np.float64)
         used = counts > 0
         total, size = counts.sum(), 1 << SCALE
@@ -81,24 +92,38 @@ class Model:
         checkpoints = [(step, int(read[step]), x) for step, x in reversed(marks)]
         return state, np.concatenate(words) if words else np.empty(0, np.uint32), checkpoints
 
-    def decode(self, n: int, state: np.ndarray, words: np.ndarray, step: int = 0, at: int = 0) -> np.ndarray:
-        """The ids from ``step`` on."""
-        rows, state = -(-n // LANES), state.copy()
-        out = np.empty(max(0, n - step * LANES), np.uint32)
+    def decode(self, n: int, starts: list[tuple[int, int, np.ndarray]], words: np.ndarray) -> np.ndarray:
+        """The ids from the first of ``starts`` on, all stretches between these (step, word, states) at once."""
+        rows, first = -(-n // LANES), starts[0][0]
+        out = np.zeros((rows - first, LANES), np.uint32)
+        step, at = (np.array(x, np.int64) for x in zip(*[(s, w) for s, w, _ in starts]))
+        state = np.stack([x for _, _, x in starts])
+        many = np.diff(np.append(step, rows))
         mask = np.uint64((1 << SCALE) - 1)
         words = words.astype(np.uint64)
-        for i in range(step, rows):
-            x = state[: min(LANES, n - i * LANES)]
+        for i in range(int(many.max(initial=0))):
+            live = int((many > i).sum())  # stretches are equally long, but for the last one
+            if live < len(state):
+                state, at, step = state[:live], at[:live], step[:live]
+            x = state
             slot = x & mask
             s = self.symbol[slot]
-            out[(i - step) * LANES : (i - step) * LANES + len(s)] = s
-            x = self.freq[s] * (x >> np.uint64(SCALE)) + slot - self.start[s]
-            low = np.flatnonzero(x < LOW)
-            if len(low):
-                x[low] = (x[low] << np.uint64(32)) | words[at : at + len(low)]
-                at += len(low)
-            state[: len(x)] = x
-        return out
+            if int(step[-1]) + i == rows - 1 and (over := rows * LANES - n):  # lanes without a token stand still
+                s[-1, LANES - over :] = 0
+                new = self.freq[s] * (x >> np.uint64(SCALE)) + slot - self.start[s]
+                new[-1, LANES - over :] = LOW
+                x = new
+            else:
+                x = self.freq[s] * (x >> np.uint64(SCALE)) + slot - self.start[s]
+            out[step + i - first] = s
+            low = x < LOW
+            found = low.sum(1)
+            row, lane = np.nonzero(low)
+            if len(row):
+                x[row, lane] = (x[row, lane] << np.uint64(32)) | words[np.repeat(at - np.cumsum(found) + found, found) + np.arange(len(row))]
+                at = at + found
+            state = x
+        return out.ravel()[: n - first * LANES]
 
 
 def pack(model: Model, doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
@@ -106,7 +131,7 @@ def pack(model: Model, doc_ids: list[int | None], ids: list[np.ndarray]) -> byte
     state, words, marks = model.encode(flat)
     parts = [
         MAGIC,
-        struct.pack("<4I", len(ids), len(flat), len(words), len(marks)),
+        struct.pack("<5I", len(ids), len(flat), len(words), len(marks), model.mark),
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
         np.array([d is None for d in doc_ids], "u1").tobytes(),
         np.array([len(x) for x in ids], "<u4").tobytes(),
@@ -122,8 +147,10 @@ def unpack(model: Model, data: bytes, checkpoint: int | None = None) -> tuple[li
     """doc_ids, lengths and ids of a block; with ``checkpoint``, the ids from that checkpoint on."""
     if data[:4] != MAGIC or zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
         raise ValueError("not a token block, or its checksum fails")
-    docs, n, n_words, n_marks = struct.unpack_from("<4I", data, 4)
-    at = 20
+    docs, n, n_words, n_marks, table = struct.unpack_from("<5I", data, 4)
+    if table != model.mark:
+        raise ValueError("the block was written with another frequency table")
+    at = 24
 
     def take(kind: str, count: int) -> np.ndarray:
         nonlocal at
@@ -136,8 +163,8 @@ def unpack(model: Model, data: bytes, checkpoint: int | None = None) -> tuple[li
         step, word = take("<u4", 2).tolist()
         marks.append((step, word, take("<u8", LANES)))
     words = take("<u4", n_words)
-    step, word, state = (0, 0, state) if checkpoint is None else marks[checkpoint]
-    ids = model.decode(n, state, words, step, word)
+    starts = [(0, 0, state), *marks] if checkpoint is None else marks[checkpoint:]
+    ids = model.decode(n, starts, words) if n else np.empty(0, np.uint32)
     return [None if x else d for d, x in zip(doc_ids.tolist(), null.tolist())], sizes, ids
 
 
@@ -145,11 +172,14 @@ class ByteEncoder:
     """Ids of texts as the ``tokenizers`` library gives them for a byte-level vocabulary file.
 
     Where ids follow the order of the merges, as in such files they do, ``tiktoken`` gives the same ids several times
-    faster from the same vocabulary; any other file, and texts with special tokens' strings, go to the library itself.
+    faster from the same vocabulary. It recurses on long runs, so it only gets texts whose runs of blanks and of other
+    characters are shorter than ``RUN``; all others, texts with special tokens' strings and any other file go to the library.
     """
 
     #: What the library's byte-level pre-tokeniser cuts.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    RUN = 2_000
+    LONG = re.compile(rf"[^\S\x1c-\x1f]{{{RUN}}}|[\S\x1c-\x1f]{{{RUN}}}")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -176,40 +206,55 @@ class ByteEncoder:
         return tiktoken.Encoding("from-file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if self.fast is None or any(s in text for s in self.special):
+        if self.fast is None or any(s in text for s in self.special) or (len(text) >= self.RUN and self.LONG.search(text)):
             return self.library.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
-    def texts(self, texts: list[str | None], end: int | None) -> list[bytes]:
-        """Little-endian 16-bit ids of each text, followed by ``end``."""
+    def texts(self, texts: list[str | None], end: int | None, kind: str = "<u2") -> list[bytes]:
+        """Little-endian ids of each text, followed by ``end``."""
         last = [] if end is None else [end]
-        return [np.array([*(self.ids(t) if t else ()), *last], "<u2").tobytes() for t in texts]
+        return [np.array([*(self.ids(t) if t else ()), *last], kind).tobytes() for t in texts]
+
 
+def vocabulary_size(path: str, end: int | None) -> int:
+    """One more than the largest id that can occur."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    return 1 + max([*spec["model"]["vocab"].values(), *[t["id"] for t in spec["added_tokens"]], 0 if end is None else end])
 
-def token_rows(docs: DataFrame, path: str, end: int | None, bounds: list[int]) -> DataFrame:
-    """(doc_id, part, ids): ids as little-endian 16-bit numbers; part by ``bounds`` on doc_id, nulls in the last."""
+
+def kind_of(vocabulary: int) -> str:
+    """How ids are kept between the encoder and the blocks."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def token_rows(docs: DataFrame, path: str, end: int | None, kind: str) -> DataFrame:
+    """(doc_id, tie, place, ids): ids as little-endian numbers; a hash of them; where the row was read."""
 
     def make():
         encoder = ByteEncoder(path)
-        edges = np.array(bounds, np.int64)
+        place = 0
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            doc_ids = batch.column("doc_id")
-            part = [len(edges) if d is None else int(np.searchsorted(edges, d, "left")) for d in doc_ids.to_pylist()]
-            return pa.RecordBatch.from_pydict({"doc_id": doc_ids, "part": pa.array(part, pa.int32()), "ids": pa.array(encoder.texts(batch.column("text").to_pylist(), end), pa.binary())})
+            nonlocal place
+            ids = encoder.texts(batch.column("text").to_pylist(), end, kind)
+            place += len(ids)
+            ties = np.array([xxhash.xxh64_intdigest(x) for x in ids], np.uint64).view(np.int64)
+            return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "tie": pa.array(ties), "place": pa.array(np.arange(place - len(ids), place)), "ids": pa.array(ids, pa.binary())})
 
         return step
 
-    return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, part int, ids binary")
+    return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, tie long, place long, ids binary")
 
 
 def id_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     """How often each id occurs in all documents; as many rows reach the driver as the vocabulary has ids."""
+    kind = kind_of(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            counts += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u2"), minlength=vocabulary)
+            counts += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind), minlength=vocabulary)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"id": pa.array(used, pa.int32()), "n": pa.array(counts[used], pa.int64())})
 
@@ -219,65 +264,67 @@ def id_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     return out
 
 
-def write_tokens(docs: DataFrame, path: str, end: int | None = 2, vocabulary: int = 50_257, part_docs: int = 2_000, folder: str | None = None) -> tuple[str, np.ndarray]:
-    """Encode every document and write the blocks; returns the folder and the counts, which are the shared table.
+def write_tokens(docs: DataFrame, path: str, end: int | None = 2, file_tokens: int = 8_000_000, folder: str | None = None) -> str:
+    """Encode every document and write the table and the blocks; returns the folder.
 
-    ``part_docs``: documents in a part, about.
+    ``file_tokens``: tokens in a file, about; a file has the blocks of one part.
     """
     spark = docs.sparkSession
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    rows = known.count()
-    parts = max(1, min(10_000, rows // part_docs))
-    marks = known.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(100 * parts))).first()[0] if parts > 1 else None
-    bounds = sorted(set(marks or []))
-    tokens = written(token_rows(docs, path, end, bounds), "tokens")
+    vocabulary = vocabulary_size(path, end)
+    kind = kind_of(vocabulary)
+    folder = folder or f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    tokens = written(token_rows(docs, path, end, kind), "tokens")
     counts = id_counts(tokens, vocabulary)
+    spark.createDataFrame(pa.table({"id": pa.array(np.arange(vocabulary)), "n": pa.array(counts)})).coalesce(1).write.parquet(f"{folder}/table")
     shared = spark.sparkContext.broadcast(counts)  # the vocabulary bounds it
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         model = Model(shared.value)
-        part, number, doc_ids, held, size = None, 0, [], [], 0
+        part, number, doc_ids, held, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
             data = pack(model, doc_ids, held)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([number], pa.int32()), "data": pa.array([data], pa.binary())})
 
         for batch in batches:
-            for p, d, raw in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-                if held and (p != part or size >= BLOCK):
+            for d, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
+                if size >= BLOCK:
                     yield flush()
-                    number, doc_ids, held, size = number + 1 if p == part else 0, [], [], 0
-                if p != part:
-                    part, number = p, 0
-                ids = np.frombuffer(raw, "<u2").astype(np.uint32)
+                    number, doc_ids, held, size = number + 1, [], [], 0
+                ids = np.frombuffer(raw, kind).astype(np.uint32)
                 doc_ids.append(d)
                 held.append(ids)
                 size += len(ids)
         if held:
             yield flush()
 
-    ordered = tokens.repartition(max(1, min(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))), "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "ids")
-    folder = folder or f"{shared_dir(spark)}/token-blocks-{uuid.uuid4().hex}"
-    ordered.mapInArrow(blocks, "part int, block int, data binary").write.option("compression", "uncompressed").parquet(folder)
-    return folder, counts
+    order = (F.col("doc_id").asc_nulls_last(), F.col("tie").asc(), F.col("place").asc())
+    parts = max(1, min(20_000, int(counts.sum()) // file_tokens))
+    ordered = tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    ordered.mapInArrow(blocks, "part int, block int, data binary").write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+    return folder
 
 
-def read_tokens(spark, folder: str, counts: np.ndarray, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the files; with ``with_ids`` also ids (array of int)."""
+def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the files of ``folder``; with ``with_ids`` also ids (array of int)."""
+    table = spark.read.schema("id long, n long").parquet(f"{folder}/table").toArrow()  # as many rows as the vocabulary has ids
+    counts = np.zeros(table.num_rows, np.int64)
+    counts[table["id"].to_numpy()] = table["n"].to_numpy()
     shared = spark.sparkContext.broadcast(counts)
-    schema = "part int, block int, place int, doc_id long, inside long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    schema = "part int, block int, doc_id long, inside long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(shared.value)
         for batch in batches:
-            for part, block, data in zip(batch.column("part").to_pylist(), batch.column("block").to_pylist(), batch.column("data").to_pylist()):
-                doc_ids, sizes, ids = unpack(model, data)
+            for part, block, data in zip(batch.column("part").to_pylist(), batch.column("block").to_pylist(), batch.column("data")):
+                doc_ids, sizes, ids = unpack(model, data.as_py())
                 ends = np.cumsum(sizes.astype(np.int64))
                 starts, raw = ends - sizes, memoryview(ids.astype("<u4").tobytes())
                 columns = {
                     "part": pa.array([part] * len(sizes), pa.int32()),
                     "block": pa.array([block] * len(sizes), pa.int32()),
-                    "place": pa.array(np.arange(len(sizes)), pa.int32()),
                     "doc_id": pa.array(doc_ids, pa.int64()),
                     "inside": pa.array(starts, pa.int64()),
                     "n_tokens": pa.array(sizes.astype(np.int64), pa.int64()),
@@ -287,8 +334,8 @@ def read_tokens(spark, folder: str, counts: np.ndarray, with_ids: bool = False)
                     columns["ids"] = pa.array([ids[a:b].tolist() for a, b in zip(starts.tolist(), ends.tolist())], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(columns)
 
-    found = written(spark.read.schema("part int, block int, data binary").parquet(folder).mapInArrow(run, schema), "token-index")
-    # blocks are few (one for each 131,072 tokens); parts fewer
+    found = written(spark.read.schema("part int, block int, data binary").parquet(f"{folder}/blocks").mapInArrow(run, schema), "token-index")
+    # blocks are few (one for each 524,288 tokens); parts fewer
     blocks = found.groupBy("part", "block").agg(F.sum("n_tokens").alias("in_block"))
     parts = blocks.groupBy("part").agg(F.sum("in_block").alias("in_part"))
     before = parts.select(F.col("part"), (F.sum("in_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_part")).alias("part_start"))

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from deltaloom.llm import embeddings, fmindex, media, tokenfile
@@ -35,12 +36,12 @@ def test_ids_are_the_library(library):
     assert encoder.fast is not None
     rng = random.Random(2)
     letters = "aAbé  \n\n\t\x1c\x85　​日本12's're<|endoftext|>²½한😀-_=&%"
-    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + ["x  <|endoftext|> y", "", "a" * 50_000]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + ["x  <|endoftext|> y", "", "a" * 50_000, " " * 1_000_000, "\x1c!" * 100_000, "a" * 1_999 + " " * 1_999 + "\n" * 1_999]
     for text, raw in zip(texts, encoder.texts(texts, 2)):
         assert np.frombuffer(raw, "<u2").tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
 
 
-@pytest.mark.parametrize("sizes", [[], [0], [1], [511, 1, 0], [70_000, 3], [300_000]])
+@pytest.mark.parametrize("sizes", [[], [0], [1], [2047, 1, 0], [2047, 2], [270_000, 3], [64 * 2048], [64 * 2048 + 5], [900_000]])
 def test_blocks_round_trip(sizes):
     rng = np.random.default_rng(len(sizes))
     ids = [np.minimum(rng.geometric(0.001, n), 50_256).astype(np.uint32) for n in sizes]
@@ -60,18 +61,28 @@ def test_blocks_round_trip(sizes):
 def test_token_files(spark, library):
     rows = [(i * 3, t) for i, t in enumerate(["Hello world", None, "", "a  b\n", "Hello world", "x" * 9000] * 5)] + [(None, "null id"), (3, "same id"), (3, "same id")]
     df = spark.createDataFrame(rows, SCHEMA).repartition(5).withColumn("part", F.lit("clash")).withColumn("ids", F.lit(0))
-    folder, counts = tokenfile.write_tokens(df, tokenizer_file("byte_bpe_50k.json"), part_docs=7)
-    out = tokenfile.read_tokens(spark, folder, counts, with_ids=True).collect()
+    folder = tokenfile.write_tokens(df, tokenizer_file("byte_bpe_50k.json"), file_tokens=300)
+    out = tokenfile.read_tokens(spark, folder, with_ids=True).collect()
     want = sorted(((d is None, d or 0, [*library.encode(t or "", add_special_tokens=False).ids, 2]) for d, t in rows))
     found = sorted(out, key=lambda r: r["start"])
+    tie = lambda ids: int(np.array([xxhash.xxh64_intdigest(np.array(ids, "<u2").tobytes())], np.uint64).view(np.int64)[0])
     start = 0
-    for r, (null, d, ids) in zip(found, sorted(want, key=lambda x: (x[0], x[1], np.array(x[2], "<u2").tobytes()))):
+    for r, (null, d, ids) in zip(found, sorted(want, key=lambda x: (x[0], x[1], tie(x[2])))):
         assert r["doc_id"] == (None if null else d) and r["ids"] == ids and r["start"] == start and r["n_tokens"] == len(ids)
         assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
-    assert len(out) == len(rows) and counts.sum() == start
-    folder, counts = tokenfile.write_tokens(spark.createDataFrame([], SCHEMA), tokenizer_file("byte_bpe_50k.json"))
-    assert tokenfile.read_tokens(spark, folder, counts).count() == 0
+    assert len(out) == len(rows) and spark.read.parquet(f"{folder}/table").agg(F.sum("n")).first()[0] == start
+    # files in the order of their names ascend by doc_id, nulls last
+    model = tokenfile.Model(spark.read.parquet(f"{folder}/table").orderBy("id").toPandas()["n"].to_numpy())
+    files = spark.read.parquet(f"{folder}/blocks").withColumn("file", F.regexp_extract(F.input_file_name(), "part-([0-9]+)", 1)).orderBy("file", "block").collect()
+    assert len({f["file"] for f in files}) > 1
+    order = [d for f in files for d in tokenfile.unpack(model, bytes(f["data"]))[0]]
+    assert order == sorted((d for d, _ in rows), key=lambda d: (d is None, d or 0))
+    other = tokenfile.Model(np.ones(50_257))
+    with pytest.raises(ValueError, match="table"):
+        tokenfile.unpack(other, bytes(files[0]["data"]))
+    folder = tokenfile.write_tokens(spark.createDataFrame([], SCHEMA), tokenizer_file("byte_bpe_50k.json"))
+    assert tokenfile.read_tokens(spark, folder).count() == 0
 
 
 # media
