@@ -29,8 +29,10 @@ from __future__ import annotations
 import json
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -179,7 +181,7 @@ class ByteEncoder:
     #: What the library's byte-level pre-tokeniser cuts.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     RUN = 2_000
-    LONG = re.compile(rf"[^\S\x1c-\x1f]{{{RUN}}}|[\S\x1c-\x1f]{{{RUN}}}")
+    BLANK, OTHER = re.compile(r"[^\S\x1c-\x1f]"), re.compile(r"[\S\x1c-\x1f]")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -205,15 +207,23 @@ class ByteEncoder:
         ranks = {bytes(map(letter.__getitem__, token)): i for token, i in vocab.items() if token not in self.special}
         return tiktoken.Encoding("from-file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def has_long_run(self, text: str) -> bool:
+        """Is there a run of ``RUN`` characters? It would hold a whole stretch of half that length, as counted from the start."""
+        half = self.RUN // 2
+        return any(not (self.BLANK.search(text, i, i + half) and self.OTHER.search(text, i, i + half)) for i in range(0, len(text) - half + 1, half))
+
     def ids(self, text: str) -> list[int]:
-        if self.fast is None or any(s in text for s in self.special) or (len(text) >= self.RUN and self.LONG.search(text)):
+        if self.fast is None or any(s in text for s in self.special) or self.has_long_run(text):
             return self.library.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
     def texts(self, texts: list[str | None], end: int | None, kind: str = "<u2") -> list[bytes]:
         """Little-endian ids of each text, followed by ``end``."""
-        last = [] if end is None else [end]
-        return [np.array([*(self.ids(t) if t else ()), *last], kind).tobytes() for t in texts]
+        last = b"" if end is None else np.array([end], kind).tobytes()
+        if sys.byteorder == "little":
+            code = {"<u2": "H", "<u4": "I"}[kind]
+            return [array(code, self.ids(t)).tobytes() + last if t else last for t in texts]
+        return [np.array(self.ids(t), kind).tobytes() + last if t else last for t in texts]
 
 
 def vocabulary_size(path: str, end: int | None) -> int:
