@@ -7,7 +7,7 @@ agree in whole parts, and a list holds the sets with the same elements in one pa
 to spare, need no list. Where a set has so many empty parts that agreement could be in those alone, its elements are lists. The boundary between light
 and heavy is the size up to which enumeration is estimated to cost less, over the sizes that occur.
 
-Lists are read in the order of their key and link every set to the smallest document of the list, so they are streams of
+Lists are read in the order of their key and link every set to the smallest one of the list, so they are streams of
 bounded memory and give one row for each entry, never pairs. The linked candidates form groups; in a group the overlaps are
 counted exactly: one query scans the inverted lists of its elements against all sets of the group at once. A query is only
 needed from sets that aren't joined to the most central set, which is asked first, so a group of near
@@ -18,15 +18,19 @@ one block with every other, which joins most near copies of one text; then what
 blocks. Two sets of that class need no comparison and any other pair meets in a task, so the result is exact; components of
 the links that were verified end it.
 
-Shingles are 64-bit hashes of the words. Defined results: a null or empty text has no shingle and links with nothing; with
-fewer words than a shingle has, the whole sequence is one shingle; rows with the same doc_id are one document in the search
-for links; a null doc_id links with nothing and has a null component; an empty table gives none.
+Hot keys: equal sets enter a list once in each task that reads them, however many rows have them; lists, hubs and classes of
+many copies are read as streams, dealt in blocks, or met by broadcast where there can only be few of them.
+
+Shingles are 64-bit hashes of the words, sets are told apart by 128 bits. Defined results: a null or empty text has no
+shingle and links with nothing; with fewer words than a shingle has, the whole sequence is one shingle; rows are linked by
+their texts only, so rows that share a doc_id may be in different components; rows that repeat are linked; a null doc_id links
+with nothing and has a null component; a text of any length is one set, and a task holds one whole set at least; a similarity
+of exactly the bound is a link; an empty table gives none; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 from math import comb
 
@@ -37,12 +41,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SMALL_STEP, map_text, written
-from .components import components
+from .components import HUB, HUBS, components
 from .words import U, by_text, mixed, shingles, word_hashes
 
 WORDS, PERCENT = 4, 85
-#: No set above this size is light, however cheap: enumeration grows with a power of the size.
-LARGEST_LIGHT = 40
 #: Text of a group that one task takes, and half of what one takes of a group that is dealt in blocks.
 GROUP_BYTES, BLOCK_BYTES = 8 << 20, 4 << 20
 
@@ -84,26 +86,35 @@ class Sizes:
         parts = 1 << level
         return min(self.differ(n), parts - (parts >> 3) - 1 - (level > 0))
 
+    def subset_cost(self, n: int) -> float:
+        return sum(comb(n, c) for c in self.subset_sizes(n, n))
+
+    def list_cost(self, n: int) -> float:
+        return sum(1 << v for v in self.levels(n, 0)) * (1 + n / 4)  # small parts are shared by chance
+
+    def largest_light(self) -> int:
+        """The last size at which enumeration may cost less than lists: no boundary by cost is above it.
+
+        Lists cost a power of the size, subsets grow faster than any; a factor of a thousand is never made up again.
+        """
+        n, last = 1, 0
+        while n < 1_000 and self.subset_cost(n) < 1000 * self.list_cost(n):  # at 100 percent it never is
+            last, n = n if self.subset_cost(n) <= self.list_cost(n) else last, n + 1
+        return last
+
     def boundary(self, histogram: dict[int, int]) -> int:
         """The size up to which sets are light, by the cost of rows and of checks that come to nothing."""
-        subsets = lambda n: sum(comb(n, c) for c in self.subset_sizes(n, n))
-        lists = lambda n: sum(1 << v for v in self.levels(n, 0)) * (1 + n / 4)  # noqa: E731  small parts are shared by chance
         gain, best, at = 0.0, 0.0, 0
-        for n in range(1, LARGEST_LIGHT + 1):
-            gain += histogram.get(n, 0) * (lists(n) - subsets(n))
+        for n in sorted(histogram):
+            gain += histogram[n] * (self.list_cost(n) - self.subset_cost(n))
             if gain > best:
                 best, at = gain, n
         return at
 
 
-@lru_cache(maxsize=8)
-def sizes(percent: int) -> Sizes:
-    return Sizes(percent)
-
-
-def keys_of(elements: np.ndarray, percent: int, light: int) -> np.ndarray:
+def keys_of(elements: np.ndarray, s: Sizes, light: int) -> np.ndarray:
     """The lists that a set (sorted 64-bit hashes) stands on."""
-    s, n, out = sizes(percent), len(elements), []
+    n, out = len(elements), []
     if not n:
         return np.empty(0, U)
     with np.errstate(over="ignore"):
@@ -168,6 +179,11 @@ def linked(sets: list[np.ndarray], percent: int) -> list[int]:
     return [root_of(parent, i) for i in range(m)]
 
 
+def set_hash(elements: np.ndarray, salt: int) -> int:
+    with np.errstate(over="ignore"):
+        return int(mixed(elements, salt).sum(dtype=U))
+
+
 def element_sets(texts: pa.Array | pa.ChunkedArray, k: int) -> list[np.ndarray]:
     return [shingles(x, k) for x in by_text(*word_hashes(texts, lower=True))]
 
@@ -178,8 +194,7 @@ def set_rows(docs: DataFrame, k: int) -> DataFrame:
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = element_sets(batch.column("text"), k)
-            with np.errstate(over="ignore"):
-                h1, h2 = (np.array([mixed(x, salt).sum(dtype=U) for x in found], U).view(np.int64) for salt in (1, 2))
+            h1, h2 = (np.array([set_hash(x, salt) for x in found], U).view(np.int64) for salt in (1, 2))
             return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array([len(x) for x in found], pa.int64()), "h1": pa.array(h1), "h2": pa.array(h2), "bytes": pc.binary_length(batch.column("text")).cast(pa.int64())})
 
         return step
@@ -188,26 +203,33 @@ def set_rows(docs: DataFrame, k: int) -> DataFrame:
 
 
 def list_entries(docs: DataFrame, k: int, percent: int, light: int) -> DataFrame:
-    """(key, doc_id) of every list that a document's set stands on."""
+    """(key, node) of every list that a set stands on; a node is a set's hash. A task enters equal sets once."""
 
     def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [keys_of(x, percent, light) for x in element_sets(batch.column("text"), k)]
-            doc_ids = np.repeat(np.array(batch.column("doc_id").to_pylist(), np.int64), [len(x) for x in found])
-            return pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(found).view(np.int64)), "doc_id": pa.array(doc_ids)})
+        s, entered = Sizes(percent), set()
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            found = element_sets(batch.column("text"), k)
+            nodes = [set_hash(x, 1) for x in found]
+            fresh = [i for i, node in enumerate(nodes) if len(found[i]) and node not in entered and not entered.add(node)]
+            if not fresh:
+                return None
+            keys = [keys_of(found[i], s, light) for i in fresh]
+            node = np.repeat(np.array([nodes[i] for i in fresh], U), [len(x) for x in keys])
+            return pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys).view(np.int64)), "node": pa.array(node.view(np.int64))})
 
         return step
 
-    return map_text(docs.where("doc_id IS NOT NULL"), make, "key long, doc_id long", most=SMALL_STEP)
+    return map_text(docs.where("doc_id IS NOT NULL"), make, "key long, node long", most=SMALL_STEP)
 
 
 def stars(entries: DataFrame) -> DataFrame:
-    """(src, dst): each document of a list and the smallest one of it; a stream over sorted lists."""
+    """(src, dst): each set of a list and the smallest one of it; a stream over sorted lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = center = None
         for batch in batches:
-            key, doc = batch.column("key").to_numpy(), batch.column("doc_id").to_numpy()
+            key, doc = batch.column("key").to_numpy(), batch.column("node").to_numpy()
             if not len(key):
                 continue
             first = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
@@ -218,82 +240,87 @@ def stars(entries: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"src": pa.array(doc[use]), "dst": pa.array(centers[use])})
             last_key, center = key[-1], centers[-1]
 
-    return entries.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "src long, dst long").distinct()
+    return entries.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "src long, dst long").distinct()
 
 
 def verified(members: DataFrame, k: int, percent: int) -> DataFrame:
-    """(grp, i, j, doc_id, text) -> (rep, root): exact components of what shares a task (grp, i, j)."""
+    """(grp, i, j, node, text) -> (node, root): exact components of what shares a task (grp, i, j)."""
 
     def run(key, group):
-        doc_ids = np.array(group["doc_id"].to_pylist(), np.int64)
-        order = np.argsort(doc_ids, kind="stable")
-        sets = []
+        nodes, sets = group["node"].to_numpy().view(U), []
         for lo in range(0, group.num_rows, 256):
             sets += element_sets(group["text"].slice(lo, 256), k)
-        sets = [sets[i] for i in order]
-        full = [i for i, x in enumerate(sets) if len(x)]
-        roots = linked([sets[i] for i in full], percent) if full else []
-        doc_ids = doc_ids[order]
-        return pa.table({"rep": pa.array(doc_ids[full], pa.int64()), "root": pa.array(doc_ids[[full[r] for r in roots]] if full else [], pa.int64())})
+        # texts were fetched by doc_id, which rows may share: those with the node's own set count, once
+        own = {int(nodes[i]): i for i, x in enumerate(sets) if len(x) and set_hash(x, 1) == int(nodes[i])}
+        order = sorted(own)
+        roots = linked([sets[own[n]] for n in order], percent) if order else []
+        names = np.array(order, U).view(np.int64)
+        return pa.table({"node": pa.array(names, pa.int64()), "root": pa.array(names[roots] if order else names, pa.int64())})
 
-    return members.groupBy("grp", "i", "j").applyInArrow(run, "rep long, root long")
+    return members.groupBy("grp", "i", "j").applyInArrow(run, "node long, root long")
 
 
 def in_blocks(texts: DataFrame, placed: DataFrame, k: int, percent: int) -> DataFrame:
-    """(rep, root) of groups that are dealt in blocks. ``placed``: rep, grp, bytes, blocks; all narrow but ``texts``."""
+    """(node, root) of groups that are dealt in blocks. ``placed``: node, rep, grp, bytes, blocks; all narrow but ``texts``."""
 
     def compared(tasks: DataFrame, name: str) -> DataFrame:
-        return written(verified(tasks.join(texts, F.col("rep") == F.col("doc_id")).select("grp", "i", "j", "doc_id", "text"), k, percent), name)
+        return written(verified(tasks.join(texts, F.col("rep") == F.col("doc_id")).select("grp", "i", "j", "node", "text"), k, percent), name)
 
     def every(n, start: int = 0):
         return F.explode(F.sequence(F.lit(start), n - 1))
 
     # rows that repeat a document are as many as they like; they are one here
     texts = texts.join(placed.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").distinct()
-    at = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    at = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     zero = F.lit(0)
-    first = at.where("block > 0").select("rep", "grp", zero.alias("i"), F.col("block").alias("j"))
-    first = first.union(at.where("block = 0").select("rep", "grp", zero.alias("i"), every(F.col("blocks"), 1).alias("j")))
+    first = at.where("block > 0").select("node", "rep", "grp", zero.alias("i"), F.col("block").alias("j"))
+    first = first.union(at.where("block = 0").select("node", "rep", "grp", zero.alias("i"), every(F.col("blocks"), 1).alias("j")))
     links = compared(first, "block-links")
-    classes = components(links.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
-    at = at.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("class", F.coalesce("component", "rep")).drop("component")
+    classes = components(links.select(F.col("node").alias("src"), F.col("root").alias("dst")))
+    at = at.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
     largest = at.groupBy("grp", "class").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("class", F.struct("n", "class")).alias("largest"))
     left = written(at.join(largest, "grp").where("class <> largest"), "block-rest")
     if left.isEmpty():
-        return at.select("rep", F.col("class").alias("root"))
+        return at.select("node", F.col("class").alias("root"))
     parts = left.groupBy("grp").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("parts")).withColumn("parts", F.greatest("parts", F.lit(1)))
-    mine = left.join(parts, "grp").select("rep", "grp", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int").alias("i"), every(F.col("blocks")).alias("j"))
-    others = at.join(parts, "grp").select("rep", "grp", every(F.col("parts")).alias("i"), F.col("block").alias("j"))
+    mine = left.join(parts, "grp").select("node", "rep", "grp", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int").alias("i"), every(F.col("blocks")).alias("j"))
+    others = at.join(parts, "grp").select("node", "rep", "grp", every(F.col("parts")).alias("i"), F.col("block").alias("j"))
     links = links.union(compared(mine.union(others).distinct(), "block-links"))
-    found = components(links.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
-    return found.select(F.col("node").alias("rep"), F.col("component").alias("root"))
+    found = components(links.select(F.col("node").alias("src"), F.col("root").alias("dst")))
+    return found.select("node", F.col("component").alias("root"))
 
 
 def linked_documents(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(set_rows(texts, k), "shingle-sets")
-    histogram = {r["n"]: r["count"] for r in sets.where(F.col("n").between(1, LARGEST_LIGHT)).groupBy("n").count().collect()}  # LARGEST_LIGHT rows at most
-    light = sizes(percent).boundary(histogram)
+    of = Sizes(percent)
+    # as many rows at most as there are sizes up to the largest light one
+    histogram = {r["n"]: r["count"] for r in sets.where(F.col("n").between(1, of.largest_light())).groupBy("n").count().collect()}
+    light = of.boundary(histogram)
     candidates = components(stars(list_entries(texts, k, percent, light)))
-    groups = written(candidates.select(F.col("node").alias("rep"), F.col("component").alias("grp")), "candidate-groups")
-    classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    wanted = classes.select("rep").distinct().join(groups, "rep")
-    of_text = sets.where("n > 0").groupBy(F.col("doc_id").alias("rep")).agg(F.sum("bytes").alias("bytes"))
-    wanted = wanted.join(of_text, "rep")
+    # a class of equal sets is a node; its smallest document stands for it
+    classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("bytes", "doc_id").alias("bytes"), F.count("*").alias("many"))
+    classes = written(classes, "set-classes")
+    wanted = classes.join(candidates, classes["h1"] == candidates["node"]).select("node", "rep", "bytes", F.col("component").alias("grp"))
     sums = wanted.groupBy("grp").agg(F.count("*").alias("count"), F.sum("bytes").alias("sum")).where("count > 1")
     blocks = F.when(F.col("sum") > GROUP_BYTES, F.ceil(F.col("sum") / BLOCK_BYTES).cast("int"))
     placed = written(wanted.join(sums.select("grp", blocks.alias("blocks")), "grp"), "placed-candidates")
     small, large = placed.where("blocks IS NULL"), placed.where("blocks IS NOT NULL")
     none = F.lit(0)
-    members = texts.join(small, texts["doc_id"] == small["rep"]).select("grp", none.alias("i"), none.alias("j"), "doc_id", "text")
+    members = texts.join(small, texts["doc_id"] == small["rep"]).select("grp", none.alias("i"), none.alias("j"), "node", "text")
     found = verified(members, k, percent)
     if not large.isEmpty():
         found = found.union(in_blocks(texts, large, k, percent))
-    found = written(found.groupBy("rep").agg(F.min("root").alias("root")), "verified-links")
-    # ids that stand for several roots (rows that share a doc_id) are rare; one more step brings them together
-    labelled = classes.join(found, "rep", "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("component"))
-    rows = sets.join(labelled, ["h1", "h2", "n"], "left")
+    found = written(found, "verified-links")
+    labelled = classes.join(found, classes["h1"] == found["node"], "left").withColumn("of", F.coalesce("root", "h1"))
+    names = labelled.groupBy("of").agg(F.min("rep").alias("component"))
+    labelled = labelled.join(names, "of").select("h1", "h2", "n", "many", "component")
+    # classes of many copies, of which there are few, meet their rows by broadcast
+    hot = F.col("many") > max(HUB, sets.count() // HUBS)
+    rows = sets.join(F.broadcast(labelled.where(hot).select("h1", "h2", "n", F.col("component").alias("of_hot"))), ["h1", "h2", "n"], "left")
+    cold = rows.where("of_hot IS NULL").drop("of_hot").join(labelled.where(~hot).select("h1", "h2", "n", "component"), ["h1", "h2", "n"], "left")
+    rows = cold.select("doc_id", "n", "component").union(rows.where("of_hot IS NOT NULL").select("doc_id", "n", F.col("of_hot").alias("component")))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 

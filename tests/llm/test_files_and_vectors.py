@@ -6,6 +6,7 @@ import collections
 import hashlib
 import io
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -198,7 +199,10 @@ def test_vector_plan():
 # components
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [1000, 3])
+def test_components(spark, monkeypatch, hub):
+    module = sys.modules["deltaloom.llm.components"]
+    monkeypatch.setattr(module, "HUB", hub)
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(110)] + [(i, i + 1) for i in range(500, 560)] + [(900, i) for i in range(700, 800)] + [(5, 5), (None, 3)]
     root: dict[int, int] = {}

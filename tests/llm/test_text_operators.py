@@ -272,7 +272,16 @@ def test_shingle_blocking_loses_no_pair():
             b = np.unique(np.concatenate([b, rng.integers(0, 2**63, int(rng.integers(0, 3))).astype(np.uint64)]))
             shared = len(np.intersect1d(a, b))
             if len(a) and len(b) and 100 * shared >= 85 * (len(a) + len(b) - shared):
-                assert len(np.intersect1d(jaccard.keys_of(a, 85, light), jaccard.keys_of(b, 85, light)))
+                assert len(np.intersect1d(jaccard.keys_of(a, jaccard.Sizes(85), light), jaccard.keys_of(b, jaccard.Sizes(85), light)))
+
+
+def test_boundary_is_by_cost():
+    for percent in (80, 85, 95, 100):
+        sizes = jaccard.Sizes(percent)
+        last = sizes.largest_light()
+        assert all(sizes.subset_cost(n) > sizes.list_cost(n) for n in range(last + 1, 60))
+        assert sizes.boundary({}) == 0 and sizes.boundary({n: 10 for n in range(1, last + 1)}) <= last
+    assert jaccard.Sizes(85).boundary({2: 5, 90: 10}) == 2
 
 
 def test_shingle_join_edges(spark):
@@ -280,6 +289,8 @@ def test_shingle_join_edges(spark):
     rows = [tuple(r) for r in jaccard.linked_documents(repeats).collect()]
     assert sorted(rows, key=str) == sorted([(5, 2, 2), (5, 2, 2), (2, 2, 2), (None, 2, None)], key=str)
     assert jaccard.one_of_each(repeats).count() == 1
+    shared = spark.createDataFrame([(5, "a b c d e", "en", "s", 1), (5, "v w x y z", "en", "s", 1), (7, "v w x y z", "en", "s", 1), (6, "a b c d e", "en", "s", 1)], SCHEMA)
+    assert sorted(map(tuple, jaccard.linked_documents(shared).collect())) == [(5, 2, 5), (5, 2, 5), (6, 2, 5), (7, 2, 5)]
     assert jaccard.linked_documents(frame(spark, [])).count() == 0
 
 
@@ -289,6 +300,13 @@ def test_one_of_each_keeps_null_and_shared_ids(spark):
     assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[1], rows[3], rows[5], rows[6]], key=str)
 
 
+def test_hot_classes_meet_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HUB", 3)
+    texts = ["a b c d e"] * 9 + ["v w x y z"] * 2 + ["q", None, ""]
+    rows = jaccard.linked_documents(frame(spark, texts)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {**dict.fromkeys(range(9), 0), 9: 9, 10: 9, 11: 11, 12: 12, 13: 13}
+
+
 def test_large_groups_are_dealt_in_blocks(spark, monkeypatch):
     """A chain, copies of one text, and texts apart, all in groups that don't fit a task."""
     rng, texts = random.Random(4), []
