@@ -308,7 +308,8 @@ def linked_documents(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     placed = written(wanted.join(sums.select("grp", blocks.alias("blocks")), "grp"), "placed-candidates")
     small, large = placed.where("blocks IS NULL"), placed.where("blocks IS NOT NULL")
     none = F.lit(0)
-    members = texts.join(small, texts["doc_id"] == small["rep"]).select("grp", none.alias("i"), none.alias("j"), "node", "text")
+    # always by a shuffle of texts, which grows with them and no faster; at some sizes the planner would broadcast the other side
+    members = texts.join(small.hint("merge"), texts["doc_id"] == small["rep"]).select("grp", none.alias("i"), none.alias("j"), "node", "text")
     found = verified(members, k, percent)
     if not large.isEmpty():
         found = found.union(in_blocks(texts, large, k, percent))
