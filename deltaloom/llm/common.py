@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word: a run of characters that are neither blanks nor tab .. carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -73,3 +74,14 @@ def map_text(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
             gc.enable()
 
     return df.mapInArrow(run, schema)
+
+
+def meet(rows: DataFrame, table: DataFrame, keys: list[str], hot: Column) -> DataFrame:
+    """``rows`` joined with ``table``, which has a row for each key at most. Rows of ``hot`` keys stay where they are.
+
+    ``hot``: a condition on ``table`` that few of its rows can meet, such as a count above a share of all rows; those are
+    broadcast. Both sides should be written tables, since they are read twice.
+    """
+    few = F.broadcast(table.where(hot))
+    rest = rows.join(F.broadcast(table.where(hot).select(*keys)), keys, "left_anti").join(table.where(~hot).hint("merge"), keys)
+    return rows.join(few, keys).unionByName(rest)

@@ -66,13 +66,19 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 class FmIndex:
-    """Index of a text of symbols 1 .. alphabet - 1, where 0 separates sequences and ends the text."""
+    """Index of a text of symbols 1 .. alphabet - 1, where 0 separates sequences and ends the text.
 
-    def __init__(self, text: np.ndarray, alphabet: int, depth: int):
+    ``weights``: how often what stands at each position occurs, if sequences stand for several equal ones; then the size of
+    an interval of suffixes is the sum of their weights.
+    """
+
+    def __init__(self, text: np.ndarray, alphabet: int, depth: int, weights: np.ndarray | None = None):
         if not len(text) or text[-1] != 0:
             text = np.append(text, 0)
+            weights = None if weights is None else np.append(weights, 1)
         order = suffix_order(text, depth + 1)
         self.n = len(text)
+        self.sums = None if weights is None else np.concatenate([[0], np.cumsum(weights[order])])
         self.tree = WaveletTree(text[order - 1], alphabet)  # the transform: what stands before each suffix, cyclically
         counts = np.bincount(text, minlength=alphabet)
         self.first = np.concatenate([[0], np.cumsum(counts)[:-1]])
@@ -83,6 +89,9 @@ class FmIndex:
         shift = self.first[symbol] - self.base[symbol]
         return shift + self.tree.rank(symbol, low), shift + self.tree.rank(symbol, high)
 
+    def occurrences(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return high - low if self.sums is None else self.sums[high] - self.sums[low]
+
     def matching_lengths(self, text: np.ndarray, ends: np.ndarray, most: int, least_count: int = 2) -> np.ndarray:
         """For each end (exclusive) in ``text``: how far back, ``most`` at most, what stands before it occurs at least
         ``least_count`` times in the index."""
@@ -99,7 +108,7 @@ class FmIndex:
             if not len(live):
                 break
             low, high = self.step(symbol, low, high)
-            enough = high - low >= least_count
+            enough = self.occurrences(low, high) >= least_count
             live, low, high = live[enough], low[enough], high[enough]
             length[live] = k + 1
         return length

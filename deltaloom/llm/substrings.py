@@ -5,19 +5,23 @@ shard that can hold a match. Of the ``ANCHOR``-grams in a window the one with th
 have equal anchors. A document falls into segments, runs of windows with one anchor, about two for every 29 words.
 
 1. Segments are rows of an anchor hash and a hash of their words. Anchors that occur once can't repeat: most rows end here.
-2. Segments with the same words become one content; where it occurs twice, all its windows repeat. Copies, however many,
-   are counted before anything else happens to them.
-3. Contents that share an anchor but differ (edges of passages, edited copies) are fetched as words, once each, and dealt to
-   shards by anchor. A shard builds an FM-index over its contents and streams them through it backwards: the matching
-   statistics at each window's end, up to a window's length, tell whether the window occurs at least twice. An anchor with more
-   than ``HOT`` contents is dealt by the words of single windows instead, and equal ones become one as they arrive.
+2. Segments with the same words become one content with a multiplicity. Copies, however many, are counted before anything
+   else happens to them.
+3. Contents are fetched as words, once each, and dealt to shards by anchor. A shard builds an FM-index over its contents and
+   streams them through it backwards: the matching statistics at each window's end, up to a window's length, tell whether the
+   window occurs at least twice, where a suffix counts as often as its content occurs. An anchor with more than ``HOT``
+   contents is dealt by the words of single windows instead; equal windows become one with a multiplicity before they are.
 4. The repeated windows go back to the occurrences of their segments, and those to the documents.
 
-Texts are shuffled once; both uses read the same exchange. Anchors and contents are 64-bit hashes of the words, always used
-together; the symbols of a shard's index are its distinct words, told apart by 64-bit hashes.
+Anchors, contents and windows are counted by aggregations that combine where rows are read; the few anchors and contents
+that have a large share of all rows meet them by broadcast. Texts are shuffled once; both uses read the same exchange.
+Anchors and contents are 64-bit hashes of the words, always used together; the symbols of a shard's index are its distinct
+words, told apart by 64-bit hashes.
 
 Defined results: a null or empty text has no words and the hash of the empty string; a document of fewer words than a window
-loses none; rows that repeat in full repeat each other's windows; a null doc_id is kept as null; an empty table gives none.
+loses none; rows that repeat in full repeat each other's windows; a null doc_id is kept as null; of equal smallest hashes in a
+window the first is the anchor; a text of any length is cut into segments, and a task holds one whole text at least; an empty
+table gives none; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,10 +30,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_STEP, WORD_RE, map_text, written
+from .common import SMALL_STEP, WORD_RE, map_text, meet, written
+from .components import HUB, HUBS
 from .fmindex import FmIndex
 from .words import POWERS, U, by_text, grams, mixed, word_hashes
 
@@ -83,7 +88,7 @@ def segment_rows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def fetched(rows: DataFrame, window: int) -> DataFrame:
-    """(text, wants) -> the words of every wanted content; of a hot anchor, window by window."""
+    """(text, wants) -> the words of every wanted content; of a hot anchor, window by window under the window's hash."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -95,47 +100,46 @@ def fetched(rows: DataFrame, window: int) -> DataFrame:
                         for b in range(w["many"]):
                             part = " ".join(words[w["at"] + b : w["at"] + b + window])
                             key = int.from_bytes(hashlib.blake2b(part.encode(), digest_size=8).digest(), "big", signed=True)
-                            out.append((key, w["seed"], w["seg"], b, 1, False, part))
+                            out.append((key, w["seed"], w["seg"], b, 1, w["n"], part))
                     else:
-                        out.append((w["seed"], w["seed"], w["seg"], 0, w["many"], w["twice"], " ".join(words[w["at"] : w["at"] + w["many"] + window - 1])))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string()]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["deal", "seed", "seg", "bit", "many", "twice", "words"]) if out else None
+                        out.append((w["seed"], w["seed"], w["seg"], None, w["many"], w["n"], " ".join(words[w["at"] : w["at"] + w["many"] + window - 1])))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["deal", "seed", "seg", "bit", "many", "n", "words"]) if out else None
 
         return step
 
-    return map_text(rows, make, "deal long, seed long, seg long, bit int, many int, twice boolean, words string")
+    return map_text(rows, make, "deal long, seed long, seg long, bit int, many int, n long, words string")
 
 
-def repeated_windows(contents: pa.Array, several: np.ndarray, window: int) -> np.ndarray:
-    """For each distinct content, the windows (bits) that occur at least twice in all of them."""
+def repeated_windows(contents: pa.Array, times: np.ndarray, window: int) -> np.ndarray:
+    """For each distinct content, the windows (bits) that occur at least twice in all of them, each as often as ``times`` says."""
     hashes, sizes = word_hashes(contents)
     distinct, symbols = np.unique(hashes, return_inverse=True)
     starts = np.cumsum(sizes + 1) - sizes - 1
     text = np.zeros(int(sizes.sum()) + len(sizes), np.int64)  # a zero after each content
     text[np.arange(len(hashes)) + np.repeat(np.arange(len(sizes)), sizes)] = symbols + 1
     del hashes, symbols
-    index = FmIndex(text, len(distinct) + 1, window)
+    index = FmIndex(text, len(distinct) + 1, window, np.repeat(np.minimum(times, 2), sizes + 1))
     many = sizes - window + 1
     owner = np.repeat(np.arange(len(sizes)), many)
     bit = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
     hit = index.matching_lengths(text, starts[owner] + bit + window, window) >= window
     masks = np.zeros(len(sizes), np.int64)
     np.bitwise_or.at(masks, owner[hit], np.int64(1) << bit[hit])
-    return np.where(several, (np.int64(1) << many) - 1, masks)
+    return masks
 
 
-def masks(contents: DataFrame, window: int) -> DataFrame:
-    """(shard, seed, seg, bit, many, twice, words) -> (seed, seg, mask)."""
+def masks(contents: DataFrame, window: int, shards: int) -> DataFrame:
+    """(deal, seed, seg, n, words) -> (seed, seg, mask), in about ``shards`` shards."""
 
     def run(key, group):
         column = group["words"]
         coded = pa.concat_arrays(column.chunks).dictionary_encode()  # equal contents are one
         code = coded.indices.to_numpy()
-        twice = np.bincount(code, group["twice"].to_numpy()) + (np.bincount(code) > 1)
-        found = repeated_windows(coded.dictionary, twice > 0, window)
-        mask = found[code] << group["bit"].to_numpy().astype(np.int64)
-        return pa.table({"seed": group["seed"], "seg": group["seg"], "mask": pa.array(mask, pa.int64())})
+        found = repeated_windows(coded.dictionary, np.bincount(code, group["n"].to_numpy()).astype(np.int64), window)
+        return pa.table({"seed": group["seed"], "seg": group["seg"], "mask": pa.array(found[code], pa.int64())})
 
+    contents = contents.select("seed", "seg", "n", "words", F.pmod(F.xxhash64("deal"), F.lit(shards)).alias("shard"))
     return contents.groupBy("shard").applyInArrow(run, "seed long, seg long, mask long")
 
 
@@ -174,24 +178,32 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = keyed(docs)
-    by_seed = Window.partitionBy("seed")
-    # one narrow shuffle of all segments; only those whose anchor occurs again are kept
-    again = segment_rows(rows, window, anchor).repartition("seed").withColumn("times", F.when(F.col("rest").isNull(), 1).otherwise(1 + F.size("rest"))).withColumn("n_seed", F.sum("times").over(by_seed)).where("n_seed > 1").drop("n_seed")
-    again = written(again, "segments")
+    times = F.when(F.col("rest").isNull(), 1).otherwise(1 + F.size("rest"))
+    all_segments = written(segment_rows(rows, window, anchor).withColumn("times", times), "segments")
+    total = all_segments.count()
+    seeds = written(all_segments.groupBy("seed").agg(F.sum("times").alias("in_seed")).where("in_seed > 1"), "anchors")
+    again = written(meet(all_segments, seeds, ["seed"], F.col("in_seed") > max(HUB, total // HUBS)).drop("in_seed"), "segments-again")
     contents = again.groupBy("seed", "seg").agg(F.sum("times").alias("n"), F.min(F.struct("did", "th", "at")).alias("one"), F.first("many").alias("many"))
-    anchors = contents.groupBy("seed").agg(F.count("*").alias("contents"))
-    contents = written(contents.join(anchors, "seed").select("seed", "seg", "n", "many", "contents", "one.did", "one.th", "one.at").where("n > 1 OR contents > 1"), "contents")
-    unclear = contents.where("contents > 1")
-    shards = max(1, unclear.count() // SHARD)
-    want = F.struct("seed", "seg", "at", "many", (F.col("n") > 1).alias("twice"), (F.col("contents") > hot).alias("hot"))
-    wants = unclear.groupBy("did", "th").agg(F.collect_list(want).alias("wants"))  # of one document: bounded by its length
+    contents = written(contents.select("seed", "seg", "n", "many", "one.did", "one.th", "one.at"), "contents")
+    # anchors of more than ``hot`` contents, one of ``hot`` contents at most
+    crowded = contents.groupBy("seed").agg(F.count("*").alias("contents")).where(F.col("contents") > hot).select("seed", F.lit(True).alias("hot"))
+    wanted = contents.join(F.broadcast(crowded), "seed", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    want = F.struct("seed", "seg", "at", "many", "n", "hot")
+    wants = wanted.groupBy("did", "th").agg(F.collect_list(want).alias("wants"))  # of one document: bounded by its length
     texts = rows.repartition(parts, "did", "th")  # both uses share this exchange
     # rows that repeat in full share their name; one of them is enough here, and one is certain to be there
-    words = fetched(texts.join(wants, ["did", "th"]).select("doc_id", "text", "wants"), window)  # doc_id: the same columns, so the same exchange
-    found = masks(words.withColumn("shard", F.pmod(F.xxhash64("deal"), F.lit(shards))).drop("deal"), window)
-    found = found.groupBy("seed", "seg").agg(F.bit_or("mask").alias("mask"))
-    clear = contents.where("contents = 1 OR n > 1").select("seed", "seg", F.expr("shiftleft(1L, many) - 1 AS mask"))
-    found = found.union(clear).groupBy("seed", "seg").agg(F.bit_or("mask").alias("mask")).where("mask <> 0")
-    marks = again.join(found, ["seed", "seg"]).groupBy("did", "th", "at").agg(F.bit_or("mask").alias("mask"), F.first("rest").alias("rest"))
+    words = fetched(texts.join(wants.hint("merge"), ["did", "th"]).select("doc_id", "text", "wants"), window)  # doc_id: the same columns, so the same exchange
+    words = written(words, "contents-as-words")
+    plain, single = words.where("bit IS NULL"), words.where("bit IS NOT NULL")
+    found = masks(plain, window, max(1, plain.count() // SHARD))
+    if windows := single.count():
+        one = single.groupBy("deal").agg(F.first("words").alias("words"), F.sum("n").alias("n")).select("deal", F.col("deal").alias("seed"), F.lit(0).cast("long").alias("seg"), "n", "words")
+        one = written(one, "windows")
+        repeated = written(masks(one, window, max(1, one.count() // SHARD)).where("mask <> 0").select(F.col("seed").alias("deal")).join(one.select("deal", "n"), "deal"), "windows-again")
+        back = meet(single.select("deal", "seed", "seg", "bit"), repeated, ["deal"], F.col("n") > max(HUB, windows // HUBS))
+        found = found.union(back.select("seed", "seg", F.expr("shiftleft(1L, bit) AS mask")))
+    found = found.where("mask <> 0").groupBy("seed", "seg").agg(F.bit_or("mask").alias("mask"))
+    found = written(found.join(contents.select("seed", "seg", "n"), ["seed", "seg"]), "masks")
+    marks = meet(again, found, ["seed", "seg"], F.col("n") > max(HUB, total // HUBS)).groupBy("did", "th", "at").agg(F.bit_or("mask").alias("mask"), F.first("rest").alias("rest"))
     marks = marks.groupBy("did", "th").agg(F.collect_list(F.struct("at", "mask", "rest")).alias("marks"))
-    return removed(texts.join(marks, ["did", "th"], "left").select("doc_id", "text", "marks"), window, keep_text)
+    return removed(texts.join(marks.hint("merge"), ["did", "th"], "left").select("doc_id", "text", "marks"), window, keep_text)

@@ -224,6 +224,21 @@ def test_components(spark, monkeypatch, hub):
 # full-text index
 
 
+def test_weighted_intervals():
+    """A sequence with a weight counts like as many copies of it."""
+    rng = np.random.default_rng(8)
+    parts = [np.append(rng.integers(1, 4, 12), 0) for _ in range(20)]
+    times = rng.integers(1, 4, 20)
+    once, copies = np.concatenate(parts), np.concatenate([p for p, n in zip(parts, times) for _ in range(n)])
+    weighted = fmindex.FmIndex(once, 4, 9, np.repeat(times, 13))
+    plain = fmindex.FmIndex(copies, 4, 9)
+    firsts = np.cumsum(times * 13) - times * 13
+    ends = np.concatenate([np.arange(1, 13) + 13 * i for i in range(20)])
+    same = np.concatenate([np.arange(1, 13) + f for f in firsts])
+    for least in (2, 3, 5):
+        assert (weighted.matching_lengths(once, ends, 9, least) == plain.matching_lengths(copies, same, 9, least)).all()
+
+
 @pytest.mark.parametrize(("alphabet", "n", "most"), [(3, 200, 5), (5, 500, 7), (50, 2000, 4), (2, 60, 9)])
 def test_matching_statistics(alphabet, n, most):
     rng = np.random.default_rng(n)
