@@ -119,13 +119,17 @@ def repeated_windows(contents: pa.Array, times: np.ndarray, window: int) -> np.n
     text = np.zeros(int(sizes.sum()) + len(sizes), np.int64)  # a zero after each content
     text[np.arange(len(hashes)) + np.repeat(np.arange(len(sizes)), sizes)] = symbols + 1
     del hashes, symbols
-    index = FmIndex(text, len(distinct) + 1, window, np.repeat(np.minimum(times, 2), sizes + 1))
-    many = sizes - window + 1
-    owner = np.repeat(np.arange(len(sizes)), many)
-    bit = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-    hit = index.matching_lengths(text, starts[owner] + bit + window, window) >= window
-    masks = np.zeros(len(sizes), np.int64)
-    np.bitwise_or.at(masks, owner[hit], np.int64(1) << bit[hit])
+    index = FmIndex(text, len(distinct) + 1, int(sizes.max(initial=window)), np.repeat(np.minimum(times, 2), sizes + 1))
+    masks, live, ends = np.zeros(len(sizes), np.int64), np.arange(len(sizes)), starts + sizes
+    while len(live):
+        # from an end backwards: all windows in the longest match repeat, and the window in front of them is next
+        end = ends[live]
+        length = index.matching_lengths(text, end, len(text))
+        hit = length >= window
+        first = (end - length - starts[live])[hit]
+        masks[live[hit]] |= ((np.int64(1) << (length[hit] - window + 1)) - 1) << first
+        ends[live] = np.where(hit, end - length - 1 + window, end - 1)
+        live = live[ends[live] - starts[live] >= window]
     return masks
 
 
