@@ -10,6 +10,10 @@ from __future__ import annotations
 import numpy as np
 
 
+#: The bits in front of each of 64 positions.
+_LOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class Bits:
     """Packed bits with rank."""
 
@@ -19,13 +23,12 @@ class Bits:
         blocks = np.zeros(-(-(self.n + 1) // 64) * 8, np.uint8)
         blocks[: len(packed)] = packed
         self.blocks = blocks.view("<u8")
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.blocks))]).astype(np.int32)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.blocks), dtype=np.int64)])
 
     def ones(self, i: np.ndarray) -> np.ndarray:
         """Ones in front of position i."""
         block = i >> 6
-        low = self.blocks[block] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1))
-        return self.before[block] + np.bitwise_count(low).astype(np.int64)
+        return self.before[block] + np.bitwise_count(self.blocks[block] & _LOW[i & 63])
 
 
 class WaveletTree:
@@ -42,9 +45,8 @@ class WaveletTree:
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         """How often each symbol occurs in front of position i, offset by where the symbol's run starts in the last level."""
         for level, (bits, zeros) in enumerate(zip(self.rows, self.zeros)):
-            one = (symbol >> (self.levels - 1 - level)) & 1
             ones = bits.ones(i)
-            i = np.where(one == 1, zeros + ones, i - ones)
+            i = np.where(symbol & (1 << (self.levels - 1 - level)), zeros + ones, i - ones)
         return i
 
 
@@ -77,7 +79,7 @@ class FmIndex:
             text = np.append(text, 0)
             weights = None if weights is None else np.append(weights, 1)
         order = suffix_order(text, depth + 1)
-        self.n = len(text)
+        self.n, self.text, self.order = len(text), text, order
         self.sums = None if weights is None else np.concatenate([[0], np.cumsum(weights[order])])
         self.tree = WaveletTree(text[order - 1], alphabet)  # the transform: what stands before each suffix, cyclically
         counts = np.bincount(text, minlength=alphabet)
@@ -86,8 +88,9 @@ class FmIndex:
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of suffixes that start with the symbol and go on like those in [low, high)."""
+        both = self.tree.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
         shift = self.first[symbol] - self.base[symbol]
-        return shift + self.tree.rank(symbol, low), shift + self.tree.rank(symbol, high)
+        return shift + both[: len(symbol)], shift + both[len(symbol) :]
 
     def occurrences(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         return high - low if self.sums is None else self.sums[high] - self.sums[low]
@@ -111,4 +114,20 @@ class FmIndex:
             enough = self.occurrences(low, high) >= least_count
             live, low, high = live[enough], low[enough], high[enough]
             length[live] = k + 1
+            # an interval of one suffix is a place in the indexed text: from there on the texts are compared
+            lone = high - low == 1
+            if lone.any():
+                self._extend(text, ends[live[lone]], most, self.order[low[lone]], live[lone], length)
+                live, low, high = live[~lone], low[~lone], high[~lone]
         return length
+
+    def _extend(self, text: np.ndarray, ends: np.ndarray, most: int, place: np.ndarray, owner: np.ndarray, length: np.ndarray) -> None:
+        """Lengthen matches that have only one place left, for as long as what stands in front of both is equal."""
+        at, left = ends - length[owner], most - length[owner]
+        while len(owner):
+            at, place, left = at - 1, place - 1, left - 1
+            inside = (at >= 0) & (place >= 0) & (left >= 0)
+            at, place, left, owner = at[inside], place[inside], left[inside], owner[inside]
+            same = (text[at] == self.text[place]) & (text[at] > 0)
+            at, place, left, owner = at[same], place[same], left[same], owner[same]
+            length[owner] += 1

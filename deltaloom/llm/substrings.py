@@ -30,6 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,27 +151,30 @@ def masks(contents: DataFrame, window: int, shards: int) -> DataFrame:
 def removed(rows: DataFrame, window: int, keep_text: bool = False) -> DataFrame:
     """(doc_id, text, marks) -> doc_id, n_words, n_removed, kept_sha256 (and kept, the text that is left)."""
 
+    blank = pa.scalar(" ", pa.large_string())
+
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = []
-            for text, marks in zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist()):
-                words = WORD_RE.findall(text) if text else []
-                n, gone = len(words), 0
-                if marks:
-                    edge = np.zeros(n + 1, np.int32)
-                    for m in marks:
-                        bits = np.flatnonzero((m["mask"] >> np.arange(63)) & 1)
-                        starts = (np.array([m["at"], *(m["rest"] or ())])[:, None] + bits).ravel()
-                        np.add.at(edge, starts, 1)
-                        np.add.at(edge, starts + window, -1)
-                    covered = np.cumsum(edge)[:n] > 0
-                    gone = int(covered.sum())
-                    words = [w for w, c in zip(words, covered.tolist()) if not c]
-                kept = " ".join(words)
-                out.append((n, gone, hashlib.sha256(kept.encode()).hexdigest(), *[kept] * keep_text))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-            arrays = [pa.array(x, t) for x, t in zip(zip(*out), kinds)]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: 1 + len(arrays)])
+            cut = pc.ascii_split_whitespace(pc.fill_null(batch.column("text").cast(pa.large_string()), ""))
+            words = cut.flatten()
+            owner = np.repeat(np.arange(len(cut)), pc.list_value_length(cut).to_numpy())
+            full = pc.not_equal(words, "").to_numpy(zero_copy_only=False)  # the splitter gives an empty one for blanks at either end
+            words, owner = words.filter(pa.array(full)), owner[full]
+            sizes = np.bincount(owner, minlength=len(cut))
+            first = np.cumsum(sizes) - sizes
+            edge = np.zeros(len(owner) + 1, np.int32)
+            for start, marks in zip(first.tolist(), batch.column("marks").to_pylist()):
+                for m in marks or ():
+                    bits = start + np.flatnonzero((m["mask"] >> np.arange(63)) & 1)
+                    at = (np.array([m["at"], *(m["rest"] or ())])[:, None] + bits).ravel()
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + window, -1)
+            keep = np.cumsum(edge)[:-1] == 0
+            left = np.bincount(owner[keep], minlength=len(cut))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(left)]), pa.int64())
+            kept = pc.binary_join(pa.LargeListArray.from_arrays(offsets, words.filter(pa.array(keep))), blank)
+            columns = {"doc_id": batch.column("doc_id"), "n_words": pa.array(sizes, pa.int64()), "n_removed": pa.array(sizes - left, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in kept], pa.string())}
+            return pa.RecordBatch.from_pydict(columns | ({"kept": kept.cast(pa.string())} if keep_text else {}))
 
         return step
 
