@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from deltaloom.llm import bpe, jaccard, lm, mixing, pii, quality, substrings
 from deltaloom.llm.queries import tokenizer_file
+from deltaloom.llm.words import word_hashes
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -335,9 +336,13 @@ def test_large_groups_are_dealt_in_blocks(spark, monkeypatch):
 # language model
 
 
+def lowered(text):
+    return WORD.findall((text or "").translate(LOWER))
+
+
 def test_lm_base_and_model(spark, monkeypatch):
     df = spark.read.parquet(f"{SMALL}/documents.parquet")
-    texts = {r["doc_id"]: lm.words(r["text"]) for r in df.collect()}
+    texts = {r["doc_id"]: lowered(r["text"]) for r in df.collect()}
     counts = collections.Counter()
     for i, words in texts.items():
         if zlib.crc32(str(i).encode()) % 10:
@@ -345,7 +350,8 @@ def test_lm_base_and_model(spark, monkeypatch):
     n, v = sum(counts.values()), len(counts)
     for frequent in (lm.FREQUENT, 300):
         monkeypatch.setattr(lm, "FREQUENT", frequent)
-        rows = lm.scored(df).collect()
+        learned = lm.learn(df)
+        rows = lm.scored(df, learned).collect()
         assert len(rows) == len(texts)
         for r in rows:
             tokens = [*texts[r["doc_id"]], None]
@@ -355,25 +361,65 @@ def test_lm_base_and_model(spark, monkeypatch):
             assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0)
         held = [r for r in rows if r["held_out"]]
         assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+        check_scores(learned, counts, texts, sorted(rows, key=lambda r: r["n_tokens"])[:40])
 
 
-def test_lm_table_is_normalised():
+def check_scores(learned, counts, texts, rows):
+    """Token by token in double precision, from the model's parameters alone."""
+    vocabulary, model, _ = learned
+    p, end, scale = model.p, len(vocabulary.mass) - 1, vocabulary.scale
+    entry = {int(h): i for i, h in enumerate(vocabulary.hashes)}
+    for r in rows:
+        symbols, log = [], 0.0
+        for w in [*texts[r["doc_id"]], None]:
+            i = len(vocabulary.hashes) + 1 if w is None else entry.get(int(word_hashes(pa.array([w]), lower=True)[0][0]), len(vocabulary.hashes))
+            symbols.append(int(vocabulary.symbol[i]))
+            before = ([end, end, *symbols])[-3:-1]
+            v = p["R"][before[1]] @ p["C1"] + p["R"][before[0]] @ p["C2"]
+            groups = np.exp(p["G"] @ v + p["g"])
+            members = [s for s in range(end + 1) if model.group[s] == model.group[symbols[-1]]]
+            inside = np.exp(p["Q"][members] @ v + p["b"][members])
+            log += math.log10(groups[model.group[symbols[-1]]] / groups.sum() * inside[members.index(symbols[-1])] / inside.sum())
+            if w is not None:
+                log += math.log10((counts[w] + 0.1) / vocabulary.mass[symbols[-1]])
+        assert math.isclose(r["score"], log, rel_tol=1e-4, abs_tol=1e-3)
+
+
+def test_lm_is_normalised_over_words():
     rng = np.random.default_rng(1)
-    runs = rng.integers(0, 3, (lm.CLASSES,) * 3).astype(float)
-    runs[:, 3, 4] += 500
-    model = lm.LogBilinear(runs.sum((0, 1))).fit(runs, steps=60)
-    table = 10.0 ** model.table().astype(float)
-    assert np.allclose(table.sum(1), 1, atol=1e-4)
-    rows = table.reshape(lm.CLASSES, lm.CLASSES, lm.CLASSES)
-    assert rows[:, 3, 4].mean() > 2 * rows[:, 5, 4].mean()
+    counts = np.sort(rng.integers(1, 500, 400))[::-1].astype(np.int64)
+    words = np.unique(rng.integers(0, 1 << 62, 500).astype(np.uint64))[:400]
+    vocabulary = lm.Vocabulary.of(rng.permutation(words), counts, int(counts.sum()) + 90, 460, 30)
+    model = lm.LogBilinear(vocabulary.mass)
+    many = len(vocabulary.mass)
+    runs = np.unique(rng.integers(0, many**3, 3000))
+    model.fit(np.append(runs, (3 * many + 4) * many + 7)[np.argsort(np.append(runs, (3 * many + 4) * many + 7))], rng.integers(1, 5, len(runs) + 1)).ready()
+    for before, last in ((0, 0), (3, 4), (many - 1, many - 1)):
+        log = model.log10(np.full(many, before), np.full(many, last), np.arange(many))
+        assert math.isclose(float((10**log).sum()), 1, rel_tol=1e-5)
+    assert math.isclose(vocabulary.mass.sum(), vocabulary.scale) and len(set(vocabulary.symbol.tolist())) == many
+
+
+def test_lm_learns_context():
+    """After symbol 3 comes 5, always; the model finds it against the unigram."""
+    mass = np.full(30, 10.0)
+    runs = np.array([(a * 30 + 3) * 30 + 5 for a in range(30)] + [(a * 30 + b) * 30 + c for a in range(0, 30, 4) for b in range(4, 30) for c in range(0, 30, 3)])
+    runs = np.unique(runs)
+    model = lm.LogBilinear(mass).fit(runs, np.where(runs // 30 % 30 == 3, 50, 1), passes=400).ready()
+    assert 10 ** model.log10(np.array([7]), np.array([3]), np.array([5]))[0] > 0.7
+
+
+def test_lm_grows_with_the_corpus():
+    assert [lm.embedded(n) for n in (0, 10**6, 10**9)] == [64, 200, 2000]
+    assert lm.drawn(10**9) == 10 * lm.drawn(10**6)
 
 
 def test_lm_edges(spark):
-    rows = {r["doc_id"]: r for r in lm.scored(frame(spark, [None, "", "a b", "a b", "zzz"], extra=True)).collect()}
-    assert rows[0]["n_tokens"] == rows[1]["n_tokens"] == 1 and rows[2]["score"] < 0
+    rows = lm.scored(frame(spark, [None, "", "A a B", "a\ta"], extra=True)).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == {0: 1, 1: 1, 2: 4, 3: 3}
+    alone = lm.scored(spark.createDataFrame([(None, "x y", None, None, None)] * 2, SCHEMA)).collect()
+    assert len(alone) == 2 and all(r["held_out"] and r["n_known"] == 0 and r["train_tokens"] == 0 and math.isclose(r["base_score"], 0, abs_tol=1e-9) for r in alone)
     assert lm.scored(frame(spark, [])).count() == 0
-    alone = lm.scored(spark.createDataFrame([(None, "a b", None, None, None)], SCHEMA)).first()
-    assert alone["held_out"] and alone["n_known"] == 0 and alone["train_tokens"] == 0
 
 
 # personal data
