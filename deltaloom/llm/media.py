@@ -1,13 +1,18 @@
 """Media columns: Netpbm and BMP images to arrays, area-resized tiles and difference hashes.
 
 An image is decoded to a (height, width, channels) array of 8-bit samples. Its tile is an area-weighted resize read from
-an integral image: the sum over any box with fractional edges is a difference of four interpolated cells. The tile is kept
-as NPY bytes. The difference hash compares horizontal neighbours of a 9 x 8 grey resize.
+an integral image: the sum over any box with fractional edges is a difference of four interpolated cells. The integral is
+accumulated over bands of rows and only kept at the edges of the boxes, so an image of any size takes its own bytes and one
+band. The tile is kept as NPY bytes. The difference hash compares horizontal neighbours of a 9 x 8 grey resize.
 
 ``stored_payload`` wraps any bytes losslessly as an image 64 pixels wide: padded with blanks to whole rows of 192 bytes.
+``text_media`` writes these images to a Parquet data set in the shared folder, reads them back, writes their tiles and hashes
+to a second one, and returns what that holds.
 
 Defined results: a null or empty payload is padded to one row; equal payloads give equal forms and features; malformed
-images raise ``ValueError`` in ``decode``, and give nulls in ``media_columns``. Work and memory are one image at a time.
+images raise ``ValueError`` in ``decode``, and give nulls in ``media_columns``; rows that repeat are images of their own; a
+null doc_id is kept as null; neighbours of equal brightness give a 0 bit; columns of ``rows`` named like the new ones give way
+in ``media_columns``, others are ignored in ``text_media``. A text of any length is one image, and a worker holds one at a time.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text
+from .common import map_text, written
 
 ROW = 192
 _NETPBM = re.compile(rb"P([1-6])(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:(?:\s|#[^\n]*\n)+(\d+))?(?:\s*#[^\n]*\n|\s)")
@@ -100,20 +105,27 @@ def decode(data: bytes) -> np.ndarray:
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
 
-def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+def area_resize(image: np.ndarray, height: int, width: int, band: int = 4_096) -> np.ndarray:
     """Means over the boxes of an even grid, as doubles; edges may cut pixels."""
     h, w, channels = image.shape
-    integral = np.zeros((h + 1, w + 1, channels), np.int64)
-    integral[1:, 1:] = image.astype(np.int64).cumsum(0).cumsum(1)
 
-    def between(values: np.ndarray, n: int, cells: int) -> np.ndarray:
+    def edges(n: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
         edge = np.arange(cells + 1) * n / cells
         low = np.minimum(edge.astype(np.int64), n - 1)
-        part = (edge - low).reshape(-1, *[1] * (values.ndim - 1))
-        return values[low] * (1 - part) + values[low + 1] * part
-
-    grid = between(integral.astype(np.float64), h, height)
-    grid = between(grid.swapaxes(0, 1), w, width).swapaxes(0, 1)
+        return low, edge - low
+
+    # sums over the rows above each edge: whole rows, then the part of the row that the edge cuts
+    low, part = edges(h, height)
+    above, carry = np.empty((height + 1, w, channels)), np.zeros((w, channels), np.int64)
+    for lo in range(0, h, band):
+        sums = np.concatenate([carry[None], carry + image[lo : lo + band].cumsum(0, dtype=np.int64)])
+        at = np.flatnonzero((low >= lo) & (low < lo + band))
+        whole = sums[low[at] - lo]
+        above[at] = whole + (sums[low[at] - lo + 1] - whole) * part[at, None, None]
+        carry = sums[-1]
+    integral = np.concatenate([np.zeros((height + 1, 1, channels)), above.cumsum(1)], axis=1)
+    low, part = edges(w, width)
+    grid = integral[:, low] * (1 - part)[:, None] + integral[:, low + 1] * part[:, None]
     boxes = grid[1:, 1:] - grid[:-1, 1:] - grid[1:, :-1] + grid[:-1, :-1]
     return boxes / (h / height * (w / width))
 
@@ -163,29 +175,49 @@ def media_columns(rows: DataFrame, media: str = "media", side: int = 16) -> Data
     return map_text(rows.select(*names), make, schema, media)
 
 
-def text_media(docs: DataFrame, keep_media: bool = False) -> DataFrame:
-    """Texts as images: what is stored, what is read back from it, and the features of that image.
+def stored_media(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media, format: the texts as images."""
 
-    ``keep_media`` adds media (binary) and tile (NPY bytes).
-    """
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, format string" + ", media binary, tile binary" * keep_media
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            raw = [(text or "").encode() for text in batch.column("text").to_pylist()]
+            media, kinds = zip(*map(stored_payload, raw))
+            return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": pa.array(list(map(len, raw)), pa.int64()), "media": pa.array(media, pa.binary()), "format": pa.array(kinds)})
+
+        return step
+
+    return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, n_bytes long, media binary, format string")
+
+
+def read_media(stored: DataFrame, keep: bool = False) -> DataFrame:
+    """What the stored images hold: digests of payload and form, the tile (NPY bytes) and the feature; with ``keep`` also media."""
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, format string, tile binary" + ", media binary" * keep
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
-            for text in batch.column("text").to_pylist():
-                raw = (text or "").encode()
-                media, kind = stored_payload(raw)
-                image = decode(media)
+            for media in batch.column("media"):
+                data = media.as_py()
+                image = decode(data)
                 back, tile = image.tobytes(), npy_tile(image)
                 feature = f"{difference_hash(image):016x}:{zlib.crc32(tile):08x}"
-                row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, kind)
-                out.append(row + ((media, tile) if keep_media else ()))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary()]
-            arrays = [pa.array(x, t) for x, t in zip(zip(*out), kinds)]
-            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "format", "media", "tile"]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", *names[: len(arrays)]])
+                out.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature, tile))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"]
+            new = dict(zip(names, [pa.array(x, t) for x, t in zip(zip(*out), kinds)]))
+            kept = {c: batch.column(c) for c in ("doc_id", "n_bytes", "format", "media")}
+            return pa.RecordBatch.from_pydict({f.split()[0]: (kept | new)[f.split()[0]] for f in schema.split(", ")})
 
         return step
 
-    return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, schema)
+    return map_text(stored, make, schema, "media")
+
+
+def text_media(docs: DataFrame, keep_media: bool = False) -> DataFrame:
+    """Texts as images: what is stored, what is read back from it, and the features of that image.
+
+    ``keep_media`` adds media (binary) and tile (NPY bytes), which are stored in any case.
+    """
+    stored = written(stored_media(docs), "media")
+    found = written(read_media(stored, keep_media), "tiles")
+    return found if keep_media else found.drop("tile")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import fractions
 import hashlib
 import io
 import random
@@ -115,6 +116,41 @@ def test_area_resize_is_exact():
     assert np.allclose(media.area_resize(image, 1, 1)[0, 0], image.mean((0, 1)))
 
 
+def box_means(image, height, width):
+    """Area means in exact fractions, box by box."""
+    h, w, channels = image.shape
+    cut = lambda j, n, cells: (fractions.Fraction(j * n, cells), fractions.Fraction((j + 1) * n, cells))
+    parts = lambda a, b: [(i, min(b, i + 1) - max(a, i)) for i in range(int(a), -int(-b // 1))]
+    out = np.empty((height, width, channels), object)
+    for i in range(height):
+        for j in range(width):
+            rows, columns = parts(*cut(i, h, height)), parts(*cut(j, w, width))
+            total = sum((wr * wc * image[r, c].astype(object) for r, wr in rows for c, wc in columns), np.zeros(channels, object))
+            out[i, j] = total * fractions.Fraction(height * width, h * w)
+    return out
+
+
+def test_features_by_brute_force(spark):
+    texts = ["", "x", "some text " * 40, "é" * 500, "".join(chr(33 + i * i % 90) for i in range(7000))]
+    rows = media.text_media(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()
+    for r in rows:
+        raw = texts[r["doc_id"]].encode()
+        image = np.frombuffer(raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw)), np.uint8).reshape(-1, 64, 3)
+        tile = np.rint(box_means(image, 16, 16).astype(float)).astype(np.uint8)
+        raw_tile = io.BytesIO()
+        np.save(raw_tile, tile)
+        brightness = (image.astype(np.int64) @ np.array([299, 587, 114]) // 1000).astype(np.uint8)[:, :, None]
+        small = box_means(brightness, 8, 9)[:, :, 0].astype(float).round(6)
+        bits = "".join("1" if small[i, j] < small[i, j + 1] else "0" for i in range(8) for j in range(8))
+        assert r["feature"] == f"{int(bits, 2):016x}:{zlib.crc32(raw_tile.getvalue()):08x}"
+
+
+@pytest.mark.parametrize("band", [1, 3, 4096])
+def test_bands_change_nothing(band):
+    image = np.random.default_rng(3).integers(0, 256, (11, 7, 3), dtype=np.uint8)
+    assert np.allclose(media.area_resize(image, 4, 5, band), box_means(image, 4, 5).astype(float))
+
+
 def test_text_media(spark):
     texts = [None, "", "x", "x", "é" * 500, "y" * 192, "z" * 100_000]
     rows = media.text_media(spark.createDataFrame(list(enumerate(texts)), SCHEMA), keep_media=True).collect()
