@@ -1,20 +1,26 @@
 """Personal data by weak supervision, in DataFrame operations only.
 
 Base spans come from four patterns (email, ip, card, phone). Wider patterns propose more candidates: addresses spelled
-out or at a bare host, national phone numbers, identity numbers, grouped digits. Labelers vote on every candidate, base
-ones included: its shape (regex), gazetteers (ends of host names, codes of countries, words that are never personal) and
-the words before it (context); a vote is 1, -1 or 0 for none. Expectation-maximisation over the counts of all vote patterns
-of the corpus estimates how reliable each labeler is, and its posteriors train the final span classifier, a logistic model of
-the votes and their pairs; a candidate that it accepts and that touches no base span is added.
+out or at a bare host, national phone numbers, identity numbers, account numbers, streets, names behind titles, keys and
+passwords, grouped digits. Labelers vote on every candidate, base ones included: its shape and what a checker of its kind says
+(regex), gazetteers (ends and names of hosts, codes of countries, reserved networks, issuers, streets, roles that are nobody's
+own), the words before it (context) and what stands on both sides of it (frame); a vote is 1, -1 or 0 for none.
+Expectation-maximisation over the counts of all vote patterns of the corpus estimates how reliable each labeler is, and its
+posteriors train the final span classifier, a logistic model of the votes and their pairs; a candidate that it accepts and that
+touches no base span is added.
 
-The vote patterns are at most 3^5 rows however large the corpus is; only those reach the driver. Everything else is a
-projection over documents, with no shuffle of texts.
+The vote patterns are at most 3^5 rows for base and for other candidates, however large the corpus is; only those reach the
+driver. Everything else is a projection over documents, with no shuffle of texts.
 
 Positions are code points, ends exclusive. Matching is by leftmost, non-overlapping matches of each pattern: what lies
 between two matches comes from ``split``, the matches from ``regexp_extract_all``, and running lengths give the positions.
+Whatever runs over the matches of a text (positions, overlaps, masking) is a scan in two levels: groups of ``CHUNK``, whose
+starting states are found first, so that a text of very many matches takes time in proportion to them.
 
 Defined results: a null or empty text has no spans; the hash of no spans is that of the empty string; rows that repeat are
-handled alike; with no candidates in the corpus nothing is added.
+handled alike; a null doc_id is kept as null; of added spans that overlap, the one that starts first stays, then the first by
+kind; base spans of different kinds may overlap; a text of any length is searched as a whole; with no candidates in the corpus
+nothing is added; other columns are ignored in ``digests`` and unchanged in ``masked``, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,36 +38,79 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of other spans, in the order in which spans are listed behind the base ones.
+OTHERS = ("id", "iban", "street", "name", "secret", "number")
 
-#: Candidates beyond the base: kind, needed text, pattern.
+#: (kind, what a text must have for a look to be worth it, pattern)
 WIDER = (
     ("email", "@", r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?![A-Za-z0-9@.-])"),
-    ("email", "at", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]++)++"),
-    ("phone", "-", r"(?<![0-9A-Za-z+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])"),
-    ("id", "-", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
-    ("number", "", r"(?<![0-9A-Za-z.,+(-])[0-9]{6,12}(?![0-9A-Za-z.,-])"),
+    ("email", r"[\[(] ?[aA][tT] ?[\])]", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]++)++"),
+    ("phone", "[0-9]", r"(?<![0-9A-Za-z+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])"),
+    ("id", "[0-9]-[0-9]", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
+    ("iban", "[A-Z]{2}[0-9]{2}", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
+    ("street", "[0-9]", r"(?<![0-9A-Za-z])[0-9]{1,5}[a-z]? (?:\p{Lu}\p{L}+ ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Square|Court|Way)\b|(?<![\p{L}])\p{Lu}\p{L}+(?:straße|strasse|weg|platz|allee) [0-9]{1,4}[a-z]?\b|\b[0-9]{1,4},? (?:rue|avenue|boulevard|calle|avenida) (?:d[eu] |la |le |del )?\p{Lu}\p{L}+"),
+    ("name", "[.a-z] [A-Z]", r"(?<![\p{L}])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?"),
+    ("secret", "[0-9]", r"(?<![0-9A-Za-z])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|(?<![0-9A-Za-z_])(?:gh[opusr]_|sk-|xox[abprs]-)[0-9A-Za-z_-]{16,}|(?i)(?<![0-9a-z])(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?[^\s\"']{6,}"),
+    ("number", "[0-9]{6}", r"(?<![0-9A-Za-z.,+(-])[0-9]{6,12}(?![0-9A-Za-z.,-])"),
 )
-#: Gazetteers: common ends of host names; words that announce personal data; words that announce other numbers.
-HOST_ENDS = ("com", "org", "net", "edu", "gov", "info", "de", "fr", "es", "uk", "eu", "io")
-CUES = "e-?mail|mail|contact|phone|tel|telephone|call|mobile|cell|fax|reach|write|ssn|social security|passport|card|account|ip|address|correo|teléfono|courriel|téléphone|telefon"
+#: Gazetteers: common ends and names of hosts; roles and hosts that are nobody's own; calling codes; words that announce
+#: personal data; words that announce other numbers.
+HOST_ENDS = ("com", "org", "net", "edu", "gov", "info", "biz", "io", "me", "co", "de", "fr", "es", "it", "nl", "be", "ch", "at", "pt", "pl", "se", "no", "dk", "fi", "ie", "uk", "eu", "us", "ca", "mx", "br", "ar", "cl", "au", "nz", "jp", "cn", "in", "kr", "ru", "tr", "za")
+HOSTS = ("gmail", "googlemail", "yahoo", "hotmail", "outlook", "live", "icloud", "aol", "gmx", "web", "orange", "free", "proton", "protonmail", "mail")
+NOBODY = ("noreply", "no-reply", "donotreply", "info", "support", "admin", "postmaster", "webmaster", "abuse", "hostmaster", "sales", "office")
+CALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "39", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "61", "64", "81", "82", "86", "90", "91", "351", "353", "358")
+CUES = "e-?mail|mail|contact|phone|tel|telephone|call|mobile|cell|fax|reach|write|ssn|social security|passport|card|account|ip|address|name|iban|correo|teléfono|nombre|courriel|téléphone|telefon|anschrift|adresse"
 COUNTER_CUES = "isbn|issn|doi|version|build|page|pages|item|order|total|sum|year|id|no|nr|price|part|section|figure|table|line"
-LABELERS = ("shape", "checked", "gazetteer", "context", "plain")
+LABELERS = ("shape", "checked", "gazetteer", "context", "frame")
+#: Matches of a group in a scan, and code points of a piece of a text that is masked.
+CHUNK, PIECE = 64, 1_024
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def scan(items: Column, zero: Column, carried, out) -> Column:
+    """array of ``out(state, item)``, where each item meets the state that ``carried(state, item)`` made of those before it."""
+    start = zero
+
+    def groups(xs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / CHUNK).cast("int")), lambda g: F.slice(xs, g * CHUNK + 1, CHUNK))
+
+    def append(acc: Column, x: Column) -> Column:
+        return F.struct(carried(acc["state"], x).alias("state"), F.concat(acc["out"], F.array(out(acc["state"], x))).alias("out"))
+
+    def states(gs: Column) -> Column:
+        step = lambda acc, g: F.struct(F.aggregate(g, acc["state"], carried).alias("state"), F.concat(acc["all"], F.array(acc["state"])).alias("all"))
+        return F.aggregate(gs, F.struct(start.alias("state"), F.slice(F.array(start), 1, 0).alias("all")), step, lambda acc: acc["all"])
+
+    def within(gs: Column) -> Column:
+        sample = lambda g, state: F.slice(F.transform(g, lambda x: out(state, x)), 1, 0)  # noqa: E731  an empty array of the right type
+        run = lambda p: F.aggregate(p["g"], F.struct(p["s"].alias("state"), sample(p["g"], p["s"]).alias("out")), append, lambda acc: acc["out"])
+        return F.flatten(F.transform(F.arrays_zip(gs.alias("g"), states(gs).alias("s")), run))
+
+    return bound(items, lambda xs: F.when(F.size(xs) > 0, bound(groups(xs), within)))
 
 
 def found(text: Column, pattern: str, needs: Column | None = None) -> Column:
-    """array<struct<start, end, m, before>> of the matches; ``before``: up to 24 characters in front."""
+    """array<struct<start, end, m, before, after>> of the matches; up to 24 characters in front, up to 12 behind."""
     pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,m:string,before:string>>)")
+    empty = F.expr("cast(array() as array<struct<start:int,end:int,m:string,before:string,after:string>>)")
+
+    def rows(z: Column) -> Column:
+        items = F.filter(F.arrays_zip(z["pieces"].alias("p"), z["matches"].alias("m"), F.slice(z["pieces"], 2, F.greatest(F.lit(0), F.size(z["pieces"]) - 1)).alias("q")), lambda x: x["m"].isNotNull())
+        width = lambda x: F.length(x["p"]) + F.length(x["m"])
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["pieces"])
-        end = start + F.length(x["matches"])
-        row = F.struct(start.alias("start"), end.alias("end"), x["matches"].alias("m"), F.right(x["pieces"], F.lit(24)).alias("before"))
-        return F.when(x["matches"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(row)).alias("out")))
+        def row(at: Column, x: Column) -> Column:
+            start = at + F.length(x["p"])
+            return F.struct(start.alias("start"), (at + width(x)).alias("end"), x["m"].alias("m"), F.right(x["p"], F.lit(24)).alias("before"), F.left(x["q"], F.lit(12)).alias("after"))
 
-    spans = F.aggregate(F.arrays_zip(pieces.alias("pieces"), matches.alias("matches")), F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
+        return scan(items, F.lit(0), lambda at, x: at + width(x), row)
+
+    spans = bound(F.struct(pieces.alias("pieces"), matches.alias("matches")), rows)
     usable = text.isNotNull() if needs is None else text.isNotNull() & needs
-    return F.when(usable & text.rlike(pattern), spans).otherwise(empty)
+    return F.coalesce(F.when(usable & text.rlike(pattern), spans), empty)
 
 
 def digits(m: Column) -> Column:
@@ -89,36 +138,79 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 def votes(kind: str, s: Column, base: bool) -> Column:
     """The five votes on a candidate, as one number in base 3."""
-    m, before = s["m"], F.lower(s["before"])
+    m, before, after = s["m"], F.lower(s["before"]), s["after"]
     number = digits(m)
-    shape = F.lit(1) if base else {"email": F.when(m.rlike(r"(?i)(\.|dot ?[\])] ?)[a-z]{2,}$"), 1).otherwise(-1), "phone": F.lit(1), "id": F.lit(1), "number": F.lit(0)}[kind]
+
+    def vote(good: Column | None = None, bad: Column | None = None) -> Column:
+        nothing = F.lit(0) if good is None else F.when(good, 1).otherwise(0)
+        return nothing if bad is None else F.when(bad, -1).otherwise(nothing)
+
+    none = F.lit(0)
+    word = lambda names: "|".join(names)
+    shape = {
+        "email": vote(m.rlike(r"(?i)(\.|dot ?[\])] ?)[a-z]{2,}$"), ~m.rlike(r"(?i)(\.|dot ?[\])] ?)[a-z]{2,}$")),
+        "ip": vote(~m.rlike(r"(?:^|\.)0[0-9]"), m.rlike(r"(?:^|\.)0[0-9]")),
+        "card": vote(m.rlike(r"^[0-9]{16}$|^(?:[0-9]{4}[ -]){3}[0-9]{4}$"), m.rlike(r"[ -][0-9][ -]")),
+        "phone": vote(m.rlike(r"^\+?[0-9]{0,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3}"), m.rlike(r"[ .()-]{3}")),
+        "id": F.lit(1),
+        "iban": vote(F.length(F.regexp_replace(m, " ", "")).between(15, 34), ~F.length(F.regexp_replace(m, " ", "")).between(15, 34)),
+        "street": F.lit(1),
+        "name": vote(m.rlike(r"\p{L} \p{Lu}\p{L}+ \p{Lu}\p{L}+$")),
+        "secret": vote(m.rlike(r"[0-9]") & m.rlike("[A-Za-z]"), ~m.rlike("[0-9]")),
+        "number": none,
+    }[kind]
     checked = {
-        "email": F.when(m.rlike(r"^[A-Za-z]"), 1).otherwise(0),
-        "ip": F.when(m.rlike(r"^(?:0|127|255)\."), -1).otherwise(1),
-        "card": F.lit(1),
-        "phone": F.when(number.rlike(r"^(?:\d{0,3})([0-9])\1{6}"), -1).when(F.length(number) >= 10, 1).otherwise(0),
-        "id": F.when(number.rlike("^(?:000|666|9)"), -1).otherwise(1),
-        "number": F.when(number.rlike("^(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])$"), -1).otherwise(0),
+        "email": vote(m.rlike(r"^[A-Za-z]")),
+        "ip": vote(~m.rlike(r"^(?:0|127|255)\."), m.rlike(r"^(?:0|127|255)\.")),
+        "card": vote(number.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))"), number.rlike(r"^([0-9])\1{11}")),
+        "phone": vote(F.length(number) >= 10, number.rlike(r"^(?:\d{0,3})([0-9])\1{6}")),
+        "id": vote(~number.rlike("^(?:000|666|9)") & ~number.rlike("^(?:078051120|219099999)$"), number.rlike("^(?:000|666|9)|^(?:078051120|219099999)$")),
+        "iban": vote(m.rlike("[0-9]{6}"), ~m.rlike("[0-9]{4}")),
+        "street": vote(m.rlike("[0-9]")),
+        "name": vote(~m.rlike(r"(?i) (?:the|and|of|in)$"), m.rlike(r"(?i) (?:the|and|of|in)$")),
+        "secret": vote(m.rlike("[0-9].*[A-Za-z].*[0-9]|[A-Za-z].*[0-9].*[A-Za-z]"), m.rlike(r"(?i)[=:]\s*[\"']?(?:none|null|true|false|example)")),
+        "number": vote(bad=number.rlike("^(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])$")),
     }[kind]
-    ends = "|".join(HOST_ENDS)
-    gazetteer = F.when(m.rlike(rf"(?i)(?:\.|dot ?[\])] ?)(?:{ends})$"), 1).otherwise(0) if kind == "email" else F.when(m.rlike(r"^\+(?:1|33|34|44|49)\D"), 1).otherwise(0)
-    context = F.when(before.rlike(rf"(?:^|[^a-zà-ÿ])(?:{CUES})[^a-zà-ÿ0-9]{{0,12}}$"), 1).when(before.rlike(rf"(?:^|[^a-zà-ÿ])(?:{COUNTER_CUES})[^a-zà-ÿ0-9]{{0,4}}$"), -1).otherwise(0)
-    plain = F.lit(-1) if kind == "number" else F.lit(0)
-    return reduce(lambda a, v: a * 3 + (v + 1), (shape, checked, gazetteer, context, plain), F.lit(0)).cast("int")
+    gazetteer = {
+        "email": vote(m.rlike(rf"(?i)(?:\.|dot ?[\])] ?)(?:{word(HOST_ENDS)})$|@(?:{word(HOSTS)})$"), m.rlike(rf"(?i)^(?:{word(NOBODY)})(?:@| ?[\[(])")),
+        "ip": vote(bad=m.rlike(r"^(?:10|192\.168|172\.(?:1[6-9]|2[0-9]|3[01])|169\.254|22[4-9]|23[0-9])\.")),
+        "card": none,
+        "phone": vote(m.rlike(rf"^\+(?:{word(CALLING)})(?:\D|[0-9]{{7}})"), m.rlike(r"555[ .-]01[0-9]{2}$")),
+        "id": none,
+        "iban": vote(m.rlike("^(?:AT|BE|CH|CZ|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)")),
+        "street": vote(m.rlike("(?i)(?:street|avenue|road|straße|strasse|rue|calle)")),
+        "name": F.lit(1),
+        "secret": vote(m.rlike("^(?:AKIA|ASIA|gh[opusr]_|sk-|xox)|(?i)^(?:password|passwd|pwd|secret|token|api)")),
+        "number": none,
+    }[kind]
+    context = vote(before.rlike(rf"(?:^|[^a-zà-ÿ])(?:{CUES})[^a-zà-ÿ0-9]{{0,12}}$"), ~before.rlike(rf"(?:^|[^a-zà-ÿ])(?:{CUES})[^a-zà-ÿ0-9]{{0,12}}$") & before.rlike(rf"(?:^|[^a-zà-ÿ])(?:{COUNTER_CUES})[^a-zà-ÿ0-9]{{0,4}}$"))
+    # in brackets or behind a colon it is given as such; between other numbers it may be one of a table
+    frame = vote(before.rlike(r"[<(\[:=\"'] ?$") | after.rlike(r"^ ?[>)\]\"']"), before.rlike(r"[0-9][ ,;|\t]{1,3}$") | after.rlike(r"^[ ,;|\t]{1,3}[0-9]"))
+    return reduce(lambda a, v: a * 3 + (v + 1), (shape, checked, gazetteer, context, frame), F.lit(0)).cast("int")
 
 
 def tagged(kind: str, spans: Column, base: bool) -> Column:
     return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(base).alias("base"), votes(kind, s, base).alias("votes")))
 
 
+def off_base(wider: Column, base: Column) -> Column:
+    """The wider candidates that overlap no base one: swept by start, then backwards."""
+    place = lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), c["kind"].alias("kind"), c["votes"].alias("votes"))
+    far = F.lit(2_147_483_647)
+    every = F.array_sort(F.transform(F.concat(base, wider), place))
+    ahead = scan(every, F.lit(0), lambda end, x: F.when(x["base"], F.greatest(end, x["end"])).otherwise(end), lambda end, x: F.struct(x.alias("x"), (end > x["start"]).alias("hit")))
+    both = scan(F.reverse(ahead), far, lambda start, y: F.when(y["x"]["base"], y["x"]["start"]).otherwise(start), lambda start, y: F.struct(y["x"].alias("x"), (y["hit"] | (start < y["x"]["end"])).alias("hit")))
+    free = F.transform(F.filter(both, lambda y: ~y["hit"] & ~y["x"]["base"]), lambda y: F.struct(*[y["x"][c].alias(c) for c in ("kind", "start", "end", "base", "votes")]))
+    return F.when((F.size(wider) > 0) & (F.size(base) > 0), free).otherwise(wider)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """``docs`` with base_email .. base_phone (spans) and candidates: all tagged spans, wider ones off base ones."""
     text = F.col("text")
     rows = docs.select("*", *[c.alias(f"base_{k}") for k, c in base_spans(text).items()])
-    wider = [(kind, found(text, pattern, text.rlike("[0-9]") if kind not in ("email",) else text.contains("@") if needs == "@" else text.rlike(r"[\[(] ?[aA][tT] ?[\])]"))) for kind, needs, pattern in WIDER]
+    wider = [(kind, found(text, pattern, text.rlike(needs))) for kind, needs, pattern in WIDER]
     rows = rows.select("*", F.concat(*[tagged(kind, spans, False) for kind, spans in wider]).alias("_wider"), F.concat(*[tagged(k, F.col(f"base_{k}"), True) for k in KINDS]).alias("_base"))
-    apart = F.filter("_wider", lambda w: ~F.exists("_base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return rows.withColumn("candidates", F.concat("_base", apart)).drop("_wider", "_base")
+    return rows.withColumn("candidates", F.concat("_base", off_base(F.col("_wider"), F.col("_base")))).drop("_wider", "_base")
 
 
 def unpacked(code: int) -> list[int]:
@@ -176,14 +268,18 @@ def with_spans(docs: DataFrame, model: dict[int, float] | None = None, least: fl
     model = fitted(docs) if model is None else model
     accepted = [c for c, p in model.items() if p >= least]
     good = F.array(*[F.lit(c) for c in accepted]) if accepted else F.expr("cast(array() as array<int>)")
-    order = F.create_map(*[x for i, kind in enumerate((*KINDS, "id", "number")) for x in (F.lit(kind), F.lit(i))])
+    order = F.create_map(*[x for i, kind in enumerate((*KINDS, *OTHERS)) for x in (F.lit(kind), F.lit(i))])
     rows = candidates(docs)
     kept = F.filter("candidates", lambda c: c["base"] | F.array_contains(good, c["votes"]))
     rows = rows.withColumn("_kept", F.transform(kept, lambda c: F.struct(order[c["kind"]].alias("o"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), c["base"].alias("base"))))
     # an added span gives way to an earlier one that it touches; base spans of different kinds may touch each other
-    ordered = F.array_sort(F.col("_kept"))
-    apart = F.filter(ordered, lambda c: c["base"] | ~F.exists("_kept", lambda d: ~d["base"] & (d["start"] < c["end"]) & (c["start"] < d["end"]) & ((d["start"] < c["start"]) | ((d["start"] == c["start"]) & (d["o"] < c["o"])))))
-    return rows.withColumn("spans", F.transform(apart, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))).drop("_kept", "candidates")
+    by_start = F.array_sort(F.transform(F.filter("_kept", lambda c: ~c["base"]), lambda c: F.struct(c["start"].alias("start"), c["o"].alias("o"), c["end"].alias("end"), c["kind"].alias("kind"))))
+    swept = scan(by_start, F.lit(0), lambda end, x: F.greatest(end, x["end"]), lambda end, x: F.struct(x.alias("x"), (end > x["start"]).alias("hit")))
+    span = lambda o, c: F.struct(o.alias("o"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))
+    added = F.transform(F.filter(swept, lambda y: ~y["hit"]), lambda y: span(y["x"]["o"], y["x"]))
+    own = F.transform(F.filter("_kept", lambda c: c["base"]), lambda c: span(c["o"], c))
+    ordered = F.array_sort(F.when(F.size(by_start) > 0, F.concat(own, added)).otherwise(own))
+    return rows.withColumn("spans", F.transform(ordered, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))).drop("_kept", "candidates")
 
 
 def written_out(spans: Column, kind: Column | None = None) -> Column:
@@ -197,20 +293,29 @@ def digests(docs: DataFrame, model: dict[int, float] | None = None) -> DataFrame
     return rows.select("doc_id", *[F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(base, 256).alias("base_sha256"), written_out(F.col("spans")).alias("spans"))
 
 
-def masked(docs: DataFrame) -> DataFrame:
+def masked(docs: DataFrame, model: dict[int, float] | None = None) -> DataFrame:
     """``docs`` with every span of the text replaced by its kind in brackets, and n_chars, if there is one, of the new text."""
-    rows = with_spans(docs.select(F.struct("*").alias("row"), "text"))  # so that no column of theirs clashes with ours
+    rows = with_spans(docs.select(F.struct("*").alias("row"), "text"), model)  # so that no column of theirs clashes with ours
     # spans by start; one that begins inside what is already masked only lengthens it
     spans = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def add(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(acc["text"], acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"), acc["text"].alias("text"))
+    def masked_text(x: Column) -> Column:
+        """What lies between the spans, from pieces of the text of which a position is found at once."""
+
+        def between(start: Column, end: Column) -> Column:
+            first = F.floor(start / PIECE).cast("int")
+            near = F.array_join(F.slice(x["pieces"], first + 1, F.floor(end / PIECE).cast("int") - first + 1), "")
+            return F.substring(near, start - first * PIECE + 1, end - start)
+
+        def out(at: Column, s: Column) -> Column:
+            return F.when(s["start"] >= at, F.concat(between(at, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+
+        last = F.array_max(F.transform(x["spans"], lambda s: s["end"]))
+        return F.concat(F.array_join(scan(x["spans"], F.lit(0), lambda at, s: F.greatest(at, s["end"]), out), ""), between(last, F.length(F.col("text"))))
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(acc["text"], acc["at"] + 1, F.length(acc["text"])))
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
     found = F.size("spans") > 0
-    text = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.col("text").alias("text")), add, rest)
+    text = bound(F.struct(spans.alias("spans"), pieces.alias("pieces")), masked_text)
     rows = rows.select("row", found.alias("found"), F.when(found, text).otherwise(F.col("text")).alias("text"))
     own = lambda c: F.col("row").getField(c)
     new = {"text": F.col("text"), "n_chars": F.when(F.col("found"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(own("n_chars")) if "n_chars" in docs.columns else None}
