@@ -11,8 +11,11 @@ the global order is cut into slices of virtual time in the same way. The buckets
 depend on their number.
 
 Defined results: a null text has size 0; a null source is a source of its own, ordered last; a null doc_id hashes as the
-empty string; rows that repeat in full are separate documents with the same row in the result; an empty table gives an
-empty result. Reruns agree, since nothing depends on the order in which rows arrive.
+empty string; documents of one source and key, which are rows that repeat, are ordered by id and size; rows that repeat in
+full are separate documents with the same row in the result; copies of equal finish times are ordered by source, then key; a
+text of any length is one document, of which a copy may be cut; other columns are ignored in ``mixed_sizes`` and unchanged in
+``mixed_documents``, whatever their names; an empty table gives an empty result. Reruns agree, since nothing depends on the
+order in which rows arrive.
 """
 
 from __future__ import annotations
@@ -65,7 +68,8 @@ def mix(docs: DataFrame, keep: Sequence[str] = (), weights: Sequence[float] = (3
     """
     spark = docs.sparkSession
     buckets = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    # the text is in the key, so that rows that share an id, or have none, are spread as well
+    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), *[F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(keep)])
     slice_ = (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).cast("int")
     rows = rows.withColumn("slice", slice_)
@@ -128,7 +132,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT source, source_size, CAST([3, 1, 2][1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER)] AS DOUBLE) AS w,

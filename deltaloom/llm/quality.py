@@ -5,11 +5,14 @@ overlap by half; responses are max-pooled over windows of 512 bytes that overlap
 windows over the document are combined into one probability by a logistic unit. No part of a document is left out.
 
 Training uses labelled rows only, from a bounded sample: at most ``SAMPLE_ROWS`` rows of those with crc32(doc_id as text)
-mod 4 other than 2, the first by the hash of their id, of at most ``SAMPLE_CHARS`` characters each. Scores depend on the
-text alone. Scoring is a map over documents; memory is one step of texts.
-
-Defined results: a null text scores as the empty text; a null doc_id is held out as crc32('') = 0 says, that is not; with
-no labelled row nothing is known against a document and every score is 1; rows that repeat score alike.
+mod 4 other than 2, the first by the hash of their id, of at most ``SAMPLE_CHARS`` characters each, so 90 million characters
+reach the driver at most. Scores depend on the text alone. Scoring is a map over documents; memory is one step of texts.
+
+Defined results: a null text scores as the empty text; a null doc_id counts as crc32 of the empty string, which is 0, so it
+isn't held out, and it has no label; of several labels of an id the best counts, of several texts of an id the
+smallest is trained on; with no labelled row nothing is known against a document and every score is 1; rows that repeat score
+alike; equal scores need no order; a text of any length is scored as a whole; other columns are ignored in ``scored`` and unchanged in
+``kept_documents``, whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import map_text
 
-SAMPLE_ROWS, SAMPLE_CHARS, THRESHOLD = 3_000, 200_000, 0.7
+SAMPLE_ROWS, SAMPLE_CHARS, THRESHOLD = 3_000, 30_000, 0.7
 DIM, FILTERS, QUAD, WINDOW = 8, 24, 4, 64  # WINDOW: positions in half a pooling window
 
 
@@ -167,7 +170,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
     ids = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
     ids = ids.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.md5(F.col("doc_id").cast("string"))).limit(rows)
     texts = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
-    found = sorted((r["doc_id"], r["quality"], r["text"]) for r in texts.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).collect())  # ids: ``rows`` at most
+    found = sorted((r["doc_id"], r["quality"], r["text"]) for r in texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("text").alias("text")).collect())  # ids: ``rows`` at most
     if not found:
         return None
     return ByteCnn().fit([t.encode() for _, _, t in found], np.array([q for _, q, _ in found], np.float32))

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import map_text, shared_dir, written
+from .common import WRITTEN, map_text, shared_dir, written
 
 MAGIC, LANES, EVERY, BLOCK, SCALE = b"DLT2", 2_048, 64, 524_288, 20
 LOW = np.uint64(1 << 31)
@@ -282,7 +282,9 @@ def write_tokens(docs: DataFrame, path: str, end: int | None = 2, file_tokens: i
     spark = docs.sparkSession
     vocabulary = vocabulary_size(path, end)
     kind = kind_of(vocabulary)
-    folder = folder or f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    if folder is None:
+        folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+        WRITTEN.append(folder)
     tokens = written(token_rows(docs, path, end, kind), "tokens")
     counts = id_counts(tokens, vocabulary)
     spark.createDataFrame(pa.table({"id": pa.array(np.arange(vocabulary)), "n": pa.array(counts)})).coalesce(1).write.parquet(f"{folder}/table")

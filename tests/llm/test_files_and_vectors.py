@@ -6,6 +6,7 @@ import collections
 import fractions
 import hashlib
 import io
+import os
 import random
 import sys
 import zlib
@@ -15,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from deltaloom.llm import embeddings, fmindex, media, tokenfile
+from deltaloom.llm import common, embeddings, fmindex, media, tokenfile
 from deltaloom.llm.components import components
 from deltaloom.llm.queries import tokenizer_file
 
@@ -232,6 +233,30 @@ def test_vector_plan():
         assert n * embeddings.CHANCE**projections <= embeddings.CROWD and (1 - embeddings.SAME**projections) ** tables <= 0.05
 
 
+# shared folder
+
+
+def test_clean_deletes_intermediates(spark, monkeypatch):
+    monkeypatch.setattr(common, "WRITTEN", [])
+    out = common.written(spark.range(5), "some")
+    assert out.count() == 5 and len(common.WRITTEN) == 1
+    path = common.WRITTEN[0]
+    common.clean(spark)
+    assert not os.path.exists(path.removeprefix("file://")) and not common.WRITTEN
+
+
+def test_no_folder_on_a_cluster(monkeypatch):
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+
+
 # components
 
 
