@@ -35,17 +35,18 @@ def closure(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list
     for i in range(1, rounds + 1):
         frontier = settled(step(frontier).join(seen.select(*keys), keys, "left_anti"))
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(frontier)
         if i % 8 == 0:
             seen = settled(seen)
-    return seen
+    raise RuntimeError(f"the closure was not complete after {rounds} rounds")
 
 
 def merged_edges(edges: DataFrame, order: str) -> DataFrame:
     """One edge for each (graph_id, src, dst, kind): makers united and sorted, the first resolution in order wins."""
-    return edges.groupBy("graph_id", "src", "dst", "kind").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("via")))).alias("via"), F.min_by("resolution", order).alias("resolution")
+    # makers are rows before they are collected, so that a set grows with distinct makers and not with parallel edges
+    return edges.withColumn("maker", F.explode_outer("via")).groupBy("graph_id", "src", "dst", "kind").agg(
+        F.array_sort(F.collect_set("maker")).alias("via"), F.min_by("resolution", order).alias("resolution")
     )
 
 
@@ -67,21 +68,35 @@ def reachable(flows: DataFrame, starts: DataFrame) -> DataFrame:
 
 def shortest_free_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, source, sink, path, hops): for every source and every other sink, the shortest path without a sanitizer,
-    of several the one that is smallest as an array."""
+    of several the one that is smallest as an array.
+
+    Distances to the sinks are found first, as narrow rows of (node, sink, hops), backwards from the sinks; then each pair
+    walks from its source to the smallest next node that is one hop nearer to its sink. No path is held that leads nowhere.
+    """
     flows = settled(taint_edges(nodes, edges, free=True))
     ends = flows.select("graph_id", F.col("src").alias("id")).union(flows.select("graph_id", F.col("dst").alias("id"))).distinct()
-    start = nodes.where("source").select("graph_id", "id").join(ends, ["graph_id", "id"], "left_semi")
-    start = start.select("graph_id", F.col("id").alias("source"), F.col("id").alias("node"), F.array("id").alias("path"))
-
-    def step(new: DataFrame) -> DataFrame:
-        on = (new["graph_id"] == flows["graph_id"]) & (new["node"] == flows["src"])
-        rows = new.join(flows, on).select(new["graph_id"], "source", flows["dst"].alias("node"), F.array_append("path", flows["dst"]).alias("path"))
-        return rows.groupBy("graph_id", "source", "node").agg(F.min("path").alias("path"))
-
-    found = closure(start, step, ["graph_id", "source", "node"])
-    sinks = nodes.where("sink").select("graph_id", F.col("id").alias("node"))
-    found = found.join(sinks, ["graph_id", "node"], "left_semi").where("node <> source")
-    return found.select("graph_id", "source", F.col("node").alias("sink"), "path", (F.size("path") - 1).alias("hops"))
+    there = lambda flag: nodes.where(flag).select("graph_id", "id").distinct().join(ends, ["graph_id", "id"], "left_semi")
+    start = there("sink").select("graph_id", F.col("id").alias("node"), F.col("id").alias("sink"), F.lit(0).alias("hops"))
+
+    def nearer(new: DataFrame) -> DataFrame:
+        on = (new["graph_id"] == flows["graph_id"]) & (new["node"] == flows["dst"])
+        return new.join(flows, on).select(new["graph_id"], flows["src"].alias("node"), "sink", (F.col("hops") + 1).alias("hops")).distinct()
+
+    left = settled(closure(start, nearer, ["graph_id", "node", "sink"]))
+    pairs = left.join(there("source").withColumnRenamed("id", "node"), ["graph_id", "node"], "left_semi").where("node <> sink")
+    walk = settled(pairs.select("graph_id", F.col("node").alias("source"), "sink", F.col("hops").alias("all"), "node", "hops", F.array("node").alias("path")))
+    done = None
+    goal = left.select("graph_id", F.col("node").alias("next"), "sink", (F.col("hops") + 1).alias("hops"))
+    steps = flows.select("graph_id", F.col("src").alias("node"), F.col("dst").alias("next"))
+    while True:
+        over = walk.where("hops = 0").select("graph_id", "source", "sink", "path", F.col("all").alias("hops"))
+        done = over if done is None else done.union(over)
+        walk = walk.where("hops > 0")
+        if walk.isEmpty():
+            return done
+        rows = walk.join(steps, ["graph_id", "node"]).join(goal, ["graph_id", "next", "sink", "hops"])
+        found = rows.groupBy("graph_id", "source", "sink", "all", "path", "hops").agg(F.min("next").alias("node"))
+        walk = settled(found.select("graph_id", "source", "sink", "all", "node", (F.col("hops") - 1).alias("hops"), F.array_append("path", F.col("node")).alias("path")))
 
 
 def symbols_on_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -72,16 +72,16 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.judged(turns(spark, sf_dir), policies, F.col("seconds"))
 
 
-SPLIT = "1998-04-15"
+SPLIT = "1995-02-10"
 
 EDGES = f"""
 w AS (SELECT o.o_orderdate < TIMESTAMP '{SPLIT}' AS early, a.l_suppkey AS u, b.l_suppkey AS v, sum(a.l_quantity) AS weight,
-             list_sort(list_distinct(list(o.o_orderpriority))) AS via
+             list_sort(list_distinct(list('s' || lpad(CAST(coalesce(p.l_suppkey, a.l_suppkey) AS VARCHAR), 6, '0')))) AS via
       FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 AND a.l_suppkey <> b.l_suppkey
+      LEFT JOIN lineitem p ON p.l_orderkey = a.l_orderkey AND p.l_linenumber = a.l_linenumber - 1
       JOIN orders o ON o.o_orderkey = a.l_orderkey GROUP BY ALL),
-s AS (SELECT *, row_number() OVER (PARTITION BY early, u ORDER BY weight DESC, v) AS rn FROM w),
 edge AS (SELECT CASE WHEN early THEN 'before' ELSE 'after' END AS graph_id, 's' || lpad(CAST(u AS VARCHAR), 6, '0') AS src, 's' || lpad(CAST(v AS VARCHAR), 6, '0') AS dst, weight, via,
-                CASE WHEN v % 10 = 3 THEN 'sanitize' ELSE 'taint' END AS kind FROM s WHERE rn <= 2),
+                CASE WHEN v % 10 = 3 THEN 'sanitize' ELSE 'taint' END AS kind FROM w),
 ids AS (SELECT DISTINCT graph_id, src AS id FROM edge UNION SELECT DISTINCT graph_id, dst FROM edge),
 node AS (SELECT i.graph_id, i.id, CAST(substr(i.id, 2) AS BIGINT) % 20 = 0 AS source, CAST(substr(i.id, 2) AS BIGINT) % 20 = 7 AS sink, CAST(substr(i.id, 2) AS BIGINT) % 10 = 3 AS sanitizer,
                 coalesce(string_agg(e.dst || ':' || e.kind, ',' ORDER BY e.dst), '') AS digest
@@ -90,16 +90,15 @@ node AS (SELECT i.graph_id, i.id, CAST(substr(i.id, 2) AS BIGINT) % 20 = 0 AS so
 
 
 def supplier_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Suppliers as symbols, before and after a date: an edge to each of the two that follow a supplier's lines with the
-    largest quantity. Suppliers whose number ends in 3 sanitize; 0 and 7 modulo 20 are sources and sinks."""
+    """Suppliers as symbols, before and after a date: an edge to each supplier that follows in an order, made by the one in
+    front of both, or by the first. Suppliers whose number ends in 3 sanitize; 0 and 7 modulo 20 are sources and sinks."""
     line, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
-    a = line.select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_suppkey").alias("u"), "l_quantity")
-    b = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("n"), F.col("l_suppkey").alias("v"))
-    o = orders.select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderdate") < F.lit(SPLIT).cast("timestamp")).alias("early"), "o_orderpriority")
-    w = a.join(b, ["l_orderkey", "n"]).where("u <> v").join(o, "l_orderkey").groupBy("early", "u", "v").agg(F.sum("l_quantity").alias("weight"), F.array_sort(F.collect_set("o_orderpriority")).alias("via"))
-    rn = F.row_number().over(Window.partitionBy("early", "u").orderBy(F.desc("weight"), "v"))
+    at = lambda d, c: line.select("l_orderkey", (F.col("l_linenumber") + d).alias("n"), F.col("l_suppkey").alias(c), *["l_quantity"] * (d == 0))
+    pairs = at(0, "u").join(at(-1, "v"), ["l_orderkey", "n"]).where("u <> v").join(at(1, "maker"), ["l_orderkey", "n"], "left").withColumn("maker", F.coalesce("maker", "u"))
+    o = orders.select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderdate") < F.lit(SPLIT).cast("timestamp")).alias("early"))
     name = lambda c: F.concat(F.lit("s"), F.lpad(F.col(c).cast("string"), 6, "0"))
-    edges = w.withColumn("rn", rn).where("rn <= 2").select(
+    w = pairs.join(o, "l_orderkey").groupBy("early", "u", "v").agg(F.sum("l_quantity").alias("weight"), F.array_sort(F.collect_set(name("maker"))).alias("via"))
+    edges = w.select(
         F.when(F.col("early"), "before").otherwise("after").alias("graph_id"), name("u").alias("src"), name("v").alias("dst"), "weight", "via", F.when(F.col("v") % 10 == 3, "sanitize").otherwise("taint").alias("kind")
     )
     edges = g.settled(edges)

@@ -161,7 +161,7 @@ fed AS (SELECT DISTINCT k.*, f.target FROM call k JOIN (SELECT graph_id, src, un
         JOIN node n ON n.graph_id = k.new AND n.id = k.san AND n.sanitizer),
 expo AS (SELECT change, san, caller, list_sort(list_distinct(list(target))) AS targets FROM fed f WHERE EXISTS (SELECT 1 FROM around a WHERE a.graph_id = f.new AND a.caller = f.caller AND a.target = f.target)
          AND NOT EXISTS (SELECT 1 FROM around a WHERE a.graph_id = f.old AND a.caller = f.caller AND a.target = f.target) GROUP BY ALL),
-out AS (SELECT 'R1' AS rule, san AS a, NULL AS b, array_to_string(callers, ',') AS detail, change FROM gone UNION ALL SELECT 'R1', san, caller, array_to_string(targets, ','), change FROM expo)""",
+out AS (SELECT 'R1' AS rule, san AS a, CAST(NULL AS VARCHAR) AS b, array_to_string(callers, ',') AS detail, change FROM gone UNION ALL SELECT 'R1', san, caller, array_to_string(targets, ','), change FROM expo)""",
     "R2": f"""{FREE}, {SIDES},
 out AS (SELECT 'R2' AS rule, n.source AS a, n.sink AS b, array_to_string(n.path, ',') AS detail, c.change FROM chs c JOIN sp n ON n.graph_id = c.new
         WHERE NOT EXISTS (SELECT 1 FROM sp o WHERE o.graph_id = c.old AND o.source = n.source AND o.sink = n.sink))""",
