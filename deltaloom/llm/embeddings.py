@@ -302,3 +302,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     known = rows.select("vec_id", "node", "twin").join(per_class, ["node", "twin"], "left")
     component = F.coalesce("component_id", "vec_id")
     return known.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+
+
+OP10_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0 AND isfinite(x))) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+b AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+n AS (SELECT x AS vec_id, count(*) AS n FROM b GROUP BY x),
+r AS (SELECT x AS vec_id, x AS z FROM b UNION SELECT r.vec_id, b.y FROM r JOIN b ON b.x = r.z),
+k AS (SELECT vec_id, min(z) AS component_id FROM r GROUP BY vec_id)
+SELECT t.vec_id, coalesce(n.n, 0) AS n_links, coalesce(k.component_id, t.vec_id) AS component_id, t.vec_id = coalesce(k.component_id, t.vec_id) AS kept FROM embeddings t LEFT JOIN n USING (vec_id) LEFT JOIN k USING (vec_id)
+"""

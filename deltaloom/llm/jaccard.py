@@ -340,3 +340,16 @@ def one_of_each(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
     rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("_kept_key")).join(kept, "_kept_key", "left_semi")
     others = F.to_json(F.struct(*[F.col("row").getField(c) for c in docs.columns if c not in ("doc_id", "text")], F.lit(0)))
     return rows.groupBy("_kept_key").agg(F.min_by("row", others).alias("row")).select("row.*")
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 3, 1) + 1)) r(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c.n >= 85 * (p.n + q.n - c.n)),
+b AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT x AS doc_id, x AS z FROM b UNION SELECT r.doc_id, b.y FROM r JOIN b ON b.x = r.z),
+k AS (SELECT doc_id, min(z) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(k.component_id, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""

@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.OP1_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op3_substrings": substrings.OP3_SQL, "op4_jaccard": jaccard.OP4_SQL, "op10_embeddings": embeddings.OP10_SQL}

@@ -215,3 +215,13 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     marks = meet(again, found, ["seed", "seg"], F.col("n") > max(HUB, total // HUBS)).groupBy("did", "th", "at").agg(F.bit_or("mask").alias("mask"), F.first("rest").alias("rest"))
     marks = marks.groupBy("did", "th").agg(F.collect_list(F.struct("at", "mask", "rest")).alias("marks"))
     return removed(texts.join(marks.hint("merge"), ["did", "th"], "left").select("doc_id", "text", "marks"), window, keep_text)
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, j, w[j] AS word, CASE WHEN j + 34 <= len(w) THEN md5(array_to_string(w[j:j + 34], ' ')) END AS win FROM d, unnest(range(1, len(w) + 1)) r(j)),
+t AS (SELECT win FROM p WHERE win IS NOT NULL GROUP BY win HAVING count(*) > 1),
+m AS (SELECT doc_id, j, word, max(CASE WHEN t.win IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM p LEFT JOIN t ON p.win = t.win),
+k AS (SELECT doc_id, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY j) FILTER (gone = 0), '') AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
