@@ -45,6 +45,24 @@ def overhead(rows: DataFrame) -> DataFrame:
     )
 
 
+def full_overhead(rows: DataFrame) -> DataFrame:
+    """What a policy adds, over judged rows of (condition, scan_seconds, graph_seconds, triage_ms, model_call, input_tokens,
+    output_tokens): medians of each part over the rows that have it, of their sum over the rows with a timed scan, and means of
+    tokens over calls, to one digit."""
+    call, timed = F.col("model_call"), F.col("scan_seconds").isNotNull()
+    added = F.col("scan_seconds") + F.coalesce("graph_seconds", F.lit(0.0)) + F.coalesce("triage_ms", F.lit(0)) / 1000
+    return rows.groupBy("condition").agg(
+        F.median("graph_seconds").alias("median_graph_seconds"),
+        F.median(F.when(call, F.col("triage_ms") / 1000)).alias("median_triage_seconds"),
+        F.median("scan_seconds").alias("median_scan_seconds"),
+        F.median(added).alias("median_added_seconds"),
+        count_where(timed).alias("timed"),
+        count_where(call).alias("model_calls"),
+        F.round(F.avg(F.when(call, F.col("input_tokens"))), 1).alias("mean_input_tokens"),
+        F.round(F.avg(F.when(call, F.col("output_tokens"))), 1).alias("mean_output_tokens"),
+    )
+
+
 def inventory(rows: DataFrame) -> DataFrame:
     return rows.agg(
         F.countDistinct("trace_id").alias("traces"),

@@ -60,3 +60,20 @@ def are_prefixes(rows: DataFrame, group: str, member: str, order: str, value: st
     longest = lists.groupBy(group).agg(F.max_by("v", F.struct(F.size("v"), F.col(member))).alias("top"))
     same = F.slice("top", 1, F.size("v")) == F.col("v")
     return lists.join(longest, group).groupBy(group).agg(F.count("*").alias("members"), F.every(same).alias("is_prefix"))
+
+
+def shown_blocks(blocks: DataFrame, keys: Sequence[str], order: str, text: str, budget: int) -> DataFrame:
+    """``blocks`` that are shown within a budget of characters, with shown (text) and hidden (blocks left out behind it).
+
+    Blocks are whole while they fit; the first that doesn't is cut at a line end, and nothing after it is shown. ``hidden`` is
+    null but for the cut one.
+    """
+    by = Window.partitionBy(*keys).orderBy(order)
+    size = F.length(text)
+    rows = blocks.withColumn("_left", F.lit(budget) - (F.sum(size).over(by.rowsBetween(Window.unboundedPreceding, 0)) - size))
+    rows = rows.withColumn("_over", size > F.col("_left")).withColumn("_cuts", F.sum(F.col("_over").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_rest", F.count("*").over(Window.partitionBy(*keys)) - F.row_number().over(by))
+    head = F.substring(F.col(text), F.lit(1), F.greatest(F.col("_left"), F.lit(0)))
+    at_line = F.when(head.contains("\n"), F.regexp_replace(head, r"(?s)\n[^\n]*\z", "")).otherwise(head)
+    rows = rows.where((F.col("_cuts") == 0) | ((F.col("_cuts") == 1) & F.col("_over")))
+    return rows.withColumn("shown", F.when(F.col("_over"), at_line).otherwise(F.col(text))).withColumn("hidden", F.when(F.col("_over"), F.col("_rest")).cast("long")).drop("_left", "_over", "_cuts", "_rest")

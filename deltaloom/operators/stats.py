@@ -32,28 +32,32 @@ def signed_ranks(pairs: DataFrame, key: str = "trace_id") -> DataFrame:
     return rows.select(key, F.signum("num").cast("int").alias("sign"), rank2.cast("long").alias("rank2"))
 
 
-def wilcoxon(ranks: DataFrame) -> DataFrame:
-    """One row: pairs, w_plus2, w_minus2 (twice the rank sums), p (exact, two-sided).
+def wilcoxon(ranks: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """One row: pairs, zero_dropped, pairs_used, w_plus2, w_minus2 (twice the rank sums), p (exact, two-sided), rank_biserial.
 
-    The distribution of the smaller sum over all signs is counted by the number of subsets for each sum, over one row for
-    each rank, which the number of events bounds.
+    ``pairs`` are all differences, of which those that are zero have no rank. The distribution of the smaller sum over all
+    signs is counted by the number of subsets for each sum, over one row for each rank, which the number of events bounds.
     """
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(frames)
-        ranks, signs = [int(x) for x in rows["rank2"]], rows["sign"].tolist()
-        plus = sum(r for r, s in zip(ranks, signs) if s > 0)
-        low, ways = min(plus, sum(ranks) - plus), {0: 1}
+        ranks, signs = [int(x) for x in rows["rank2"].dropna()], rows["sign"].dropna().tolist()
+        total, plus = sum(ranks), sum(r for r, s in zip(ranks, signs) if s > 0)
+        low, ways = min(plus, total - plus), {0: 1}
         for r in ranks:
             more = dict(ways)
-            for total, n in ways.items():
-                more[total + r] = more.get(total + r, 0) + n
+            for subtotal, n in ways.items():
+                more[subtotal + r] = more.get(subtotal + r, 0) + n
             ways = more
-        below = sum(n for total, n in ways.items() if total <= low)
+        below = sum(n for subtotal, n in ways.items() if subtotal <= low)
         p = min(1.0, 2 * below / 2 ** len(ranks)) if ranks else 1.0
-        yield pd.DataFrame({"pairs": [len(ranks)], "w_plus2": [plus], "w_minus2": [sum(ranks) - plus], "p": [p]})
+        effect = (2 * plus - total) / total if total else 0.0
+        yield pd.DataFrame({"pairs": [len(rows)], "zero_dropped": [len(rows) - len(ranks)], "pairs_used": [len(ranks)], "w_plus2": [plus], "w_minus2": [total - plus], "p": [p], "rank_biserial": [effect]})
 
-    return ranks.select("sign", "rank2").coalesce(1).mapInPandas(count, "pairs long, w_plus2 long, w_minus2 long, p double")
+    rows = ranks.select("sign", "rank2")
+    if pairs is not None:
+        rows = rows.unionByName(pairs.where("num = 0").select(F.lit(None).cast("int").alias("sign"), F.lit(None).cast("long").alias("rank2")))
+    return rows.coalesce(1).mapInPandas(count, "pairs long, zero_dropped long, pairs_used long, w_plus2 long, w_minus2 long, p double, rank_biserial double")
 
 
 def holm(tests: DataFrame, p: str = "p", family: str | None = None) -> DataFrame:
@@ -65,20 +69,25 @@ def holm(tests: DataFrame, p: str = "p", family: str | None = None) -> DataFrame
     return rows.withColumn("adjusted", F.max("_raw").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_raw")
 
 
-def bootstrap(values: DataFrame, group: str, value: str, resamples: int = 10_000, seed: int = 0) -> DataFrame:
-    """(group, mean, low, high): a seeded percentile bootstrap of the mean at 95 %, with Python's own generator."""
+def bootstrap(values: DataFrame, group: str, value: str, order: str, resamples: int = 10_000, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """(group, mean, low, high): a seeded percentile bootstrap of the mean, with Python's own generator.
+
+    Values are drawn one by one by their place in ``order``, so the interval depends on it. A null value is an error.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        data = sorted(frame[value].astype(float))
-        rng = random.Random(seed)
-        means = sorted(sum(rng.choices(data, k=len(data))) / len(data) for _ in range(resamples))
-        return pd.DataFrame({group: [frame[group].iloc[0]], "mean": [sum(data) / len(data)], "low": [means[floor(0.025 * resamples)]], "high": [means[ceil(0.975 * resamples) - 1]]})
+        data = frame.sort_values(order)[value].astype(float).tolist()
+        if not data or any(x != x for x in data):
+            raise ValueError("no values to resample")
+        rng, n = random.Random(seed), len(data)
+        means = sorted(sum(data[rng.randrange(n)] for _ in range(n)) / n for _ in range(resamples))
+        low, high = means[floor((1 - level) / 2 * resamples)], means[ceil((1 + level) / 2 * resamples) - 1]
+        return pd.DataFrame({group: [frame[group].iloc[0]], "mean": [sum(data) / n], "low": [low], "high": [high]})
 
     kind = values.schema[group].dataType.simpleString()
-    return values.select(group, value).groupBy(group).applyInPandas(run, f"`{group}` {kind}, mean double, low double, high double")
+    return values.select(group, value, order).groupBy(group).applyInPandas(run, f"`{group}` {kind}, mean double, low double, high double")
 
 
 def upper_median(value: Column) -> Column:
     """The element at n div 2 of the sorted values, which isn't the interpolated median."""
-    ordered = F.array_sort(F.collect_list(value))
-    return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
+    return F.get(F.array_sort(F.collect_list(value)), F.floor(F.count(value) / 2).cast("int"))

@@ -177,8 +177,17 @@ def unified_diff(path: str, before: str | None, after: str | None, context: int
     return "".join(x if x.endswith("\n") else x + "\n\\ No newline at end of file\n" for x in difflib.unified_diff(a, b, *names, n=context))
 
 
-def trace_plan(event: str, prompts: list[str], shortest: int = 5, longest: int = 8) -> tuple[int, int, list[str]]:
-    """Number of turns, the turn of the injection (from 2, not the last of a long run), and prompts without repetition."""
-    rng = random.Random(event)
-    turns = rng.randint(shortest, longest)
-    return turns, rng.randint(2, min(6, turns)), rng.sample(prompts, min(turns, len(prompts)))
+# Turns of a trace, and where its injection may be.
+TURNS, INJECTION = (5, 8), (2, 6)
+# A turn's output as a share of the code it is about, lowest and highest.
+OUTPUT_SHARE = (0.8, 1.5)
+
+
+def trace_plan(event: str, prompts: list[str], plan_seed: int = 0) -> tuple[int, int, list[str]]:
+    """Number of turns, the turn of the injection, and prompts without repetition, by the plan's seed and the event alone."""
+    if len(prompts) < TURNS[1]:
+        raise ValueError(f"{len(prompts)} prompts; a plan needs {TURNS[1]} at least")
+    rng = random.Random(f"{plan_seed}:{event}")
+    turns = rng.randint(*TURNS)
+    injection = rng.randint(INJECTION[0], min(INJECTION[1], turns))
+    return turns, injection, rng.sample(prompts, turns)

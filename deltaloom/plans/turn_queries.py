@@ -130,12 +130,13 @@ SQL["signed_rank_parts"] = f"{W}, {RANKS} SELECT * FROM rk"
 
 
 def wilcoxon_exact_p(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.wilcoxon(signed_rank_parts(spark, sf))
+    pairs = stats.paired(stats.per_event_recall(judged(spark, sf)), "B", "C")
+    return stats.wilcoxon(stats.signed_ranks(pairs), pairs)
 
 
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     rows = stats.per_event_recall(judged(spark, sf)).withColumn("recall", F.col("blocked") / F.col("introduced"))
-    return stats.bootstrap(rows, "condition", "recall")
+    return stats.bootstrap(rows, "condition", "recall", "trace_id")
 
 
 def holm_adjust(spark: SparkSession, sf: str) -> DataFrame:

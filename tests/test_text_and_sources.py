@@ -26,6 +26,15 @@ def test_text_functions(spark):
     assert column(spark, ["checkPath", "check_call", "unsafe", "is_validated", "sanitizeHTML"], tx.is_validator_name) == [True, False, False, True, True]
     assert column(spark, ["a/tests/x.py", "a/Tests/x.py", "test_a.py", "a/b_test.py", "conftest.py", "a/testing.py"], tx.is_test_path) == [True, False, True, True, True, False]
     assert column(spark, ["a/Tests/x.py", "a/x.py", "a.txt"], tx.path_class) == ["py-test", "py-source", "other"]
+    assert column(spark, ["Docs/x.py", "a/_vendor/x.py", "test_x.py", "tests.py"], tx.path_class) == ["py-test", "py-test", "py-test", "py-source"]
+    assert column(spark, ["a/test.py", "tests.py", "a/attest.py"], tx.is_leakage_test) == [True, True, False]
+    assert column(spark, ["a.b", "a._b", "a.__init__", "_a.b"], tx.is_public_name) == [True, False, True, False]
+    assert column(spark, ["MIT", "ISC", "GPL", None], tx.licence_status) == ["permissive", "confirm", "excluded", "excluded"]
+    assert column(spark, ["a/{b => c}/d.py", "a/{b => }/d.py", "x.py => y.py", "z.py", "{a => b}/c.py"], tx.rename_target) == ["a/c/d.py", "a/d.py", "y.py", "z.py", "b/c.py"]
+    assert [tuple(x) for x in column(spark, ["3\t1\ta/{b => c}.py", "-\t-\tx.png"], tx.changed_line)] == [("a/c.py", 3, 1, "py-source"), ("x.png", None, None, "other")]
+    assert [tuple(x) for x in column(spark, ["R100\ta.py\tb.py", "M\tc.py"], tx.status_of_line)] == [("b.py", "R"), ("c.py", "M")]
+    rule = "m: CWE-9\n  cwe:\n  - 'CWE-89: a'\n  - \"CWE-78: b\"\n  other: CWE-1\n"
+    assert column(spark, [rule, "cwe: CWE-5", "x"], tx.declared_cwes) == [[78, 89], [5], []]
     assert column(spark, ["src/a/b.py", "a/__init__.py"], tx.module_name) == ["a.b", "a"]
     assert column(spark, ["https://github.com/Own/Re.po/pull/3/commits/abcdef1", "https://example.com/a/b/commit/abcdef1"], tx.repo_of_commit_url) == ["own/re.po", None]
     assert column(spark, [["CWE-89: x 2", "CWE-22", "none", "CWE-89"]], tx.cwe_numbers, "array<string>") == [[22, 89]]
@@ -141,3 +150,22 @@ def test_registry_and_sql(spark):
         df = queries[name](spark, folder)
         assert sorted(df.columns) == columns
         assert sorted(str([r[c] for c in columns]) for r in df.collect()) == sorted(str([r[i] for i in at]) for r in found.fetchall()), name
+
+
+def test_blocks_within_a_budget(spark):
+    from deltaloom.operators import states
+
+    df = spark.createDataFrame([("a", 1, "12345"), ("a", 2, "one\ntwo\nthree"), ("a", 3, "x"), ("a", 4, "y"), ("b", 1, "abcdefghijklmnop"), ("c", 1, "short")], "k string, n int, t string")
+    got = sorted((r["k"], r["n"], r["shown"], r["hidden"]) for r in states.shown_blocks(df, ["k"], "n", "t", 14).collect())
+    assert got == [("a", 1, "12345", None), ("a", 2, "one\ntwo", 2), ("b", 1, "abcdefghijklmn", 0), ("c", 1, "short", None)]
+
+
+def test_reports(spark):
+    from deltaloom.operators import reports
+
+    files = spark.createDataFrame([(1, "tests/a.py"), (1, "src/b.py"), (2, "src/c.py")], "event_id int, path string")
+    near = spark.createDataFrame([(1, "tests/a.py", "f"), (1, "lib/x.py", "f"), (1, "lib/x.py", "f")], "event_id int, path string, symbol string")
+    assert sorted(map(tuple, reports.exclusions(files, near).collect()), key=str) == [(1, "lib/x.py", "f", "near-duplicate"), (1, "tests/a.py", None, "fix-test")]
+    totals = reports.leakage_totals(files, near).first().asDict()
+    assert totals == {"events": 2, "fix_tests_excluded": 1, "fix_sources_left_in_scope": 2, "events_with_exclusions": 1, "exclusions": 2, "events_with_near_duplicates": 1, "near_duplicates": 2}
+    assert reports.leakage_totals(files.limit(0), near.limit(0)).first()["exclusions"] == 0

@@ -84,6 +84,10 @@ def test_wilcoxon_is_enumeration(spark, seed):
     low = min(plus, sum(rank2) - plus)
     below = sum(sum(r for r, s in zip(rank2, signs) if s) <= low for signs in itertools.product([0, 1], repeat=len(rank2)))
     assert (got["pairs"], got["w_plus2"]) == (len(rank2), plus)
+    all_pairs = spark.createDataFrame(pairs, "trace_id long, num long, den long")
+    full = stats.wilcoxon(ranks, all_pairs).first()
+    assert (full["pairs"], full["zero_dropped"], full["pairs_used"], full["p"]) == (9, 9 - len(rank2), len(rank2), got["p"])
+    assert full["rank_biserial"] == ((2 * plus - sum(rank2)) / sum(rank2) if rank2 else 0)
     assert got["p"] == min(1.0, 2 * below / 2 ** len(rank2))
 
 
@@ -98,11 +102,19 @@ def test_holm_and_bootstrap(spark):
     rows = stats.holm(spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03)], "t string, p double")).orderBy("t").collect()
     assert [round(r["adjusted"], 6) for r in rows] == [0.03, 0.06, 0.06]
     data = [0.0, 0.5, 1.0, 1.0]
-    df = spark.createDataFrame([("g", x) for x in data], "g string, v double")
-    got = stats.bootstrap(df, "g", "v", resamples=500).first()
+    df = spark.createDataFrame([("g", i, x) for i, x in enumerate(data)], "g string, i int, v double").repartition(3)
+    got = stats.bootstrap(df, "g", "v", "i", resamples=500).first()
     rng = random.Random(0)
-    means = sorted(sum(rng.choices(data, k=4)) / 4 for _ in range(500))
+    means = sorted(sum(data[rng.randrange(4)] for _ in data) / 4 for _ in range(500))
     assert (got["mean"], got["low"], got["high"]) == (0.625, means[12], means[487])
+    # the values of a seeded generator that draws by place, not by size
+    eight = [0.9, 0.1, 0.5, 0.3, 0.8, 0.0, 0.7, 0.449]
+    got = stats.bootstrap(spark.createDataFrame([("g", i, x) for i, x in enumerate(eight)], "g string, i int, v double"), "g", "v", "i").first()
+    rng = random.Random(0)
+    means = sorted(sum(eight[rng.randrange(8)] for _ in range(8)) / 8 for _ in range(10_000))
+    assert (got["low"], got["high"]) == (means[250], means[9749])
+    with pytest.raises(Exception, match="no values"):
+        stats.bootstrap(spark.createDataFrame([("g", 1, None)], "g string, i int, v double"), "g", "v", "i").collect()
     assert spark.createDataFrame([(1,), (2,), (3,), (4,)], "x int").agg(stats.upper_median(F.col("x"))).first()[0] == 3
 
 
@@ -111,12 +123,12 @@ def test_bootstrap_query_runs_all_resamples(spark):
 
     small = "/root/testdata/sf0.001"
     data: dict[str, list[float]] = {}
-    for r in turn_queries.per_event_recall(spark, small).collect():
+    for r in turn_queries.per_event_recall(spark, small).orderBy("trace_id").collect():
         data.setdefault(r["condition"], []).append(r["blocked"] / r["introduced"])
     want = {}
     for condition, values in data.items():
-        values, rng = sorted(values), random.Random(0)
-        means = sorted(sum(rng.choices(values, k=len(values))) / len(values) for _ in range(10_000))
+        rng, n = random.Random(0), len(values)
+        means = sorted(sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(10_000))
         want[condition] = (means[250], means[9749])
     assert {r["condition"]: (r["low"], r["high"]) for r in turn_queries.bootstrap_ci(spark, small).collect()} == want
 

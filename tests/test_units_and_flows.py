@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from deltaloom.operators import analysers, flows, units
@@ -45,6 +47,11 @@ def test_scrub_tokens_diff_plan():
     turns, at, prompts = units.trace_plan("event", list("abcdefghij"))
     assert 5 <= turns <= 8 and 2 <= at <= min(6, turns) and len(set(prompts)) == turns == len(prompts)
     assert units.trace_plan("event", list("abcdefghij")) == (turns, at, prompts)
+    rng = random.Random("3:event")
+    n = rng.randint(5, 8)
+    assert units.trace_plan("event", list("abcdefghij"), 3) == (n, rng.randint(2, min(6, n)), rng.sample(list("abcdefghij"), n))
+    with pytest.raises(ValueError, match="needs 8"):
+        units.trace_plan("event", list("abcdefg"))
 
 
 def test_mapped(spark):
