@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import re
 import tempfile
@@ -74,6 +76,14 @@ def steps(batch: pa.RecordBatch, text: str = "text", most: int = STEP_CHARS) ->
         yield batch.slice(start)
 
 
+def released() -> None:
+    """Give freed memory back to the system: workers stay when their tasks have ended, and so would what they freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_text(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, text: str = "text", most: int = STEP_CHARS) -> DataFrame:
     """``mapInArrow`` in bounded steps; ``make`` runs once in each task and returns the function of a step."""
 
@@ -87,6 +97,8 @@ def map_text(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
                         yield out
         finally:
             gc.enable()
+            del step
+            released()
 
     return df.mapInArrow(run, schema)
 

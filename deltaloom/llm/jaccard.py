@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SMALL_STEP, map_text, written
+from .common import SMALL_STEP, map_text, released, written
 from .components import HUB, HUBS, components
 from .words import U, by_text, mixed, shingles, word_hashes
 
@@ -255,6 +255,8 @@ def verified(members: DataFrame, k: int, percent: int) -> DataFrame:
         order = sorted(own)
         roots = linked([sets[own[n]] for n in order], percent) if order else []
         names = np.array(order, U).view(np.int64)
+        if group.num_rows > 1_000:
+            released()
         return pa.table({"node": pa.array(names, pa.int64()), "root": pa.array(names[roots] if order else names, pa.int64())})
 
     return members.groupBy("grp", "i", "j").applyInArrow(run, "node long, root long")
@@ -337,7 +339,8 @@ def one_of_each(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
     ids = docs.select(key.alias("_kept_key"), F.col("doc_id").cast("long").alias("id")).distinct()
     smallest = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "_kept_key"))
     kept = linked.join(ids, "_kept_key").groupBy("component_id").agg(smallest.alias("kept")).select("kept._kept_key")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("_kept_key")).join(kept, "_kept_key", "left_semi")
+    # one shuffle of rows by their key, at every size: the aggregation that follows needs no other
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("_kept_key")).join(kept.hint("merge"), "_kept_key", "left_semi")
     others = F.to_json(F.struct(*[F.col("row").getField(c) for c in docs.columns if c not in ("doc_id", "text")], F.lit(0)))
     return rows.groupBy("_kept_key").agg(F.min_by("row", others).alias("row")).select("row.*")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text
+from .common import map_text, released
 
 SAMPLE_ROWS, SAMPLE_CHARS, THRESHOLD = 3_000, 30_000, 0.7
 DIM, FILTERS, QUAD, WINDOW = 8, 24, 4, 64  # WINDOW: positions in half a pooling window
@@ -173,7 +173,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
     found = sorted((r["doc_id"], r["quality"], r["text"]) for r in texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("text").alias("text")).collect())  # ids: ``rows`` at most
     if not found:
         return None
-    return ByteCnn().fit([t.encode() for _, _, t in found], np.array([q for _, q, _ in found], np.float32))
+    texts, marks = [t.encode() for _, _, t in found], np.array([q for _, q, _ in found], np.float32)
+    del found
+    net = ByteCnn().fit(texts, marks)
+    released()
+    return net
 
 
 def scored(docs: DataFrame, model: ByteCnn | None, keep: str | None = None) -> DataFrame:

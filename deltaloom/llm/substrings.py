@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_STEP, WORD_RE, map_text, meet, written
+from .common import SMALL_STEP, WORD_RE, map_text, meet, released, written
 from .components import HUB, HUBS
 from .fmindex import FmIndex
 from .words import POWERS, U, by_text, grams, mixed, word_hashes
@@ -142,6 +142,7 @@ def masks(contents: DataFrame, window: int, shards: int) -> DataFrame:
         coded = pa.concat_arrays(column.chunks).dictionary_encode()  # equal contents are one
         code = coded.indices.to_numpy()
         found = repeated_windows(coded.dictionary, np.bincount(code, group["n"].to_numpy()).astype(np.int64), window)
+        released()
         return pa.table({"seed": group["seed"], "seg": group["seg"], "mask": pa.array(found[code], pa.int64())})
 
     contents = contents.select("seed", "seg", "n", "words", F.pmod(F.xxhash64("deal"), F.lit(shards)).alias("shard"))
