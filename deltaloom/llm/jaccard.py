@@ -263,20 +263,19 @@ def verified(members: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def in_blocks(texts: DataFrame, placed: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, root) of groups that are dealt in blocks. ``placed``: node, rep, grp, bytes, blocks; all narrow but ``texts``."""
+    """(node, root) of groups that are dealt in blocks. ``texts``: node, text; ``placed``: node, grp, bytes, blocks."""
 
     def compared(tasks: DataFrame, name: str) -> DataFrame:
-        return written(verified(tasks.join(texts, F.col("rep") == F.col("doc_id")).select("grp", "i", "j", "node", "text"), k, percent), name)
+        return written(verified(tasks.join(texts.hint("merge"), "node").select("grp", "i", "j", "node", "text"), k, percent), name)
 
     def every(n, start: int = 0):
         return F.explode(F.sequence(F.lit(start), n - 1))
 
-    # rows that repeat a document are as many as they like; they are one here
-    texts = texts.join(placed.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").distinct()
+    texts = texts.distinct()  # rows that repeat a document are as many as they like; they are one here
     at = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     zero = F.lit(0)
-    first = at.where("block > 0").select("node", "rep", "grp", zero.alias("i"), F.col("block").alias("j"))
-    first = first.union(at.where("block = 0").select("node", "rep", "grp", zero.alias("i"), every(F.col("blocks"), 1).alias("j")))
+    first = at.where("block > 0").select("node", "grp", zero.alias("i"), F.col("block").alias("j"))
+    first = first.union(at.where("block = 0").select("node", "grp", zero.alias("i"), every(F.col("blocks"), 1).alias("j")))
     links = compared(first, "block-links")
     classes = components(links.select(F.col("node").alias("src"), F.col("root").alias("dst")))
     at = at.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
@@ -285,8 +284,8 @@ def in_blocks(texts: DataFrame, placed: DataFrame, k: int, percent: int) -> Data
     if left.isEmpty():
         return at.select("node", F.col("class").alias("root"))
     parts = left.groupBy("grp").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("parts")).withColumn("parts", F.greatest("parts", F.lit(1)))
-    mine = left.join(parts, "grp").select("node", "rep", "grp", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int").alias("i"), every(F.col("blocks")).alias("j"))
-    others = at.join(parts, "grp").select("node", "rep", "grp", every(F.col("parts")).alias("i"), F.col("block").alias("j"))
+    mine = left.join(parts, "grp").select("node", "grp", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int").alias("i"), every(F.col("blocks")).alias("j"))
+    others = at.join(parts, "grp").select("node", "grp", every(F.col("parts")).alias("i"), F.col("block").alias("j"))
     links = links.union(compared(mine.union(others).distinct(), "block-links"))
     found = components(links.select(F.col("node").alias("src"), F.col("root").alias("dst")))
     return found.select("node", F.col("component").alias("root"))
@@ -308,13 +307,13 @@ def linked_documents(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     sums = wanted.groupBy("grp").agg(F.count("*").alias("count"), F.sum("bytes").alias("sum")).where("count > 1")
     blocks = F.when(F.col("sum") > GROUP_BYTES, F.ceil(F.col("sum") / BLOCK_BYTES).cast("int"))
     placed = written(wanted.join(sums.select("grp", blocks.alias("blocks")), "grp"), "placed-candidates")
-    small, large = placed.where("blocks IS NULL"), placed.where("blocks IS NOT NULL")
+    # texts are shuffled once, at every size and whatever the groups are, and only those of groups are kept
+    texts = written(texts.join(placed.hint("merge"), texts["doc_id"] == placed["rep"]).select("grp", "blocks", "node", "text"), "group-texts")
     none = F.lit(0)
-    # always by a shuffle of texts, which grows with them and no faster; at some sizes the planner would broadcast the other side
-    members = texts.join(small.hint("merge"), texts["doc_id"] == small["rep"]).select("grp", none.alias("i"), none.alias("j"), "node", "text")
-    found = verified(members, k, percent)
+    found = verified(texts.where("blocks IS NULL").select("grp", none.alias("i"), none.alias("j"), "node", "text"), k, percent)
+    large = placed.where("blocks IS NOT NULL")
     if not large.isEmpty():
-        found = found.union(in_blocks(texts, large, k, percent))
+        found = found.union(in_blocks(texts.where("blocks IS NOT NULL").select("node", "text"), large, k, percent))
     found = written(found, "verified-links")
     labelled = classes.join(found, classes["h1"] == found["node"], "left").withColumn("of", F.coalesce("root", "h1"))
     names = labelled.groupBy("of").agg(F.min("rep").alias("component"))
