@@ -1,7 +1,7 @@
 """Code as units: cut a file into definitions, imports, assignments and statements; slice, scrub, compare and merge files.
 
-Each function works on one file and is mapped over files in Arrow batches by ``mapped``; errors are values, never
-exceptions that end a job.
+Each function works on one file and is mapped over files in Arrow batches by ``mapped``, where a file that cannot be parsed
+gives null and does not end the job.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import ast
 import difflib
 import io
+import itertools
 import random
 import re
 import textwrap
@@ -23,17 +24,24 @@ from ..functions.text import REVEALING
 
 Key = tuple[str, str, int]
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
-_LAYOUT = {tokenize.COMMENT, tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.ENCODING, tokenize.ENDMARKER}
+# Fixed value: words, numbers and signs of a text that doesn't parse.
+WORDS_AND_SIGNS = r"[A-Za-z_]\w*|\d+(?:\.\d+)?|\S"
 
 
 def mapped(rows: DataFrame, columns: list[str], f: Callable[..., str | None], name: str) -> DataFrame:
-    """``rows`` with ``name``: the text that ``f`` gives for the columns."""
+    """``rows`` with ``name``: the text that ``f`` gives for the columns, null for a file that can't be parsed."""
     schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema) + f", `{name}` string"
 
+    def value(*row: pa.Scalar) -> str | None:
+        try:
+            return f(*[x.as_py() for x in row])
+        except (SyntaxError, RecursionError):
+            return None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [f(*values) for values in zip(*[batch.column(c).to_pylist() for c in columns])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, name])
+            found = pa.array(map(value, *[batch.column(c) for c in columns]), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, name])
 
     return rows.mapInArrow(run, schema)
 
@@ -42,51 +50,62 @@ def _start(node: ast.stmt) -> int:
     return min([node.lineno, *[d.lineno for d in getattr(node, "decorator_list", [])]])
 
 
+def _named(node: ast.stmt) -> tuple[str, str]:
+    """Kind of a unit, and its name or code."""
+    match node:
+        case ast.ClassDef(name=name):
+            return "class", name
+        case ast.FunctionDef(name=name) | ast.AsyncFunctionDef(name=name):
+            return "def", name
+        case ast.Assign(targets=[ast.Name(id=name), *_]) | ast.AnnAssign(target=ast.Name(id=name)):
+            return "assign", name
+    return "import" if isinstance(node, (ast.Import, ast.ImportFrom)) else "stmt", ast.unparse(node)
+
+
+def _flat(body: list[ast.stmt], prefix: str = "") -> Iterator[tuple[str, str, int, int]]:
+    """(kind, full name, first line, last line) in the order of the file; a class ends where its members start."""
+    for node in body:
+        kind, name = _named(node)
+        members = node.body if kind == "class" else []
+        end = max(node.lineno, _start(members[0]) - 1) if members else node.end_lineno
+        yield kind, prefix + name, _start(node), end
+        yield from _flat(members, f"{prefix}{name}.")
+
+
 def units(text: str) -> list[tuple[Key, int, int, str]]:
     """(key, first line, last line, lines) of every unit, classes flattened to a head and their members; comments right above
     belong to a unit. A key is kind, name or code, and the number of equal ones before it."""
-    tree, lines = ast.parse(text), text.splitlines(keepends=True)
-    seen: Counter = Counter()
+    lines, free, seen = text.splitlines(keepends=True), 1, Counter()  # free: first line of no unit yet
     out: list[tuple[Key, int, int, str]] = []
-
-    def emit(kind: str, name: str, start: int, end: int) -> None:
-        while start > 1 and lines[start - 2].lstrip().startswith("#") and (not out or out[-1][2] < start - 1):
-            start -= 1
+    for kind, name, start, end in _flat(ast.parse(text).body):
+        above = itertools.takewhile(lambda line: line.lstrip().startswith("#"), reversed(lines[free - 1 : start - 1]))
+        start -= sum(1 for _ in above)
         out.append(((kind, name, seen[kind, name]), start, end, "".join(lines[start - 1 : end])))
         seen[kind, name] += 1
+        free = end + 1
+    return out
 
-    def scope(body: list[ast.stmt], prefix: str) -> None:
-        for node in body:
-            start, end = _start(node), node.end_lineno
-            if isinstance(node, ast.ClassDef):
-                emit("class", prefix + node.name, start, max(node.lineno, _start(node.body[0]) - 1))
-                scope(node.body, f"{prefix}{node.name}.")
-            elif isinstance(node, _DEFS):
-                emit("def", prefix + node.name, start, end)
-            elif isinstance(node, (ast.Import, ast.ImportFrom)):
-                emit("import", prefix + ast.unparse(node), start, end)
-            else:
-                targets = getattr(node, "targets", None) or [getattr(node, "target", None)]
-                if isinstance(node, (ast.Assign, ast.AnnAssign)) and isinstance(targets[0], ast.Name):
-                    emit("assign", prefix + targets[0].id, start, end)
-                else:
-                    emit("stmt", prefix + ast.unparse(node), start, end)
 
-    scope(tree.body, "")
-    return out
+class _Undocumented(ast.NodeTransformer):
+    """Drops docstrings; a body left empty passes."""
+
+    def generic_visit(self, node: ast.AST) -> ast.AST:
+        super().generic_visit(node)
+        if isinstance(node, (*_DEFS, ast.Module)) and ast.get_docstring(node, clean=False) is not None:
+            node.body = node.body[1:] or ([] if isinstance(node, ast.Module) else [ast.Pass()])
+        return node
 
 
 def code_tokens(text: str) -> list[str]:
     """Tokens without comments, docstrings and layout, in one layout and one quoting style; words and signs if it doesn't parse."""
+    text = textwrap.dedent(text)
     try:
-        tree = ast.parse(textwrap.dedent(text))
+        printed = ast.unparse(_Undocumented().visit(ast.parse(text)))
     except (SyntaxError, ValueError):
-        return re.findall(r"[A-Za-z_]\w*|\d+(?:\.\d+)?|\S", re.sub(r"#[^\n]*", "", textwrap.dedent(text)))
-    for node in ast.walk(tree):
-        if isinstance(node, (*_DEFS, ast.Module)) and node.body and isinstance(node.body[0], ast.Expr) and isinstance(getattr(node.body[0], "value", None), ast.Constant) and isinstance(node.body[0].value.value, str):
-            node.body = node.body[1:] or ([ast.Pass()] if not isinstance(node, ast.Module) else [])
-    source = ast.unparse(ast.fix_missing_locations(tree))
-    return [t.string for t in tokenize.generate_tokens(io.StringIO(source).readline) if t.type not in _LAYOUT and t.string]
+        return re.findall(WORDS_AND_SIGNS, re.sub(r"#[^\n]*", "", text))
+    # Printed code has no comments; what is blank is layout, except inside an f-string.
+    tokens = tokenize.generate_tokens(io.StringIO(printed).readline)
+    return [t.string for t in tokens if t.string.strip() or t.string and t.type == tokenize.FSTRING_MIDDLE]
 
 
 def sliced(text: str, names: set[str]) -> tuple[str, list[str]]:

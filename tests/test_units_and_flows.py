@@ -43,6 +43,8 @@ def test_scrub_tokens_diff_plan():
     assert "CVE" not in out and "attack" not in out and "# plain" in out and "Reads." in out and len(removed) == 2
     assert units.code_tokens('def f():\n    "doc"\n    return \'a\'  # c\n') == units.code_tokens('def f():\n    return "a"\n')
     assert units.code_tokens("def (: # c") == ["def", "(", ":"]
+    assert units.code_tokens('class A:\n    "doc"\n') == ["class", "A", ":", "pass"] and units.code_tokens('"doc"') == []
+    assert units.code_tokens('f"{a} {b}"') != units.code_tokens('f"{a}{b}"')
     assert units.unified_diff("a.py", "x\n", "y\n") == "--- a/a.py\n+++ b/a.py\n@@ -1 +1 @@\n-x\n+y\n"
     turns, at, prompts = units.trace_plan("event", list("abcdefghij"))
     assert 5 <= turns <= 8 and 2 <= at <= min(6, turns) and len(set(prompts)) == turns == len(prompts)
@@ -58,6 +60,9 @@ def test_mapped(spark):
     df = spark.createDataFrame([("a.py", "x\n", None), ("b.py", None, "y\n")], "path string, old string, new string")
     rows = units.mapped(df, ["path", "old", "new"], units.unified_diff, "diff").collect()
     assert [r["diff"].splitlines()[1] for r in rows] == ["+++ /dev/null", "+++ b/b.py"]
+    df = spark.createDataFrame([(1, "x = 1\n"), (2, "def (:\n"), (3, ""), (4, "(" * 150), (5, "y = " + "-" * 5000 + "1\n")], "i int, text string")
+    rows = units.mapped(df, ["text"], lambda t: ",".join(u[0][1] for u in units.units(t)), "names").orderBy("i").collect()
+    assert [r["names"] for r in rows] == ["x", None, "", None, "y"]
 
 
 def test_origins(spark):
