@@ -30,6 +30,9 @@ class Bits:
         block = i >> 6
         return self.before[block] + np.bitwise_count(self.blocks[block] & _LOW[i & 63])
 
+    def at(self, i: np.ndarray) -> np.ndarray:
+        return (self.blocks[i >> 6] >> (i & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
 
 class WaveletTree:
     def __init__(self, symbols: np.ndarray, alphabet: int):
@@ -49,6 +52,15 @@ class WaveletTree:
             i = np.where(symbol & (1 << (self.levels - 1 - level)), zeros + ones, i - ones)
         return i
 
+    def at(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols at positions i, and their ranks there."""
+        symbol = np.zeros(len(i), np.int64)
+        for bits, zeros in zip(self.rows, self.zeros):
+            one, ones = bits.at(i), bits.ones(i)
+            symbol = symbol << 1 | one
+            i = np.where(one, zeros + ones, i - ones)
+        return symbol, i
+
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Positions in the order of their first ``depth`` symbols at least, by doubling; positions after the end count lowest."""
@@ -131,3 +143,75 @@ class FmIndex:
             same = (text[at] == self.text[place]) & (text[at] > 0)
             at, place, left, owner = at[same], place[same], left[same], owner[same]
             length[owner] += 1
+
+
+def full_suffix_order(text: np.ndarray) -> np.ndarray:
+    """Positions of a text that ends in 0 in the order of their suffixes, each up to its first 0; equal ones by position.
+
+    Ranks of several places are packed into one number, so a round multiplies the depth; positions with a place of their own
+    take no part in later rounds.
+    """
+    n, ends = len(text), text == 0
+    rank = np.where(ends, np.cumsum(ends) - 1, text + int(ends.sum()) - 1)
+    order, slots, depth = np.arange(n), np.arange(n), 1
+    grouped = False
+    while len(slots):
+        bits = max(1, int(rank.max()).bit_length())
+        many = max(2, 63 // bits)
+        who = order[slots]
+        key = np.zeros(len(who), np.int64)
+        for k in range(many):
+            at = who + k * depth
+            key = key << bits | np.where(at < n, rank[np.minimum(at, n - 1)], 0)
+        sort = np.argsort(key)
+        order[slots], key = who[sort], key[sort]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        first = np.flatnonzero(new)
+        rank = rank.copy() if grouped else np.empty(n, np.int64)
+        rank[order[slots]] = slots[np.repeat(first, np.diff(np.append(first, len(slots))))]
+        grouped = True
+        shared = ~(new & np.append(new[1:], True))
+        slots, depth = slots[shared], depth * many
+    return order
+
+
+class SampledIndex:
+    """FM-index of a text of symbols 1 .. alphabet - 1 in stretches that end in 0: counts and locates patterns.
+
+    What is kept is the wavelet tree of the transform and the places of every ``rate``-th position and of each stretch's first
+    one; other places are found by going back in the text, ``rate`` steps at most.
+    """
+
+    def __init__(self, text: np.ndarray, alphabet: int, rate: int = 16):
+        order = full_suffix_order(text)
+        self.n = len(text)
+        self.tree = WaveletTree(text[order - 1], alphabet)
+        counts = np.bincount(text, minlength=alphabet)
+        self.first = np.cumsum(counts) - counts
+        self.shift = self.first - self.tree.rank(np.arange(alphabet), np.zeros(alphabet, np.int64))
+        sampled = (order % rate == 0) | (text[order - 1] == 0)
+        self.marks, self.places = Bits(sampled), order[sampled].astype(np.int32)
+
+    def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals [low, high) of the suffixes that start with each pattern, a row of which the first symbols count."""
+        low, high = np.zeros(len(lengths), np.int64), np.full(len(lengths), self.n, np.int64)
+        live = np.arange(len(lengths))
+        for k in range(int(lengths.max(initial=0))):
+            live = live[(low[live] < high[live])]
+            now = live[lengths[live] > k]
+            symbol = patterns[now, lengths[now] - 1 - k].astype(np.int64)
+            both = self.tree.rank(np.concatenate([symbol, symbol]), np.concatenate([low[now], high[now]]))
+            low[now], high[now] = self.shift[symbol] + both[: len(now)], self.shift[symbol] + both[len(now) :]
+        return low, high
+
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """Where in the text the suffixes of these rows start."""
+        out, live, steps = np.empty(len(rows), np.int64), np.arange(len(rows)), 0
+        rows = rows.copy()
+        while len(live):
+            known = self.marks.at(rows)
+            out[live[known]] = self.places[self.marks.ones(rows[known])] + steps
+            live, rows, steps = live[~known], rows[~known], steps + 1
+            symbol, rank = self.tree.at(rows)
+            rows = self.shift[symbol] + rank
+        return out

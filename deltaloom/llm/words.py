@@ -60,10 +60,16 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def word_hashes(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words of all texts, and how many words each text has. ``lower``: A-Z count as a-z."""
-    data, at = text_bytes(column)
-    inside = ~_SPACE[data]
+def gaps(characters: str) -> np.ndarray:
+    """Which bytes are one of the ASCII ``characters``."""
+    out = np.zeros(256, bool)
+    out[list(characters.encode("ascii"))] = True
+    return out
+
+
+def words_of(data: np.ndarray, at: np.ndarray, gap: np.ndarray = _SPACE, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of all words of texts whose bytes are ``data``, cut at ``at``. ``gap``: which bytes aren't in words."""
+    inside = ~gap[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True
     first = inside.copy()
@@ -78,9 +84,43 @@ def word_hashes(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> tupl
         sums = np.zeros(len(data) + 1, U)
         np.cumsum(value[data] * up[: len(data)], out=sums[1:])
         h = mixed((sums[ends] - sums[starts]) * down[starts] + mixed((ends - starts).astype(U), 22))
+    return h, starts, ends
+
+
+def word_hashes(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of all texts, and how many words each text has. ``lower``: A-Z count as a-z."""
+    data, at = text_bytes(column)
+    h, starts, _ = words_of(data, at, lower=lower)
     return h, np.diff(np.searchsorted(starts, at))
 
 
+class Numbers:
+    """Places of hashes in a list of distinct ones, found in a table of slots; the few that share a slot by bisection."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.order = np.argsort(hashes, kind="stable")
+        self.sorted, self.hashes = hashes[self.order], hashes
+        self.mask = U((1 << max(4, (4 * len(hashes)).bit_length())) - 1)
+        slot = (hashes & self.mask).astype(np.int64)
+        self.slots = np.full(int(self.mask) + 1, -1, np.int32)
+        self.slots[slot] = np.arange(len(hashes), dtype=np.int32)
+        self.shared = np.bincount(slot, minlength=len(self.slots)) > 1
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 where it isn't in the list."""
+        if not len(self.hashes):
+            return np.full(len(h), -1, np.int64)
+        slot = (h & self.mask).astype(np.int64)
+        place = self.slots[slot].astype(np.int64)
+        wrong = self.hashes[place] != h
+        wrong |= place < 0
+        rest = np.flatnonzero(wrong & self.shared[slot])
+        place[wrong] = -1
+        at = np.minimum(np.searchsorted(self.sorted, h[rest]), len(self.sorted) - 1)
+        place[rest] = np.where(self.sorted[at] == h[rest], self.order[at], -1)
+        return place
+
+
 def grams(words: np.ndarray, k: int) -> np.ndarray:
     """The hash of every run of ``k`` words; none if there are fewer words."""
     n = len(words) - k + 1
