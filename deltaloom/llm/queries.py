@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, embeddings, jaccard, lm, media, mixing, pii, quality, substrings, tokenfile
+from . import bpe, collocations, decontaminate, embeddings, jaccard, lm, media, mixing, pii, quality, substrings, tokenfile
 from .common import table
 
 
@@ -63,9 +63,13 @@ def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_bpe, op3_substrings, op4_jaccard, op5_lm, op6_token_files, op7_media, op8_pii, op9_quality, op10_embeddings, op11_decontaminate)}
+    return {f.__name__: f for f in (op1_mixing, op2_bpe, op3_substrings, op4_jaccard, op5_lm, op6_token_files, op7_media, op8_pii, op9_quality, op10_embeddings, op11_decontaminate, op12_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.OP1_SQL, "op3_substrings": substrings.OP3_SQL, "op4_jaccard": jaccard.OP4_SQL, "op10_embeddings": embeddings.OP10_SQL, "op11_decontaminate": decontaminate.OP11_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op3_substrings": substrings.OP3_SQL, "op4_jaccard": jaccard.OP4_SQL, "op10_embeddings": embeddings.OP10_SQL, "op11_decontaminate": decontaminate.OP11_SQL, "op12_collocations": collocations.OP12_SQL}

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from deltaloom.llm import decontaminate
+from deltaloom.llm import collocations, decontaminate
 from deltaloom.llm.fmindex import SampledIndex, full_suffix_order
 from deltaloom.llm.words import U, Numbers
 
@@ -132,3 +132,69 @@ def test_decontaminate_empty_tables(spark):
     assert decontaminate.digests(docs.limit(0), bench).count() == 0
     row = decontaminate.digests(docs, bench.limit(0)).first()
     assert (row["n_words"], row["n_hit"], row["contaminated"]) == (3, 0, False)
+
+
+# collocations
+
+
+def best_phrases(rows, least, top):
+    f, n = Counter(), Counter()
+    for _, text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\\x0A-\\x0D]", (text or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            f.update((lang, tuple(w[i : i + k])) for k in range(1, 5) for i in range(len(w) - k + 1))
+    out = []
+    for lang in n:
+        mine = {p: a for (of, p), a in f.items() if of == lang and len(p) > 1 and a >= least}
+        hidden = {p[i:j] for p, a in mine.items() for i in range(len(p)) for j in range(i + 2, len(p) + 1) if j - i < len(p) and p[i:j] in mine and 100 * a >= 80 * mine[p[i:j]]}
+        ranked = []
+        for p, a in mine.items():
+            if p not in hidden:
+                score, k = min((2_000_000 * a // (f[lang, p[:k]] + f[lang, p[k:]]), k) for k in range(1, len(p)))
+                ranked.append((-score, -a, " ".join(p).encode(), f[lang, p[:k]], f[lang, p[k:]]))
+        for i, (score, a, phrase, left, right) in enumerate(sorted(ranked)[:top]):
+            out.append((lang, i + 1, phrase.decode(), -a, left, right, n[lang], -score))
+    return sorted(out)
+
+
+def prose(rng, n):
+    parts = ["New York", "the", "of the", "Ünder", "a b c d e", "x", "ﬀ", "\u00a0", "in-line", "'s", "a", "b", "\x00", "new"]
+    return "".join(rng.choice(parts) + rng.choice([" ", " ", " ", "\t", ", ", ".", "\n", "  "]) for _ in range(n))
+
+
+def phrase_rows(seed):
+    rng = random.Random(seed)
+    rows = [(i, prose(rng, rng.randint(0, 60)), rng.choice(["en", "en", "de", None, "und", ""])) for i in range(60)]
+    return rows + [(1, None, "en"), (2, "", "en"), (None, prose(rng, 20), "fr"), (3, prose(rng, 6_000), "en"), (4, "Zu zu zu zu " * 40, "zz")] + rows[:5]
+
+
+@pytest.mark.parametrize("seed,least,top,numbered,per_range", [(0, 3, 2_000, 1 << 20, 10**6), (1, 2, 7, 1 << 20, 300), (2, 3, 40, 6, 500), (3, 30, 2_000, 0, 2_000), (4, 2, 2_000, 3, 40)])
+def test_collocations_equal_brute_force(spark, seed, least, top, numbered, per_range):
+    rows = phrase_rows(seed)
+    got = collocations.collocations(frame(spark, rows, extra=True), least, top, numbered, per_range)
+    assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    assert sorted(map(tuple, got.collect())) == best_phrases(rows, least, top)
+
+
+def test_collocations_of_few_or_no_words(spark):
+    assert collocations.collocations(frame(spark, [(1, "a b", "en")]).limit(0)).count() == 0
+    assert collocations.collocations(frame(spark, [(1, "a b", "en"), (2, None, None), (3, " . ", None)])).count() == 0
+
+
+@pytest.mark.parametrize("most", [5, 40_000, 1 << 40])
+def test_tries_in_order_cut_and_back(most):
+    rng = np.random.default_rng(most)
+    columns = [rng.integers(0, most, 3_000) // (1 + 2 * k) for k in range(4)]
+    counts = rng.integers(1, 500, 3_000)
+    whole = Counter()
+    for p, n in zip(zip(*(c.tolist() for c in columns)), counts.tolist()):
+        whole[p] += n
+    got, sums = collocations.sorted_paths(columns, counts)
+    paths = list(zip(*(c.tolist() for c in got)))
+    assert paths == sorted(whole) and sums.tolist() == [whole[p] for p in paths]
+    back, again = collocations.read_back(collocations.serialised(got, sums))
+    assert [c.tolist() for c in back] == [c.tolist() for c in got] and again.tolist() == sums.tolist()
+    keys = np.array([paths[0], paths[7], (paths[9][0], 0, 0, 0), (most, most, most, most)])
+    assert collocations.cut_places(got, keys).tolist() == [sum(p < tuple(k) for p in paths) for k in keys.tolist()]
