@@ -8,24 +8,44 @@ short and a lost executor repeats one round.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that the session names for checkpoints, and read again."""
-    spark = df.sparkSession
+#: Tables that ``settled`` wrote in this session, for ``clean``.
+WRITTEN: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints, which all executors share; a temporary one where all is one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="deltaloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/round-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, and read again."""
+    path = f"{shared_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what ``settled`` wrote in this session; call it when the results have been consumed."""
+    for path in WRITTEN:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    WRITTEN.clear()
 
 
 def closure(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], rounds: int = 10_000) -> DataFrame:
