@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterable
 
@@ -274,8 +275,27 @@ class Merger:
         return ids[runs(froms, counts)], counts
 
 
+def newer_characters() -> re.Pattern:
+    """Finds characters past ASCII that were unassigned or of another kind in Unicode 3.2, or are outside the basic plane.
+
+    What is a letter or a number and its lower case is settled for the others; for these it differs between the versions
+    that this Python, its ``regex`` and the library have.
+    """
+    old, kind = unicodedata.ucd_3_2_0.category, lambda c: c[0] if c[0] in "LN" else c if c[0] in "CZ" else ""
+    settled = [i for i in range(0x80, 0x10000) if (was := old(chr(i))) not in ("Cn", "Co", "Cs") and kind(was) == kind(unicodedata.category(chr(i)))]
+    ranges, start = [], 0
+    for i in range(1, len(settled) + 1):
+        if i == len(settled) or settled[i] != settled[i - 1] + 1:
+            ranges.append(f"\\u{settled[start]:04x}-\\u{settled[i - 1]:04x}")
+            start = i
+    return re.compile(f"[^\\x00-\\x7f{''.join(ranges)}]")
+
+
 class WordEncoder:
-    """Texts to ids for ``word_bpe_49k.json``: NFC, white space ends words, lower case by character, then its pattern."""
+    """Texts to ids for ``word_bpe_49k.json``: NFC, white space ends words, lower case by character, then its pattern.
+
+    Chunks with characters that versions of Unicode disagree on go to the ``tokenizers`` library as they are.
+    """
 
     PATTERN = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0  -     　\p{L}\p{N}]+")
 
@@ -283,7 +303,8 @@ class WordEncoder:
     ASCII = r"('s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+)"
 
     def __init__(self, path: str, most: int = 400_000):
-        self.merger, self.most = Merger(path), most
+        self.merger, self.most, self.path, self.library = Merger(path), most, path, None
+        self.newer = newer_characters()
         special = self.merger.special
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         size = max(self.merger.names) + 1
@@ -308,8 +329,28 @@ class WordEncoder:
             out += [part] if part in special else self.cut(part)
         return [*out, "\n"]
 
+    def ask(self, chunks: list[str]) -> None:
+        """Learn chunks from the library."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_truncation()
+            self.library.no_padding()
+        found = [self.library.encode(c, add_special_tokens=False).ids for c in chunks]
+        self.keep(pa.array(chunks, pa.large_string()), [pa.array([" ".join(names[i].as_py() for i in ids) for ids in found], pa.large_string()) for names in (self.number, self.name)], np.array(list(map(len, found)), np.int64))
+
+    def keep(self, chunks: pa.Array, both: list[pa.Array], counts: np.ndarray) -> None:
+        self.known = pa.concat_arrays([self.known, chunks])
+        self.ids, self.tokens = pa.concat_arrays([self.ids, both[0]]), pa.concat_arrays([self.tokens, both[1]])
+        self.counts = np.concatenate([self.counts, counts])
+
     def learn(self, chunks: pa.Array) -> None:
         """Encode distinct new chunks: cut them into words, encode the distinct words, and join what these give."""
+        wide = pc.invert(pc.string_is_ascii(chunks))
+        if newer := [c for c in chunks.filter(wide).to_pylist() if self.newer.search(c)]:
+            self.ask(newer)
+            chunks = chunks.filter(pc.invert(pc.is_in(chunks, pa.array(newer, pa.large_string()))))
         marked, ascii = pc.match_substring(chunks, "<|"), pc.string_is_ascii(chunks)
         odd = chunks.filter(marked)
         other = chunks.filter(pc.and_not(pc.invert(ascii), marked))
@@ -338,10 +379,7 @@ class WordEncoder:
         counts = np.bincount(owner, counts[at], many).astype(np.int64) if len(owner) else np.zeros(many, np.int64)
         offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int64())
         both = [pc.binary_join(pa.LargeListArray.from_arrays(offsets, names.take(ids)), BLANK) for names in (self.number, self.name)]
-        chunks = pa.concat_arrays([chunks, other, odd])
-        self.known = pa.concat_arrays([self.known, chunks])
-        self.ids, self.tokens = pa.concat_arrays([self.ids, both[0]]), pa.concat_arrays([self.tokens, both[1]])
-        self.counts = np.concatenate([self.counts, counts])
+        self.keep(pa.concat_arrays([chunks, other, odd]), both, counts)
 
     def encoded(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
         """Of each text: the number of ids, the ids in decimal and the decoded text, both joined by one blank."""
