@@ -189,17 +189,17 @@ def element_sets(texts: pa.Array | pa.ChunkedArray, k: int) -> list[np.ndarray]:
 
 
 def set_rows(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, h1, h2, bytes): the size and a 128-bit hash of every document's set, and the size of its text."""
+    """(doc_id, th, n, h1, h2, bytes): the size and a 128-bit hash of every document's set, and the size of its text."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = element_sets(batch.column("text"), k)
             h1, h2 = (np.array([set_hash(x, salt) for x in found], U).view(np.int64) for salt in (1, 2))
-            return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array([len(x) for x in found], pa.int64()), "h1": pa.array(h1), "h2": pa.array(h2), "bytes": pc.binary_length(batch.column("text")).cast(pa.int64())})
+            return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "th": batch.column("th"), "n": pa.array([len(x) for x in found], pa.int64()), "h1": pa.array(h1), "h2": pa.array(h2), "bytes": pc.binary_length(batch.column("text")).cast(pa.int64())})
 
         return step
 
-    return map_text(docs, make, "doc_id long, n long, h1 long, h2 long, bytes long", most=SMALL_STEP)
+    return map_text(docs, make, "doc_id long, th long, n long, h1 long, h2 long, bytes long", most=SMALL_STEP)
 
 
 def list_entries(docs: DataFrame, k: int, percent: int, light: int) -> DataFrame:
@@ -250,7 +250,7 @@ def verified(members: DataFrame, k: int, percent: int) -> DataFrame:
         nodes, sets = group["node"].to_numpy().view(U), []
         for lo in range(0, group.num_rows, 256):
             sets += element_sets(group["text"].slice(lo, 256), k)
-        # texts were fetched by doc_id, which rows may share: those with the node's own set count, once
+        # a set that is not the node's own would be of another text with the same hash; equal ones are one
         own = {int(nodes[i]): i for i, x in enumerate(sets) if len(x) and set_hash(x, 1) == int(nodes[i])}
         order = sorted(own)
         roots = linked([sets[own[n]] for n in order], percent) if order else []
@@ -291,24 +291,44 @@ def in_blocks(texts: DataFrame, placed: DataFrame, k: int, percent: int) -> Data
     return found.select("node", F.col("component").alias("root"))
 
 
+def one_text_each(texts: DataFrame, sets: DataFrame, placed: DataFrame) -> DataFrame:
+    """(grp, blocks, node, text): one text for each node of ``placed``, however many rows repeat its document.
+
+    Texts are shuffled once, at every size and whatever the groups are, and only those of groups are kept. Where rows meet
+    their node, one is enough, which needs no further shuffle. A document that is repeated in more than ``1 / HUBS`` of
+    all rows is one row from each task before it is shuffled.
+    """
+    name, total = ["doc_id", "th"], sets.count()
+    hot = sets.groupBy(*name).count().where(F.col("count") > max(HUB, total // HUBS)).select(*name)
+    hot = written(hot.join(placed.select(F.col("rep").alias("doc_id"), F.col("rep_th").alias("th")), name, "left_semi"), "repeated-rows")
+
+    def met(rows: DataFrame) -> DataFrame:
+        rows = rows.join(placed.withColumnsRenamed({"rep": "doc_id", "rep_th": "th"}).hint("merge"), name)
+        return rows.groupBy(*name, "node", "grp").agg(F.any_value("blocks").alias("blocks"), F.any_value("text").alias("text")).select("grp", "blocks", "node", "text")
+
+    if hot.isEmpty():
+        return met(texts)
+    few = F.broadcast(hot)
+    return met(texts.join(few, name, "left_anti")).union(met(texts.join(few, name, "left_semi").groupBy(*name).agg(F.any_value("text").alias("text"))))
+
+
 def linked_documents(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     sets = written(set_rows(texts, k), "shingle-sets")
     of = Sizes(percent)
     # as many rows at most as there are sizes up to the largest light one
     histogram = {r["n"]: r["count"] for r in sets.where(F.col("n").between(1, of.largest_light())).groupBy("n").count().collect()}
     light = of.boundary(histogram)
-    candidates = components(stars(list_entries(texts, k, percent, light)))
-    # a class of equal sets is a node; its smallest document stands for it
-    classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("bytes", "doc_id").alias("bytes"), F.count("*").alias("many"))
-    classes = written(classes, "set-classes")
-    wanted = classes.join(candidates, classes["h1"] == candidates["node"]).select("node", "rep", "bytes", F.col("component").alias("grp"))
+    candidates = components(stars(list_entries(texts.drop("th"), k, percent, light)))
+    # a class of equal sets is a node; its smallest document stands for it, told from others of its id by its text
+    classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "th", "bytes")).alias("one"), F.count("*").alias("many"))
+    classes = written(classes.select("h1", "h2", "n", F.col("one.doc_id").alias("rep"), F.col("one.th").alias("rep_th"), F.col("one.bytes").alias("bytes"), "many"), "set-classes")
+    wanted = classes.join(candidates, classes["h1"] == candidates["node"]).select("node", "rep", "rep_th", "bytes", F.col("component").alias("grp"))
     sums = wanted.groupBy("grp").agg(F.count("*").alias("count"), F.sum("bytes").alias("sum")).where("count > 1")
     blocks = F.when(F.col("sum") > GROUP_BYTES, F.ceil(F.col("sum") / BLOCK_BYTES).cast("int"))
     placed = written(wanted.join(sums.select("grp", blocks.alias("blocks")), "grp"), "placed-candidates")
-    # texts are shuffled once, at every size and whatever the groups are, and only those of groups are kept
-    texts = written(texts.join(placed.hint("merge"), texts["doc_id"] == placed["rep"]).select("grp", "blocks", "node", "text"), "group-texts")
+    texts = written(one_text_each(texts, sets, placed), "group-texts")
     none = F.lit(0)
     found = verified(texts.where("blocks IS NULL").select("grp", none.alias("i"), none.alias("j"), "node", "text"), k, percent)
     large = placed.where("blocks IS NOT NULL")
@@ -339,7 +359,7 @@ def one_of_each(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
     smallest = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "_kept_key"))
     kept = linked.join(ids, "_kept_key").groupBy("component_id").agg(smallest.alias("kept")).select("kept._kept_key")
     # one shuffle of rows by their key, at every size: the aggregation that follows needs no other
-    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("_kept_key")).join(kept.hint("merge"), "_kept_key", "left_semi")
+    rows = docs.select(F.struct("*").alias("row"), key.alias("_kept_key")).join(kept.hint("merge"), "_kept_key", "left_semi")
     others = F.to_json(F.struct(*[F.col("row").getField(c) for c in docs.columns if c not in ("doc_id", "text")], F.lit(0)))
     return rows.groupBy("_kept_key").agg(F.min_by("row", others).alias("row")).select("row.*")
 
