@@ -185,7 +185,7 @@ def scored(docs: DataFrame, model: ByteCnn | None, keep: str | None = None) -> D
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model.p if model else None)  # a few thousand numbers
     rows = docs if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = (", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{keep}` double" if keep else "doc_id long, held_out boolean, score double, predicted int")
+    schema = (", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{keep}` double" if keep else "doc_id long, held_out boolean, score double, predicted int")
 
     def make():
         net = ByteCnn() if shared.value else None
@@ -207,7 +207,6 @@ def scored(docs: DataFrame, model: ByteCnn | None, keep: str | None = None) -> D
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject, unchanged."""
-    name = "score"
-    while name in docs.columns:
-        name = f"_{name}"
-    return scored(docs, fit_quality(docs, labels), keep=name).where(F.col(name) >= THRESHOLD).drop(F.col(name))
+    # by place, as workers take no names with dots
+    plain = docs.toDF(*[c if c in ("doc_id", "text") else f"_{i}" for i, c in enumerate(docs.columns)])
+    return scored(plain, fit_quality(plain, labels), keep="score").where(F.col("score") >= THRESHOLD).drop("score").toDF(*docs.columns)
