@@ -282,7 +282,7 @@ def phrases(docs: DataFrame, least: int = LEAST, numbered: int = NUMBERED, range
     seen = tries(sample, symbols, None).toPandas().to_numpy(np.int64).reshape(-1, DEPTH)
     seen = seen[np.lexsort(seen.T[::-1])]
     cuts = np.unique(seen[np.arange(1, ranges) * len(seen) // ranges], axis=0) if len(seen) else np.empty((0, DEPTH), np.int64)
-    raw = written(merged_nodes(tries(docs, symbols, cuts), least), "trie-nodes")
+    raw = written(merged_nodes(tries(docs, symbols, cuts).repartition(ranges, "part"), least), "trie-nodes")
 
     spine = raw.where("edge").groupBy(*PATH, "depth").agg(F.sum("f").alias("f"))
     lefts = [f"l{k}" for k in range(1, DEPTH)]
