@@ -89,7 +89,7 @@ def extract(path: str, text: str) -> list[tuple]:
     """Rows of SCHEMA. Imports name the local alias and the full target, relative ones with leading dots."""
     try:
         tree = ast.parse(text or "")
-    except (SyntaxError, ValueError) as e:
+    except (SyntaxError, ValueError, RecursionError) as e:
         return [(path, "error", None, None, None, getattr(e, "lineno", None), None, None, str(e)[:120], None)]
     rows: list[tuple] = []
 
@@ -144,11 +144,12 @@ def resolved_calls(facts: DataFrame, known: tuple[str, ...] = tuple(dir(builtins
     """(path, symbol, name, line, target, resolution): what each call means, the nearest scope first.
 
     same-module (a definition of the file), import (the longest imported prefix of the dotted name), builtin, else unknown.
+    A file's imports are one table here; ``linking`` has scopes, classes and other files.
     """
     calls = facts.where("kind = 'call'").select("path", "symbol", "name", "line", F.split("name", r"\.").alias("parts"))
     defs = facts.where("kind IN ('function', 'class') AND name IS NOT NULL").select("path", F.col("name"), F.col("symbol").alias("local"))
     imports = facts.where("kind = 'import'").groupBy("path", F.col("name").alias("head")).agg(F.max("target").alias("imported"))
-    rows = calls.join(defs, ["path", "name"], "left").join(imports, (calls["path"] == imports["path"]) & (calls["parts"][0] == imports["head"]), "left").drop(imports["path"])
+    rows = calls.join(defs, ["path", "name"], "left").withColumn("head", F.col("parts")[0]).join(imports, ["path", "head"], "left")
     tail = F.array_join(F.concat(F.array("imported"), F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0)))), ".")
     builtin = (F.size("parts") == 1) & F.col("name").isin(*known)
     target = F.coalesce("local", F.when(F.col("imported").isNotNull(), tail), F.when(builtin, F.concat(F.lit("builtins."), "name")))

@@ -199,29 +199,6 @@ x AS (SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, a.v AS old, b.v AS
       FROM (SELECT * FROM s WHERE early) a FULL JOIN (SELECT * FROM s WHERE NOT early) b ON a.o_custkey = b.o_custkey)
 SELECT o_custkey, old, new, CASE WHEN added THEN 'added' WHEN removed THEN 'removed' ELSE 'modified' END AS change FROM x WHERE added OR removed OR old IS DISTINCT FROM new"""
 
-PROGRAMS = [
-    ("app/views.py", "import os\nfrom .guard import check as ok\n\nclass View:\n    def get(self, name):\n        \"\"\"Doc.\"\"\"\n        if not ok(name):\n            raise ValueError(name)\n        return os.system('ls ' + name)\n"),
-    ("app/guard.py", "from os import *\n\ndef check(value):\n    assert value, 'empty'\n    clean = str(value)\n    return clean\n"),
-    ("app/broken.py", "def f(:\n"),
-]
-
-
-def code_facts(spark: SparkSession, sf: str) -> DataFrame:
-    return facts.code_facts(spark.createDataFrame(PROGRAMS, "path string, text string"))
-
-
-def resolved_calls(spark: SparkSession, sf: str) -> DataFrame:
-    return facts.resolved_calls(code_facts(spark, sf))
-
-
-def code_units(spark: SparkSession, sf: str) -> DataFrame:
-    """The inline programs' tokens without comments, docstrings and layout."""
-    from ..operators import units
-
-    rows = spark.createDataFrame(PROGRAMS, "path string, text string")
-    return units.mapped(rows, ["text"], lambda t: " ".join(units.code_tokens(t)), "tokens").select("path", "tokens")
-
-
 QUERIES = {f.__name__: f for f in (
     licence_family, scrub_lines, approx_tokens_by_source, trigram_resemblance_top5, near_duplicate_length_bound, near_duplicate_ratio, commit_url_parse, longest_prefix_match,
-    name_resolution_priority, scope_local_cross, advisory_funnel, dedupe_keep_first, argmax_repo, exclusion_anti_join, canonical_hash, snapshot_changes, code_facts, resolved_calls, code_units)}
+    name_resolution_priority, scope_local_cross, advisory_funnel, dedupe_keep_first, argmax_repo, exclusion_anti_join, canonical_hash, snapshot_changes)}
