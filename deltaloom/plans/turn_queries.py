@@ -238,26 +238,50 @@ def last_states(spark: SparkSession, sf: str) -> DataFrame:
 SQL["last_states"] = f"{W} SELECT trace_id, seed, condition, max_by(role, iteration) AS role, max(iteration) AS turns FROM j GROUP BY ALL"
 
 
-def stream_turn_state(spark: SparkSession, sf: str) -> DataFrame:
-    """The streaming operator over the judged turns, written as files and read as a stream until they are used up."""
+def streamed(rows: DataFrame, name: str, through) -> DataFrame:
+    """``rows`` written as files that hold any turns, taken two files at a time, and what ``through`` makes of that stream."""
     import uuid
 
-    from ..operators.graph import settled
-    from ..streaming.turn_state import turn_states
+    from ..operators.graph import shared_folder
 
-    rows = settled(judged(spark, sf).repartition(1))
-    source = rows.inputFiles()[0].rsplit("/", 1)[0]
-    name = f"turn_state_{uuid.uuid4().hex}"
-    folder = spark.conf.get("spark.checkpoint.dir").rstrip("/")
-    stream = turn_states(spark.readStream.schema(rows.schema).parquet(source))
-    query = stream.writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/{name}-progress").outputMode("append").trigger(availableNow=True).start()
+    spark = rows.sparkSession
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    rows.repartition(6).write.parquet(f"{folder}/in")
+    stream = through(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in"))
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/{name}")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def stream_turn_state(spark: SparkSession, sf: str) -> DataFrame:
+    """The streaming operator over the judged turns, in files of no order."""
+    from ..streaming.turn_state import turn_states
+
+    return streamed(judged(spark, sf), "turn-state", turn_states)
 
 
 SQL["stream_turn_state"] = f"{W} SELECT trace_id, seed, condition, iteration, caught, surviving FROM q"
 
+
+def stream_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """Recorded turns against a run that repeats them, of which every 97th asks for something else and every 31st wasn't hashed."""
+    from ..streaming.replay import compared, complete
+
+    rows = turn_rows(spark, sf).select("trace_id", "seed", "iteration", "kind", "known", F.sha2(F.concat_ws("/", F.col("trace_id").cast("string"), F.col("seed").cast("string"), F.col("iteration").cast("string")), 256).alias("digest"))
+    number = F.col("trace_id") * 7 + F.col("iteration")
+    seen = rows.withColumn("digest", F.when(number % 31 == 0, F.lit(None)).when(number % 97 == 0, F.lit("other")).otherwise(F.col("digest")))
+    begin = rows.select("trace_id", "seed").distinct().select("trace_id", "seed", F.lit(0).alias("iteration"), F.lit("init").alias("kind"), F.lit(None).cast("string").alias("known"), F.lit("start").alias("digest"))
+    both = [side.union(begin).withColumn("side", F.lit(name)) for name, side in (("expected", rows), ("seen", seen))]
+    records = both[0].union(both[1])
+    return complete(records, streamed(records, "replay", compared))
+
+
+SQL["stream_replay"] = f"""{W},
+z AS (SELECT trace_id, seed, iteration, label, (trace_id * 7 + iteration) % 31 = 0 AS bare, (trace_id * 7 + iteration) % 97 = 0 AND (trace_id * 7 + iteration) % 31 <> 0 AS other FROM l),
+y AS (SELECT *, coalesce(max(CASE WHEN other THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id, seed ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS broken FROM z)
+SELECT trace_id, seed, iteration, label, CASE WHEN broken THEN 'after' WHEN other THEN 'diverged' WHEN bare THEN 'unchecked' ELSE 'same' END AS status FROM y"""
+
 QUERIES = {f.__name__: f for f in (
     recall_at_introduction, turn_labels_locf, caught_surviving, detection_delay, detection_summary, degradation_curve, false_block_readings, overhead_medians, trace_inventory,
     outcome_tally, per_event_recall, paired_difference, signed_rank_parts, wilcoxon_exact_p, bootstrap_ci, holm_adjust, findings_introduced, findings_resolved, finding_items,
-    flag_groups_topk, within_budget, replay_before_after, prompt_prefix_check, render_prompt, last_states, stream_turn_state)}
+    flag_groups_topk, within_budget, replay_before_after, prompt_prefix_check, render_prompt, last_states, stream_turn_state, stream_replay)}

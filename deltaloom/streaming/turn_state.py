@@ -1,11 +1,13 @@
 """The state of replications over a stream of judged turns: what the batch window computes, turn by turn.
 
-State is kept by (trace_id, seed, condition): whether the present regression is caught, and the last iteration. A turn that
-arrives after a later one is an error, as order is part of the meaning; turns of one trigger are put in order first.
+State is kept by (trace_id, seed, condition): whether the present regression is caught, the last iteration, and turns that came
+early. Turns of a replication are numbered from 1 without gaps and are taken in that order, so files may come in any order; a
+turn that comes twice is an error.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,23 +17,28 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 KEYS = ("trace_id", "seed", "condition")
 OUT = "trace_id long, seed int, condition string, iteration int, caught boolean, surviving boolean"
-STATE = "caught boolean, last int"
+#: ``waiting``: [iteration, role, present, decision] of turns in front of which one is missing.
+STATE = "caught boolean, last int, waiting string"
 
 
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    caught, last = state.get if state.exists else (False, None)
-    rows = pd.concat(frames).sort_values("iteration")
+    caught, last, waiting = state.get if state.exists else (False, 0, "[]")
+    queue = {i: rest for i, *rest in json.loads(waiting)}
+    for frame in frames:
+        for i, role, present, decision in zip(*(frame[c].tolist() for c in ("iteration", "role", "present", "decision"))):
+            if int(i) <= last or int(i) in queue:
+                raise ValueError(f"turn {i} of {key} comes twice, or before the first")
+            queue[int(i)] = (role, bool(present), decision if isinstance(decision, str) else None)
     out = []
-    for r in rows.itertuples():
-        if last is not None and r.iteration <= last:
-            raise ValueError(f"turn {r.iteration} of {key} after turn {last}")
-        last = int(r.iteration)
-        if r.role == "clean":
+    while last + 1 in queue:
+        last += 1
+        role, present, decision = queue.pop(last)
+        if role == "clean":
             caught = False
-        if r.present and r.decision == "BLOCK":
+        if present and decision == "BLOCK":
             caught = True
-        out.append((*key, last, bool(r.present and caught), bool(r.present and not caught)))
-    state.update((bool(caught), last))
+        out.append((*key, last, present and caught, present and not caught))
+    state.update((bool(caught), last, json.dumps([[i, *rest] for i, rest in sorted(queue.items())])))
     yield pd.DataFrame(out, columns=[*KEYS, "iteration", "caught", "surviving"])
 
 
