@@ -77,3 +77,37 @@ def shown_blocks(blocks: DataFrame, keys: Sequence[str], order: str, text: str,
     at_line = F.when(head.contains("\n"), F.regexp_replace(head, r"(?s)\n[^\n]*\z", "")).otherwise(head)
     rows = rows.where((F.col("_cuts") == 0) | ((F.col("_cuts") == 1) & F.col("_over")))
     return rows.withColumn("shown", F.when(F.col("_over"), at_line).otherwise(F.col(text))).withColumn("hidden", F.when(F.col("_over"), F.col("_rest")).cast("long")).drop("_left", "_over", "_cuts", "_rest")
+
+
+def running_totals(rows: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows in front of each, by ``order``, which must be unique. No task sees all rows:
+    ranges of the order are summed first, and only their totals meet."""
+    from .graph import settled
+
+    ranged = settled(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    totals = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))  # a row for each range
+    before = totals.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return ranged.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(before, "_part").withColumn(name, F.col("_before") + F.col("_inside")).drop("_part", "_inside", "_before")
+
+
+def admitted(requests: DataFrame, group: str, key: str, budget: int, cached: DataFrame | None = None) -> DataFrame:
+    """(group, requests, calls, before, admitted): which groups run, in their order, on a budget of calls.
+
+    A request whose key was met by an earlier group, earlier in its own, or is ``cached`` (key) makes no call. A group runs if
+    fewer than ``budget`` calls were made in front of it, and then as a whole, so the last one may go over. Null groups are none.
+    """
+    rows = requests.where(F.col(group).isNotNull())
+    first = rows.groupBy(key).agg(F.min(group).alias(group))
+    if cached is not None:
+        first = first.join(cached.select(key).distinct(), key, "left_anti")
+    calls = first.groupBy(group).agg(F.count("*").alias("calls"))
+    groups = rows.groupBy(group).agg(F.count("*").alias("requests")).join(calls, group, "left").withColumn("calls", F.coalesce("calls", F.lit(0)))
+    return running_totals(groups, [group], "calls", "before").select(group, "requests", "calls", "before", (F.col("before") < budget).alias("admitted"))
+
+
+def stopped(groups: DataFrame) -> DataFrame:
+    """(complete, ran, calls, next): one row that says whether all groups of ``admitted`` ran, and before which one it stopped."""
+    group = groups.columns[0]
+    ran = F.col("admitted")
+    return groups.agg(F.every("admitted").alias("complete"), F.count(F.when(ran, 1)).alias("ran"), F.sum(F.when(ran, F.col("calls"))).alias("calls"), F.min(F.when(~ran, F.col(group))).alias("next"))

@@ -187,6 +187,21 @@ def public_names(spark: SparkSession, sf: str) -> DataFrame:
 
 SQL["public_names"] = """SELECT p_partkey, p_partkey % 3 <> 0 AS public, true AS test, round_even(p_partkey / 8, 1) AS rounded FROM part"""
 
+def budget_stop(spark: SparkSession, sf: str) -> DataFrame:
+    """Users' events as groups of requests, of which equal ones are asked once: which users run on a budget of 400 calls, when
+    the answers to purchases are known already."""
+    rows = read(spark, sf, "events").select("user_id", F.concat_ws("/", "event_type", F.floor("value").cast("string")).alias("request"))
+    cached = rows.where("startswith(request, 'purchase/')").select("request")
+    return st.admitted(rows, "user_id", "request", 400, cached)
+
+
+SQL["budget_stop"] = """WITH r AS (SELECT user_id, event_type || '/' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS request FROM events),
+f AS (SELECT request, min(user_id) AS user_id FROM r WHERE NOT starts_with(request, 'purchase/') GROUP BY request),
+g AS (SELECT user_id, count(*) AS requests, (SELECT count(*) FROM f WHERE f.user_id = r.user_id) AS calls FROM r WHERE user_id IS NOT NULL GROUP BY user_id),
+t AS (SELECT *, CAST(coalesce(sum(calls) OVER (ORDER BY user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM g)
+SELECT user_id, requests, calls, before, before < 400 AS admitted FROM t"""
+
+
 QUERIES = {f.__name__: f for f in (
     overhead_parts, shown_blocks, changed_lines, declared_cwes, licence_statuses, grouped_events, advisories_by_repository, leakage_exclusions, leakage_totals, trace_summaries, label_tally, largest_unknown,
-    occurrence_numbers, public_names)}
+    occurrence_numbers, public_names, budget_stop)}

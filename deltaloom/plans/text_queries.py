@@ -83,13 +83,25 @@ SQL["near_duplicate_length_bound"] = f"""WITH d AS (SELECT doc_id, lang, len({_W
 SELECT item_id, lang, count(*) AS candidates FROM i JOIN d ON i.n >= 30 AND d.n >= 30 AND 200 * least(i.n, d.n) >= 80 * (i.n + d.n) GROUP BY ALL"""
 
 
+def _scanned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = lambda table, key: read(spark, sf, table).select(key, F.lit("text").alias("kind"), sim.tokens(F.coalesce("text", F.lit(""))).alias("words"))
+    return rows("benchmark", "item_id"), rows("documents", "doc_id")
+
+
+def near_duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of a passage and a document that the bag bound leaves at 0.2, each of ten words at least."""
+    return sim.near_pairs(*_scanned(spark, sf), "item_id", "doc_id", "kind", "words", 20, 10).select("item_id", "doc_id", "common", "total")
+
+
+SQL["near_duplicate_pairs"] = f"""WITH a AS (SELECT item_id, {_WORDS} AS w FROM benchmark), b AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+x AS (SELECT item_id, t, count(*) AS c FROM (SELECT item_id, unnest(w) AS t FROM a WHERE len(w) >= 10) GROUP BY ALL), y AS (SELECT doc_id, t, count(*) AS c FROM (SELECT doc_id, unnest(w) AS t FROM b WHERE len(w) >= 10) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, CAST(sum(least(x.c, y.c)) AS BIGINT) AS common FROM x JOIN y USING (t) GROUP BY ALL)
+SELECT item_id, doc_id, common, CAST(len(a.w) + len(b.w) AS BIGINT) AS total FROM s JOIN a USING (item_id) JOIN b USING (doc_id) WHERE 200 * common >= 20 * (len(a.w) + len(b.w))"""
+
+
 def near_duplicate_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    """The order-aware ratio of each document and the passage nearest to it, where the bag bound allows 0.2 or more."""
-    docs = read(spark, sf, "documents").select("doc_id", sim.tokens(F.col("text")).alias("a"))
-    items = read(spark, sf, "benchmark").select("item_id", sim.tokens(F.col("text")).alias("b"))
-    near = trigram_resemblance_top5(spark, sf).where("rank = 1").select("doc_id", "item_id")
-    pairs = near.join(docs, "doc_id").join(items, "item_id").where(sim.bag_bound(F.col("b"), F.col("a")) >= 0.2)
-    return sim.ratios(pairs, "b", "a").select("doc_id", "item_id", "ratio")
+    """The order-aware ratio of all those pairs that reach 0.2."""
+    return sim.near_duplicates(*_scanned(spark, sf), "item_id", "doc_id", "kind", "words", 20, 10).select("doc_id", "item_id", "ratio")
 
 
 def commit_url_parse(spark: SparkSession, sf: str) -> DataFrame:
@@ -200,5 +212,5 @@ x AS (SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, a.v AS old, b.v AS
 SELECT o_custkey, old, new, CASE WHEN added THEN 'added' WHEN removed THEN 'removed' ELSE 'modified' END AS change FROM x WHERE added OR removed OR old IS DISTINCT FROM new"""
 
 QUERIES = {f.__name__: f for f in (
-    licence_family, scrub_lines, approx_tokens_by_source, trigram_resemblance_top5, near_duplicate_length_bound, near_duplicate_ratio, commit_url_parse, longest_prefix_match,
+    licence_family, scrub_lines, approx_tokens_by_source, trigram_resemblance_top5, near_duplicate_length_bound, near_duplicate_pairs, near_duplicate_ratio, commit_url_parse, longest_prefix_match,
     name_resolution_priority, scope_local_cross, advisory_funnel, dedupe_keep_first, argmax_repo, exclusion_anti_join, canonical_hash, snapshot_changes)}
