@@ -304,7 +304,8 @@ def one_text_each(texts: DataFrame, sets: DataFrame, placed: DataFrame) -> DataF
 
     def met(rows: DataFrame) -> DataFrame:
         rows = rows.join(placed.withColumnsRenamed({"rep": "doc_id", "rep_th": "th"}).hint("merge"), name)
-        return rows.groupBy(*name, "node", "grp").agg(F.any_value("blocks").alias("blocks"), F.any_value("text").alias("text")).select("grp", "blocks", "node", "text")
+        # a document has one node, so the order that rows meet in is that of the groups and nothing is sorted again
+        return rows.groupBy(*name).agg(*[F.any_value(c).alias(c) for c in ("grp", "blocks", "node", "text")]).drop(*name)
 
     if hot.isEmpty():
         return met(texts)
