@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import measures, reports
+from ..operators import fixes, measures, reports
 from ..operators import states as st
 from .adapters import TURNS, judged, read, turns
 
@@ -202,6 +202,47 @@ t AS (SELECT *, CAST(coalesce(sum(calls) OVER (ORDER BY user_id ROWS BETWEEN UNB
 SELECT user_id, requests, calls, before, before < 400 AS admitted FROM t"""
 
 
+def fix_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as advisories that link their suppliers as commits; a supplier's parts are the files that its commit changes."""
+    orders, lines = read(spark, sf, "orders"), read(spark, sf, "lineitem")
+    k = F.col("s_suppkey")
+    name = lambda c: F.concat(F.lit("c"), c.cast("string"))
+    parents = F.when(k % 7 == 0, F.array().cast("array<string>")).when(k % 5 == 0, F.array(name(k - 1), name(k - 2))).otherwise(F.array(name(k - 1)))
+    at = F.concat(F.lit("2024-01-"), F.lpad((k % 28 + 1).cast("string"), 2, "0"), F.when(k % 2 == 0, "T01:00:00+03:00").otherwise("T00:30:00Z"))
+    commits = read(spark, sf, "supplier").where(k % 11 != 0).select(name(k).alias("sha"), parents.alias("parents"), at.alias("committed_at"), (k % 3 != 0).alias("on_default"))
+    licences = read(spark, sf, "supplier").select(name(k).alias("sha"), F.when(k % 4 == 1, "MIT").when(k % 4 == 2, "ISC").when(k % 4 == 3, "GPL").alias("detected"))
+    asked = orders.select(F.col("o_orderkey").alias("advisory"), F.when(F.col("o_orderkey") % 3 == 0, "MIT").when(F.col("o_orderkey") % 3 == 1, "LGPL").alias("licence"))
+    links = lines.where("l_orderkey % 10 <> 4").select(F.col("l_orderkey").alias("advisory"), F.col("l_linenumber").alias("place"), name(F.col("l_suppkey")).alias("sha"))
+    suffix = F.when(F.col("l_partkey") % 6 < 2, ".py").when(F.col("l_partkey") % 6 < 5, ".js").otherwise(".md")
+    path = F.concat(F.lit("src/p"), F.col("l_partkey").cast("string"), suffix)
+    files = lines.where("l_suppkey % 13 <> 6 OR l_partkey % 6 > 1").select(name(F.col("l_suppkey")).alias("sha"), name(F.col("l_suppkey") - 1).alias("base"), path.alias("path"), F.col("l_quantity").cast("long").alias("added"), F.when(F.col("l_linenumber") > 2, F.col("l_linenumber").cast("long")).alias("deleted"))
+    given = orders.where("o_orderkey % 16 = 1").select(F.col("o_orderkey").alias("advisory"), F.lit("c0").alias("vulnerable"), (F.col("o_orderkey") % 32 == 1).alias("is_ancestor"))
+    out = fixes.resolved_fixes(asked, links, commits, files, licences, given)
+    return out.select("advisory", "fix", "vulnerable", F.coalesce("python_files", F.lit(-1)).alias("python_files"), "licence", F.array_join("flags", "|").alias("flags"))
+
+
+SQL["fix_resolution"] = """
+WITH c AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 7 = 0 THEN 0 WHEN s_suppkey % 5 = 0 THEN 2 ELSE 1 END AS parents,
+                  make_timestamp(2024, 1, CAST(s_suppkey % 28 + 1 AS BIGINT), 0, 0, 0) + CASE WHEN s_suppkey % 2 = 0 THEN INTERVAL (-120) MINUTE ELSE INTERVAL 30 MINUTE END AS ts FROM supplier WHERE s_suppkey % 11 <> 0),
+l AS (SELECT l_orderkey AS advisory, c.k, parents, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN c.k % 3 <> 0 THEN 0 ELSE 1 END, ts, l_linenumber, 'c' || c.k) AS rn, count(*) OVER (PARTITION BY l_orderkey) AS known
+      FROM lineitem JOIN c ON c.k = l_suppkey WHERE l_orderkey % 10 <> 4),
+a AS (SELECT o_orderkey AS advisory, CASE o_orderkey % 3 WHEN 0 THEN 'MIT' WHEN 1 THEN 'LGPL' END AS today, o_orderkey % 10 <> 4 AND o_orderkey IN (SELECT l_orderkey FROM lineitem) AS linked, l.k, l.parents, l.known,
+             o_orderkey % 16 = 1 AS given, o_orderkey % 32 = 1 AS anc FROM orders LEFT JOIN l ON l.advisory = o_orderkey AND rn = 1),
+g AS (SELECT *, k IS NOT NULL AND (CASE WHEN given THEN anc ELSE parents > 0 END) AS goes, CASE WHEN given THEN 0 ELSE k - 1 END AS v FROM a),
+f AS (SELECT l_suppkey AS k, count(*) FILTER (l_partkey % 6 < 2) AS pf, coalesce(sum(CAST(l_quantity AS BIGINT) + CASE WHEN l_linenumber > 2 THEN l_linenumber ELSE 0 END) FILTER (l_partkey % 6 < 2), 0) AS pl,
+             coalesce(sum(CAST(l_quantity AS BIGINT) + CASE WHEN l_linenumber > 2 THEN l_linenumber ELSE 0 END) FILTER (l_partkey % 6 BETWEEN 2 AND 4), 0) AS ol FROM lineitem WHERE l_suppkey % 13 <> 6 OR l_partkey % 6 > 1 GROUP BY l_suppkey),
+m AS (SELECT g.*, CASE WHEN v = g.k - 1 THEN coalesce(pf, 0) ELSE 0 END AS pf, CASE WHEN v = g.k - 1 THEN pl ELSE 0 END AS pl, CASE WHEN v = g.k - 1 THEN ol ELSE 0 END AS ol,
+             CASE WHEN v IN (SELECT s_suppkey FROM supplier) THEN CASE v % 4 WHEN 1 THEN 'MIT' WHEN 2 THEN 'ISC' WHEN 3 THEN 'GPL' END END AS lic FROM g LEFT JOIN f ON f.k = g.k)
+SELECT advisory, CASE WHEN goes THEN 'c' || k END AS fix, CASE WHEN goes THEN 'c' || v END AS vulnerable, CASE WHEN goes THEN CAST(pf AS BIGINT) ELSE -1 END AS python_files, CASE WHEN goes THEN lic END AS licence,
+       array_to_string(list_filter([CASE WHEN NOT linked THEN 'no fix commit linked by the advisory' END, CASE WHEN linked AND k IS NULL THEN 'no fix commit could be resolved' END, CASE WHEN k % 3 = 0 THEN 'no fix commit is on the default branch' END,
+         CASE WHEN known > 1 THEN known || ' candidate fix commits (backports or multi-part fix)' END, CASE WHEN k IS NOT NULL AND given AND NOT anc THEN 'given vulnerable commit c0 is not an ancestor of the fix' END,
+         CASE WHEN NOT given AND parents = 0 THEN 'fix commit has no parent (root commit)' END, CASE WHEN goes AND NOT given AND parents > 1 THEN 'fix commit is a merge; diff taken against its first parent' END,
+         CASE WHEN goes AND pf = 0 THEN 'fix changes no Python source file' END,
+         CASE WHEN goes AND pf > 0 AND ol > pl THEN 'fix changes more non-Python code (' || ol || ' lines) than Python source (' || pl || ' lines); check the vulnerable code is Python' END,
+         CASE WHEN goes AND lic IS NULL THEN 'licence at vulnerable commit not recognised; check by hand' END, CASE WHEN goes AND today = 'MIT' AND lic <> today THEN 'licence at vulnerable commit looks like ' || lic || ', not MIT as today' END],
+         lambda x: x IS NOT NULL), '|') AS flags FROM m"""
+
+
 QUERIES = {f.__name__: f for f in (
     overhead_parts, shown_blocks, changed_lines, declared_cwes, licence_statuses, grouped_events, advisories_by_repository, leakage_exclusions, leakage_totals, trace_summaries, label_tally, largest_unknown,
-    occurrence_numbers, public_names, budget_stop)}
+    occurrence_numbers, public_names, budget_stop, fix_resolution)}
