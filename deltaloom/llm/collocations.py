@@ -38,7 +38,7 @@ from .common import SMALL_STEP, map_text, meet, released, steps, written
 from .words import U, Numbers, gaps, mixed, text_bytes, words_of
 
 DEPTH, LEAST, TOP = 4, 30, 2_000
-NUMBERED, SHARD_WORDS, RANGE_WORDS, SAMPLED, SHARES = 1 << 20, 1_500_000, 1_500_000, 200_000, 10_000
+NUMBERED, SHARD_WORDS, RANGE_WORDS, SAMPLED, SHARES = 1 << 20, 1_000_000, 1_000_000, 200_000, 10_000
 _BREAKS = gaps(".,;:!?\n\x0b\x0c\r")
 _GAPS = _BREAKS | gaps(" \t")
 PATH = ["s1", "s2", "s3", "s4"]
@@ -107,7 +107,8 @@ def sorted_paths(columns: list[np.ndarray], counts: np.ndarray | None = None) ->
     packed = [np.zeros(len(columns[0]), np.int64) for _ in range(step)]
     for k, c in enumerate(columns):
         at = k * step // DEPTH
-        packed[at] = packed[at] << bits | c
+        packed[at] <<= bits
+        packed[at] |= c
     if counts is None and step == 1:
         packed = [np.sort(packed[0])]
     else:
@@ -156,7 +157,7 @@ def read_back(blob: bytes) -> tuple[list[np.ndarray], np.ndarray]:
     raw = np.frombuffer(pa.decompress(blob[10:], size, _CODEC, asbytes=True), np.uint8)
     out = []
     for k in range(DEPTH):
-        out.append(np.ascontiguousarray(raw[k * n * wide : (k + 1) * n * wide].reshape(wide, n).T).view(f"<i{wide}").ravel().astype(np.int64))
+        out.append(np.ascontiguousarray(raw[k * n * wide : (k + 1) * n * wide].reshape(wide, n).T).view(f"<i{wide}").ravel())
     kind = {1: "<u1", 4: "<u4", 8: "<i8"}[often]
     return out, np.ascontiguousarray(raw[DEPTH * n * wide :].reshape(often, n).T).view(kind).ravel().astype(np.int64)
 
@@ -166,7 +167,7 @@ def paths(symbols: np.ndarray, piece: np.ndarray) -> list[np.ndarray]:
     n = len(symbols)
     out, inside = [symbols], symbols > 0
     for k in range(1, DEPTH):
-        c, joined = np.zeros(n, np.int64), np.zeros(n, bool)
+        c, joined = np.zeros(n, symbols.dtype), np.zeros(n, bool)
         c[: max(0, n - k)], joined[: max(0, n - k)] = symbols[k:], piece[k:] == piece[: max(0, n - k)]
         inside = inside & joined & (c > 0)
         out.append(np.where(inside, c, 0))
@@ -193,18 +194,21 @@ def tries(docs: DataFrame, symbols: Symbols, cuts: np.ndarray | None) -> DataFra
                 h, piece, _, _ = hashed_words(step)
                 if not len(h):
                     continue
-                now = symbols(h), piece + pieces
+                found = symbols(h)
+                now = found if found.max() >> 31 else found.astype(np.int32), (piece + pieces).astype(np.int32)  # pieces of one shard
                 pieces = int(now[1][-1]) + 1
                 if cuts is None:
                     found = paths(*now)
-                    yield pa.RecordBatch.from_pydict({c: pa.array(x) for c, x in zip(PATH, found)})
+                    yield pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) for c, x in zip(PATH, found)})
+                    pieces = 0
                     continue
                 held.append(now)
                 size += len(h)
                 if size >= SHARD_WORDS:
                     if any(s.any() for s, _ in held):
                         yield trie()
-                    held, size = [], 0
+                    held, size, pieces = [], 0, 0
+                    released()
         if any(s.any() for s, _ in held):
             yield trie()
         held = []
@@ -219,8 +223,9 @@ def merged_nodes(parts: DataFrame, least: int) -> DataFrame:
 
     def run(key, group):
         runs = [read_back(b) for b in group["trie"].to_pylist()]
-        columns, counts = sorted_paths([np.concatenate([r[0][k] for r in runs]) for k in range(DEPTH)], np.concatenate([r[1] for r in runs]))
+        columns, counts = [np.concatenate([r[0][k] for r in runs]) for k in range(DEPTH)], np.concatenate([r[1] for r in runs])
         del runs
+        columns, counts = sorted_paths(columns, counts)
         n, new, above, out = len(counts), np.zeros(len(counts), bool), [], []
         new[0] = True
         for depth in range(1, DEPTH + 1):
@@ -232,7 +237,7 @@ def merged_nodes(parts: DataFrame, least: int) -> DataFrame:
             edge[[0, -1]] = True
             kept = np.flatnonzero((c[first] > 0) & ((total >= least) | edge))
             row = first[kept]
-            rows = {s: x[row] if k < depth else np.zeros(len(row), np.int64) for k, (s, x) in enumerate(zip(PATH, columns))}
+            rows = {s: x[row].astype(np.int64) if k < depth else np.zeros(len(row), np.int64) for k, (s, x) in enumerate(zip(PATH, columns))}
             rows |= {"depth": np.full(len(row), depth, np.int32), "f": total[kept]}
             table = {name: pa.array(x) for name, x in rows.items()}
             for k in range(1, DEPTH):
