@@ -42,6 +42,19 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("schema_version", version)
 
 
+def load_trace(spark: SparkSession, path: str) -> DataFrame:
+    """A whole trace; one without records is an error, as it is a run that failed before it wrote anything."""
+    rows = read_traces(spark, path)
+    if rows.isEmpty():
+        raise ValueError(f"no records in {path}")
+    return rows
+
+
+def file_hash(spark: SparkSession, path: str) -> str:
+    """The sha256 of one file's bytes."""
+    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
+
+
 def write_traces(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
@@ -55,9 +68,13 @@ def write_tidy(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("emptyValue", "").option("nullValue", "").option("lineSep", "\n").csv(path)
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """(event_id, seed, turn, kind, label, basis, introduced, injected): one row for each labelled turn."""
-    rows = spark.read.schema(LABELS).option("multiLine", True).json(path).select("event_id", "scope", F.explode("replications").alias("r"))
+def read_labels(spark: SparkSession, path: str, trace: str | None = None) -> DataFrame:
+    """(event_id, seed, turn, kind, label, basis, introduced, injected): one row for each labelled turn. Labels of one ``trace`` file
+    that were written for another version of it are refused."""
+    rows = spark.read.schema(LABELS).option("multiLine", True).json(path)
+    if trace is not None and (found := rows.select("trace_sha256").first()) and found[0] != file_hash(spark, trace):
+        raise ValueError(f"{path} was written for another version of {trace}")
+    rows = rows.select("event_id", "scope", F.explode("replications").alias("r"))
     return rows.select("event_id", "scope", F.col("r.seed").alias("seed"), F.explode("r.turns").alias("t")).select("event_id", "scope", "seed", "t.*")
 
 

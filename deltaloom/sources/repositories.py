@@ -41,6 +41,13 @@ def read_git_tree(spark: SparkSession, repo: str, commit: str, suffix: str = ".p
     return spark.createDataFrame(rows, "path string, blob string").mapInArrow(run, "path string, blob string, text string")
 
 
+def file_at_commit(repo: str, commit: str, path: str) -> str | None:
+    """One file's text at a commit, null if the commit doesn't have it; an unknown commit is an error."""
+    subprocess.run(["git", "-C", repo, "rev-parse", "--verify", "--quiet", f"{commit}^{{commit}}"], capture_output=True, check=True)
+    out = subprocess.run(["git", "-C", repo, "cat-file", "blob", f"{commit}:{path}"], capture_output=True)
+    return None if out.returncode else out.stdout.decode("utf-8", "replace")
+
+
 def read_exclusions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Whole files (path) and single symbols (path, symbol) that are left out."""
     rows = spark.read.schema("exclusions array<struct<path:string,symbol:string,reason:string>>").option("multiLine", True).json(path).select(F.explode("exclusions").alias("e")).select("e.path", "e.symbol")
@@ -48,12 +55,23 @@ def read_exclusions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 
 def ruleset_hash(spark: SparkSession, folder: str, pattern: str = "*.y*ml") -> DataFrame:
-    """(digest, files): one hash of a pinned rule set, of the sorted (path, hash) lines of its files."""
+    """(digest, files): one hash of a rule set: of every file, in the order of paths, its path, a zero, the hash of its text with
+    plain line ends, and a line end. A rule set is small: its lines are put together in one row."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
     prefix = folder.rstrip("/").removeprefix("file://") + "/"
-    rows = files.select(F.substring_index("path", prefix, -1).alias("path"), F.sha2("content", 256).alias("sha"))
-    lines = F.array_sort(F.collect_list(F.concat_ws(" ", "path", "sha")))
-    return rows.agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"), F.count("*").alias("files"))
+    plain = F.encode(F.replace(F.decode("content", "ISO-8859-1"), F.lit("\r\n"), F.lit("\n")), "ISO-8859-1")  # byte by byte
+    rows = files.select(F.substring_index("path", prefix, -1).alias("path"), F.sha2(plain, 256).alias("sha"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("path", "sha"))), lambda x: F.concat(x["path"], F.lit("\0"), x["sha"], F.lit("\n")))
+    return rows.agg(F.sha2(F.array_join(lines, ""), 256).alias("digest"), F.count("*").alias("files"))
+
+
+def pinned_rules(spark: SparkSession, folder: str, manifest: str) -> str:
+    """The digest of the rule set in ``folder``, which must be the one that the manifest pins; any other is refused."""
+    pin = spark.read.schema("ruleset_sha256 string, rule_files long").option("multiLine", True).json(manifest).first()
+    found = ruleset_hash(spark, folder).first()
+    if pin is None or found["digest"] != pin["ruleset_sha256"]:
+        raise ValueError(f"the rules in {folder} are not the set pinned in {manifest}: {found['files']} files found, {pin and pin['rule_files']} expected")
+    return found["digest"]
 
 
 def read_specs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ import subprocess
 
 import pytest
 
+from deltaloom.sources import records
 from deltaloom.sources import repositories as repos
 
 
@@ -19,6 +20,9 @@ def test_git_tree(spark, tmp_path):
     run("commit", "-qm", "one")
     got = sorted((r["path"], r["text"]) for r in repos.read_git_tree(spark, str(tmp_path), "HEAD").collect())
     assert got == [("a.py", "x = 'é'\n"), ("c.py", "")]
+    assert repos.file_at_commit(str(tmp_path), "HEAD", "a.py") == "x = 'é'\n" and repos.file_at_commit(str(tmp_path), "HEAD", "none.py") is None
+    with pytest.raises(subprocess.CalledProcessError):
+        repos.file_at_commit(str(tmp_path), "f" * 40, "a.py")
 
 
 def test_files(spark, tmp_path):
@@ -29,7 +33,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "rules" / "x" / "b.yaml").write_text("b")
     (tmp_path / "rules" / "a.yml").write_text("a")
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    assert tuple(repos.ruleset_hash(spark, str(tmp_path / "rules")).first()) == (sha(f"a.yml {sha('a')}\nx/b.yaml {sha('b')}"), 2)
+    assert tuple(repos.ruleset_hash(spark, str(tmp_path / "rules")).first()) == (sha(f"a.yml\0{sha('a')}\nx/b.yaml\0{sha('b')}\n"), 2)
     (tmp_path / "j.txt").write_text('{"a": 1}\n\n{\'b\': None}\nbroken(\n')
     assert sorted(str(r["payload"]) for r in repos.read_journal(spark, str(tmp_path / "j.txt")).collect()) == ["None", '{"a": 1}', '{"b": null}']
 
@@ -46,3 +50,30 @@ def test_specs(spark, tmp_path):
     (tmp_path / "specs" / "good.json").write_text(json.dumps(good | {"regression_files": []}))
     with pytest.raises(Exception, match="outside the regression"):
         repos.flow_scope(repos.read_specs(spark, str(tmp_path / "specs"))[0]).collect()
+
+
+def test_refusals(spark, tmp_path):
+    rules = tmp_path / "rules"
+    rules.mkdir()
+    (rules / "r.yml").write_bytes(b"a\r\nb\xff\n")
+    digest = hashlib.sha256(b"r.yml\0" + hashlib.sha256(b"a\nb\xff\n").hexdigest().encode() + b"\n").hexdigest()
+    pin = tmp_path / "pin.json"
+    pin.write_text(json.dumps({"ruleset_sha256": digest, "rule_files": 1}))
+    assert repos.pinned_rules(spark, str(rules), str(pin)) == digest
+    (rules / "s.yaml").write_text("more")
+    with pytest.raises(ValueError, match="2 files found, 1 expected"):
+        repos.pinned_rules(spark, str(rules), str(pin))
+
+    trace, labels = tmp_path / "t.jsonl", tmp_path / "l.json"
+    trace.write_text("\n")
+    with pytest.raises(ValueError, match="no records"):
+        records.load_trace(spark, str(trace))
+    trace.write_text(json.dumps({"schema_version": 5, "trace_id": "t", "seed": 0, "turn": 1, "kind": "turn"}) + "\n\n")
+    assert records.load_trace(spark, str(trace)).count() == 1
+    body = {"event_id": "e", "scope": "local", "replications": [{"seed": 0, "turns": [{"turn": 1, "label": "clean"}]}]}
+    labels.write_text(json.dumps(body | {"trace_sha256": hashlib.sha256(trace.read_bytes()).hexdigest()}))
+    assert records.read_labels(spark, str(labels), str(trace)).count() == 1
+    trace.write_text(trace.read_text() + "\n")
+    with pytest.raises(ValueError, match="another version"):
+        records.read_labels(spark, str(labels), str(trace))
+    assert records.read_labels(spark, str(labels)).count() == 1
