@@ -126,3 +126,36 @@ def test_states(spark):
     assert states.first_of(spark.createDataFrame([(None, 1), (None, 2), ("c", 4), ("c", 3)], "cve string, n int"), "cve", "n").agg(F.sum("n")).first()[0] == 6
     hit, miss = states.hits_and_misses(a, b.select("path", F.lit(1).alias("v")), ["path"])
     assert hit.count() == 2 and [r["path"] for r in miss.collect()] == ["z"]
+
+
+def test_shortest_free_paths_of_more_sinks_than_a_block_has(spark):
+    """Against a search from each source; 150 sinks are three blocks of 64, and a chain is longer than the others' ways."""
+    rng = random.Random(3)
+    names = [f"n{i:03d}" for i in range(200)]
+    links = {(rng.choice(names), rng.choice(names)) for _ in range(500)} | {(f"z{i:02d}", f"z{i + 1:02d}") for i in range(19)}
+    names += [f"z{i:02d}" for i in range(20)]
+    role = {x: (i % 9 == 0 or x == "z00", i % 4 != 0 or x == "z19", i % 25 == 3) for i, x in enumerate(names)}
+    nodes = spark.createDataFrame([("g", x, None, *role[x], "") for x in names], "graph_id string, id string, owner string, source boolean, sink boolean, sanitizer boolean, digest string")
+    edges = spark.createDataFrame([("g", a, b, "taint", []) for a, b in links], "graph_id string, src string, dst string, kind string, via array<string>")
+    after = {}
+    for a, b in links:
+        if not role[a][2] and not role[b][2]:
+            after.setdefault(a, []).append(b)
+    want = set()
+    for x in names:
+        if role[x][0] and not role[x][2]:
+            best, layer = {x: (x,)}, [x]
+            while layer:
+                found = {}
+                for a in layer:
+                    for b in after.get(a, []):
+                        if b not in best:
+                            found[b] = min(found.get(b, best[a] + (b,)), best[a] + (b,))
+                best |= found
+                layer = list(found)
+            want |= {(x, y, p) for y, p in best.items() if y != x and role[y][1]}
+    got = graph.shortest_free_paths(nodes, edges).collect()
+    assert {(r["source"], r["sink"], tuple(r["path"])) for r in got} == want and len(got) == len(want)
+    assert all(r["hops"] == len(r["path"]) - 1 for r in got)
+    blocks = graph.in_blocks(nodes.where("sink")).groupBy("block").count().collect()  # a row for each sink was the fault
+    assert max(r["count"] for r in blocks) == 64 and all(r["count"] <= 64 for r in blocks)
