@@ -159,3 +159,15 @@ def test_shortest_free_paths_of_more_sinks_than_a_block_has(spark):
     assert all(r["hops"] == len(r["path"]) - 1 for r in got)
     blocks = graph.in_blocks(nodes.where("sink")).groupBy("block").count().collect()  # a row for each sink was the fault
     assert max(r["count"] for r in blocks) == 64 and all(r["count"] <= 64 for r in blocks)
+
+
+def test_places_are_numbered_range_by_range(spark):
+    """Items of more places than a range holds: numbers without gaps in order, and no window over all arrays in one task."""
+    rows = spark.range(3_000).select((F.col("id") * 7919 % 1_000).alias("p"), (F.col("id") % 3).alias("q"), F.col("id").alias("x")).repartition(7)
+    out = findings.items(rows, ["p", "q"], ["x"])
+    got = sorted((r["p"], r["q"], r["number"], [f["x"] for f in r["findings"]]) for r in out.collect())
+    assert [g[2] for g in got] == list(range(1, len(got) + 1)) and all(g[3] == sorted(g[3]) for g in got)
+    assert sum(len(g[3]) for g in got) == 3_000
+    plan = findings.items(rows, ["p", "q"], ["x"])._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window" in line]
+    assert windows and not any("findings" in line for line in windows)
