@@ -6,6 +6,7 @@ import random
 from collections.abc import Iterator
 from math import ceil, floor
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,6 +70,37 @@ def holm(tests: DataFrame, p: str = "p", family: str | None = None) -> DataFrame
     return rows.withColumn("adjusted", F.max("_raw").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_raw")
 
 
+def drawn_places(n: int, seed: int, many: int = 1_000_000) -> Iterator[np.ndarray]:
+    """What ``random.Random(seed).randrange(n)`` gives, call after call, in arrays: the same generator's 32-bit words, of which the
+    first bits are a place unless they are too large."""
+    bits = n.bit_length()
+    if bits > 32:
+        raise ValueError("more values than a word of the generator can number")
+    _, state, _ = random.Random(seed).getstate()
+    words = np.random.MT19937()
+    words.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
+    while True:
+        drawn = words.random_raw(many) >> np.uint64(32 - bits)
+        yield drawn[drawn < n].astype(np.int64)
+
+
+def resampled_means(data: list[float], resamples: int, seed: int) -> list[float]:
+    """The mean of each resample. Draws and places are arrays; a resample is summed as Python sums floats."""
+    n, values, left, out = len(data), np.array(data), np.empty(0, np.int64), []
+    stream = drawn_places(n, seed)
+    while len(out) < resamples:
+        parts, have = [left], len(left)
+        while have < n:
+            parts.append(next(stream))
+            have += len(parts[-1])
+        places = np.concatenate(parts)
+        whole = min(have // n, resamples - len(out))
+        for i in range(whole):
+            out.append(sum(values[places[i * n : (i + 1) * n]].tolist()) / n)
+        left = places[whole * n :]
+    return out
+
+
 def bootstrap(values: DataFrame, group: str, value: str, order: str, resamples: int = 10_000, seed: int = 0, level: float = 0.95) -> DataFrame:
     """(group, mean, low, high): a seeded percentile bootstrap of the mean, with Python's own generator.
 
@@ -79,8 +111,7 @@ def bootstrap(values: DataFrame, group: str, value: str, order: str, resamples:
         data = frame.sort_values(order)[value].astype(float).tolist()
         if not data or any(x != x for x in data):
             raise ValueError("no values to resample")
-        rng, n = random.Random(seed), len(data)
-        means = sorted(sum(data[rng.randrange(n)] for _ in range(n)) / n for _ in range(resamples))
+        n, means = len(data), sorted(resampled_means(data, resamples, seed))
         low, high = means[floor((1 - level) / 2 * resamples)], means[ceil((1 + level) / 2 * resamples) - 1]
         return pd.DataFrame({group: [frame[group].iloc[0]], "mean": [sum(data) / n], "low": [low], "high": [high]})
 

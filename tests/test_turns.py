@@ -145,3 +145,19 @@ def test_stream_is_batch(spark, tmp_path):
     columns = ["trace_id", "iteration", "caught", "surviving"]
     key = lambda df: sorted(tuple(r) for r in df.select(*columns).collect())
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(batch)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 64, 1000, 70_000])
+def test_resampling_draws_what_python_draws(n):
+    import random
+    from itertools import islice
+
+    from deltaloom.operators import stats
+
+    rng = random.Random(5)
+    wanted = [rng.randrange(n) for _ in range(3_000)]
+    got = [int(x) for part in islice(stats.drawn_places(n, 5, 1_000), 20) for x in part][:3_000]
+    assert got == wanted
+    if n < 1_000:
+        data, rng = [1 / (i + 3) for i in range(n)], random.Random(9)
+        assert stats.resampled_means(data, 50, 9) == [sum(data[rng.randrange(n)] for _ in range(n)) / n for _ in range(50)]
