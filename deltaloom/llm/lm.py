@@ -8,9 +8,10 @@ two before it: r = C1 * R[w-1] + C2 * R[w-2]. Symbols stand in groups by frequen
 P(symbol) = P(group) * P(symbol in its group), where both are normalised over logits q * r + b by batched matrix products;
 within a symbol that several words share, a word has its smoothed share. So the whole is normalised over words.
 
-It is trained on the runs of three symbols of ``drawn(N)`` training tokens, also in proportion to the cube root: those of
-training documents chosen by a hash of their id, all of them while the corpus is small. Each run's group is told from groups
-drawn from their unigram, its symbol from symbols drawn from the unigram of the group. Counts always cover all documents.
+It is trained on the runs of three symbols of all training tokens. In a pass, a task begins with the parameters that all share
+and takes every run of its documents once; the tasks' parameters are averaged by their numbers of runs, in blocks by a
+shuffle. Corpora with fewer tokens than ``drawn(N)`` get several passes. Each run's group is told from groups drawn from their
+unigram, its symbol from symbols drawn from the unigram of the group, for a batch at once. Counts and runs cover all documents.
 
 Counts of the most frequent words are sent to the workers (``FREQUENT`` entries at most); all rarer words of a document are
 joined with the counts by a shuffle. Words are told apart by 64-bit hashes of their bytes. Counting, joining and summing are
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_STEP, map_text, written
+from .common import SMALL_STEP, map_text, released, steps, written
 from .words import U, word_hashes
 
 FREQUENT, DIM = 150_000, 24
@@ -47,10 +48,15 @@ def embedded(tokens: int) -> int:
 
 
 def drawn(tokens: int) -> int:
-    """Of how many tokens the runs are learned from."""
+    """Of how many tokens the runs are learned from at least, all passes together."""
     return round(5_000 * tokens ** (1 / 3))
 
 
+def passes(tokens: int) -> int:
+    """How often all training documents are passed over."""
+    return min(4, max(1, round(1.5 * drawn(tokens) / max(1, tokens))))
+
+
 def remainder(doc_id, mod: int = MOD) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % mod
 
@@ -132,33 +138,6 @@ class Vocabulary:
         return last, before
 
 
-def drawn_runs(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Runs (before last, last, next) of symbols in the chosen training documents, as one number each, and their counts."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # FREQUENT entries at most
-    share = min(1.0, drawn(vocabulary.tokens) / max(1, vocabulary.tokens))
-    chosen = docs if share >= 1 else docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1_000_000)) < share * 1_000_000)
-
-    def make():
-        vocabulary = shared.value
-        many = len(vocabulary.mass)
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            texts = batch.column("text").filter(pa.array(training(batch)))
-            entry, sizes, _ = vocabulary.tokens_of(texts)
-            if not len(entry):
-                return None
-            symbols = vocabulary.symbol[entry]
-            last, before = vocabulary.contexts(symbols, sizes)
-            runs, n = np.unique((before * many + last) * many + symbols, return_counts=True)
-            return pa.RecordBatch.from_pydict({"run": pa.array(runs), "n": pa.array(n)})
-
-        return step
-
-    found = map_text(chosen.select("doc_id", "text"), make, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).toArrow()  # drawn(N) rows, about
-    order = np.argsort(found["run"].to_numpy())
-    return found["run"].to_numpy()[order], found["n"].to_numpy()[order]
-
-
 class LogBilinear:
     """Parameters, noise-contrastive training and normalised scores. ``mass``: the unigram of the symbols, most frequent first."""
 
@@ -215,6 +194,16 @@ class LogBilinear:
                 y -= step * (m[x] / (1 - 0.9**t)) / (np.sqrt(v[x] / (1 - 0.999**t)) + 1e-8)
         return self
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([y.ravel() for y in self.p.values()])
+
+    def set_flat(self, values: np.ndarray) -> "LogBilinear":
+        at = 0
+        for x, y in self.p.items():
+            self.p[x] = values[at : at + y.size].reshape(y.shape).astype(np.float64)
+            at += y.size
+        return self
+
     def ready(self) -> "LogBilinear":
         """Tables in single precision for ``log10``; a group's symbols side by side, without those the last group lacks."""
         p, f = self.p, np.float32
@@ -248,6 +237,128 @@ class LogBilinear:
         return out / math.log(10)
 
 
+def summed(rows: np.ndarray, keys: np.ndarray, many: int) -> np.ndarray:
+    """Rows added up by key; ``keys`` in order."""
+    out = np.zeros((many, *rows.shape[1:]), rows.dtype)
+    if len(keys):
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        out[keys[first]] = np.add.reduceat(rows, first)
+    return out
+
+
+class Learner:
+    """Noise-contrastive passes over all runs of a task, in single precision; a batch shares its drawn groups, and its drawn symbols in each group."""
+
+    def __init__(self, model: LogBilinear, seed: int, done: int = 0, k: int = 16, rate: float = 0.01, decay: float = 0.5):
+        self.model, self.rng, self.k, self.rate, self.decay = model, np.random.default_rng(seed), k, rate, decay
+        self.p = {x: y.astype(np.float32) for x, y in model.p.items()}
+        self.m, self.v = ({x: np.zeros_like(y) for x, y in self.p.items()} for _ in range(2))
+        self.starts, self.ends = np.cumsum(model.group_noise), np.cumsum(model.noise)
+        self.inside = np.log(model.noise / model.group_noise[model.group]).astype(np.float32)
+        self.t, self.done, self.runs = 0, done, 0
+
+    def take(self, runs: np.ndarray) -> None:
+        """Every run once, in random order: small batches at first, larger ones when much was seen."""
+        runs = self.rng.permutation(runs)
+        batch = min(4_096, max(512, len(runs) // 200)) if not self.runs else 16_384
+        for lo in range(0, len(runs), batch):
+            self.step(runs[lo : lo + batch])
+        self.runs += len(runs)
+
+    def told(self, r, own, others, table, bias, noise):
+        """d of the own outcome and of drawn ones: how far each is from being told as data or noise."""
+        log_k = np.float32(math.log(self.k))
+        told = lambda x: 1 / (1 + np.exp(-x))
+        yes = told(np.einsum("bd,bd->b", r, table[own]) + bias[own] - noise[own] - log_k) - 1
+        return yes, told(r @ table[others].T + bias[others] - noise[others] - log_k)
+
+    def step(self, codes: np.ndarray) -> None:
+        p, model, n = self.p, self.model, len(self.model.noise)
+        w = codes % n
+        order = np.argsort(w, kind="stable")
+        codes, w = codes[order], w[order]
+        w2, w1, own = codes // (n * n), codes // n % n, model.group[w]
+        a1, a2 = p["R"][w1], p["R"][w2]
+        r = a1 @ p["C1"] + a2 @ p["C2"]
+        many, d_r, g = len(model.group_noise), np.zeros_like(r), {x: np.zeros_like(y) for x, y in p.items()}
+        groups = np.minimum(np.searchsorted(self.starts, self.rng.random(self.k) * self.starts[-1], "right"), many - 1)
+        spans = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])).tolist() + [len(own)]
+        parts = [(0, len(own), own, groups, "G", "g", np.log(model.group_noise).astype(np.float32))]
+        for a, b in zip(spans, spans[1:]):
+            first = int(own[a]) * model.wide
+            last = min(first + model.wide, n) - 1
+            low = self.ends[first - 1] if first else 0.0
+            symbols = np.clip(np.searchsorted(self.ends, low + self.rng.random(self.k) * (self.ends[last] - low), "right"), first, last)
+            parts.append((a, b, w[a:b], symbols, "Q", "b", self.inside))
+        for a, b, mine, others, q, bias, noise in parts:
+            yes, no = self.told(r[a:b], mine, others, p[q], p[bias], noise)
+            d_r[a:b] += yes[:, None] * p[q][mine] + no @ p[q][others]
+            g[q] += summed(yes[:, None] * r[a:b], mine, len(p[q]))
+            g[bias] += summed(yes, mine, len(p[bias]))
+            np.add.at(g[q], others, no.T @ r[a:b])
+            np.add.at(g[bias], others, no.sum(0))
+        g["C1"], g["C2"] = a1.T @ d_r, a2.T @ d_r
+        for c, at in (("C1", w1), ("C2", w2)):
+            by = np.argsort(at, kind="stable")
+            g["R"] += summed((d_r @ p[c].T)[by], at[by], n)
+        self.t += 1
+        step = np.float32(self.rate / math.sqrt(1 + self.t / 200 + self.done))
+        for x, y in p.items():
+            d = g[x] / np.float32(len(codes))
+            self.m[x] += np.float32(0.1) * (d - self.m[x])
+            self.v[x] += np.float32(0.001) * (d * d - self.v[x])
+            if x in ("G", "Q", "R"):
+                y *= 1 - step * np.float32(self.decay)
+            y -= step * (self.m[x] / np.float32(1 - 0.9**self.t)) / (np.sqrt(self.v[x] / np.float32(1 - 0.999**self.t)) + np.float32(1e-8))
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([y.ravel() for y in self.p.values()])
+
+
+#: Parameters of a row that goes to be averaged, and runs that a task holds at once.
+BLOCK, HELD = 8_192, 1_000_000
+
+
+def passed(docs: DataFrame, vocabulary: Vocabulary, model: LogBilinear, done: int) -> LogBilinear:
+    """The model after every run of every training document was taken once: the tasks' parameters, averaged by their runs."""
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, model))  # FREQUENT words, embedded(N) symbols
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        vocabulary, model = shared.value
+        part, many = TaskContext.get().partitionId(), len(vocabulary.mass)
+        learner, held, size = Learner(model, 1_000 * done + part, done), [], 0
+        for batch in batches:
+            for piece in steps(batch):
+                entry, sizes, _ = vocabulary.tokens_of(piece.column("text").filter(pa.array(training(piece))))
+                if not len(entry):
+                    continue
+                symbols = vocabulary.symbol[entry]
+                last, before = vocabulary.contexts(symbols, sizes)
+                held.append((before * many + last) * many + symbols)
+                size += len(symbols)
+                if size >= (HELD if learner.runs else HELD // 4):
+                    learner.take(np.concatenate(held))
+                    held, size = [], 0
+        if size:
+            learner.take(np.concatenate(held))
+        values = learner.flat()
+        for i in range(0, len(values) if learner.runs else 0, BLOCK):
+            yield pa.RecordBatch.from_pydict({"block": pa.array([i // BLOCK], pa.int32()), "part": pa.array([part], pa.int32()), "n": pa.array([learner.runs], pa.int64()), "values": pa.array([values[i : i + BLOCK].tobytes()], pa.binary())})
+        released()
+
+    def average(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("part")  # so that sums are the same in any order of arrival
+        total, n = 0.0, 0
+        for size, values in zip(rows["n"].to_pylist(), rows["values"]):
+            total, n = total + size * np.frombuffer(values.as_buffer(), np.float32).astype(np.float64), n + size
+        return pa.table({"block": rows["block"].slice(0, 1), "n": pa.array([n], pa.int64()), "values": pa.array([(total / n).tobytes()], pa.binary())})
+
+    found = docs.select("doc_id", "text").mapInArrow(run, "block int, part int, n long, values binary").groupBy("block").applyInArrow(average, "block int, n long, values binary").orderBy("block").toArrow()  # one model
+    return model.set_flat(np.concatenate([np.frombuffer(x, np.float64) for x in found["values"].to_pylist()])) if found.num_rows else model
+
+
 def learn(docs: DataFrame) -> tuple[Vocabulary, LogBilinear, DataFrame]:
     """The words, the model, and the counts of all words."""
     counts = written(word_counts(docs), "word-counts")
@@ -255,7 +366,10 @@ def learn(docs: DataFrame) -> tuple[Vocabulary, LogBilinear, DataFrame]:
     ends = counts.where("word IS NULL").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     frequent = counts.where("word IS NOT NULL AND c > 0").orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
     vocabulary = Vocabulary.of(frequent["word"].to_numpy().view(U), frequent["c"].to_numpy(), int(total["n"]), int(total["v"]), int(ends))
-    return vocabulary, LogBilinear(vocabulary.mass).fit(*drawn_runs(docs, vocabulary)).ready(), counts
+    model = LogBilinear(vocabulary.mass)
+    for done in range(passes(vocabulary.tokens)):
+        model = passed(docs, vocabulary, model, done)
+    return vocabulary, model.ready(), counts
 
 
 def scored(docs: DataFrame, learned: tuple[Vocabulary, LogBilinear, DataFrame] | None = None) -> DataFrame:

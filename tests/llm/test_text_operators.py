@@ -414,6 +414,20 @@ def test_lm_grows_with_the_corpus():
     assert lm.drawn(10**9) == 10 * lm.drawn(10**6)
 
 
+def test_lm_learns_from_every_document(spark, monkeypatch):
+    """The runs of all training documents are taken, however few ``drawn`` would have; and the same again."""
+    monkeypatch.setattr(lm, "drawn", lambda tokens: 1)
+    text = lambda i: " ".join(f"{'abcdefgh'[(i + j) % 8]}" for j in range(60))
+    df = frame(spark, [text(i) for i in range(400)]).repartition(3, "doc_id")
+    learned = lm.learn(df)
+    rows = [r for r in lm.scored(df, learned).collect() if r["held_out"]]
+    assert sum(r["score"] - r["base_score"] for r in rows) > 0.05 * sum(r["n_tokens"] for r in rows)
+    assert all((learned[1].p[x] == y).all() for x, y in lm.learn(df)[1].p.items())
+    learner = lm.Learner(lm.LogBilinear(np.full(30, 10.0)), 1)
+    learner.take(np.arange(0, 27_000, 2))
+    assert learner.runs == 13_500 and np.isfinite(learner.flat()).all()
+
+
 def test_lm_edges(spark):
     rows = lm.scored(frame(spark, [None, "", "A a B", "a\ta"], extra=True)).collect()
     assert {r["doc_id"]: r["n_tokens"] for r in rows} == {0: 1, 1: 1, 2: 4, 3: 3}
