@@ -161,3 +161,18 @@ def test_resampling_draws_what_python_draws(n):
     if n < 1_000:
         data, rng = [1 / (i + 3) for i in range(n)], random.Random(9)
         assert stats.resampled_means(data, 50, 9) == [sum(data[rng.randrange(n)] for _ in range(n)) / n for _ in range(50)]
+
+
+def test_signs_are_counted_as_integers_are():
+    """Against whole numbers; the counts of 1,500 ranks don't fit a double."""
+    from deltaloom.operators import stats
+
+    rng = random.Random(4)
+    for n, top in ((5, 9), (40, 60), (1_500, 12)):
+        ranks = [rng.randrange(1, top) for _ in range(n)]
+        ways = [1]
+        for r in ranks:
+            ways = [a + b for a, b in zip([*ways, *[0] * r], [*[0] * r, *ways])]
+        for low in (0, 1, sum(ranks) // 3, sum(ranks) * 2 // 5, sum(ranks) // 2):
+            want = min(1.0, 2 * sum(ways[: low + 1]) / 2**n)
+            assert stats.signs_below(ranks, low) == pytest.approx(want, rel=1e-12, abs=1e-300) and (n > 40 or stats.signs_below(ranks, low) == want)
