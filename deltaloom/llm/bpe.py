@@ -31,13 +31,13 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_text
+from .common import map_text, released
 
 #: Stands between the symbols of words; no word has it.
 BETWEEN = 512
 BLANK = pa.scalar(" ", pa.large_string())
-#: Text in bytes that is encoded at once: its distinct chunks are met once.
-STEP = 4_000_000
+#: Text in bytes that is encoded at once: its distinct chunks are met once. What a step needs is several times that.
+STEP = 1_000_000
 #: No merge.
 NONE = np.iinfo(np.int32).max
 
@@ -302,7 +302,7 @@ class WordEncoder:
     #: The same for lower-case ASCII without white space; a blank goes behind each match.
     ASCII = r"('s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+)"
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 100_000):
         self.merger, self.most, self.path, self.library = Merger(path), most, path, None
         self.newer = newer_characters()
         special = self.merger.special
@@ -422,6 +422,8 @@ def encoded(docs: DataFrame, path: str, keep_text: bool = False) -> DataFrame:
             columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(sizes), "ids_sha256": pa.array(digests[0], pa.string()), "decoded_sha256": pa.array(digests[1], pa.string())}
             if keep_text:
                 columns |= {"ids": pa.array([list(map(int, x.split())) for x in ids.to_pylist()], pa.list_(pa.int32())), "decoded": tokens.cast(pa.string())}
+            del sizes, ids, tokens
+            released()  # a step's arrays would stay with the worker, beside a heap that other work has filled
             return pa.RecordBatch.from_pydict(columns)
 
         return step

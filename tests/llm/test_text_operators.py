@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deltaloom.llm import bpe, jaccard, lm, mixing, pii, quality, substrings
+from deltaloom.llm.common import steps
 from deltaloom.llm.queries import tokenizer_file
 from deltaloom.llm.words import word_hashes
 
@@ -167,6 +168,19 @@ def test_bpe_rows(spark, library):
     assert bpe.encoded(frame(spark, []), tokenizer_file("word_bpe_49k.json")).count() == 0
 
 
+def test_bpe_worker_memory_is_bounded():
+    rng = np.random.default_rng(5)
+    texts = pa.array([" ".join(map(str, rng.integers(1 << 40, 1 << 41, 1_000).tolist())) for _ in range(600)])  # 8 MB of distinct words
+    encoder, usual = bpe.WordEncoder(tokenizer_file("word_bpe_49k.json")), pa.default_memory_pool()
+    pa.set_memory_pool(counted := pa.proxy_memory_pool(usual))
+    try:
+        for part in steps(pa.record_batch([texts], ["text"]), most=bpe.STEP):
+            encoder.encoded(part.column("text"))
+    finally:
+        pa.set_memory_pool(usual)
+    assert counted.max_memory() < 100_000_000
+
+
 # repeated passages
 
 
