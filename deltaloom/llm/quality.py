@@ -64,9 +64,17 @@ class ByteCnn:
     def forward(self, texts: list[bytes], keep: bool = False):
         p = self.p
         symbols, starts, positions, _ = self.laid_out(texts)
-        x = p["embed"][symbols].reshape(len(symbols), QUAD * DIM)
-        response = x @ p["first"]
-        response[:-1] += (x @ p["second"])[1:]
+        if keep:
+            x = p["embed"][symbols].reshape(len(symbols), QUAD * DIM)
+            response = x @ p["first"]
+            response[:-1] += (x @ p["second"])[1:]
+        else:  # by tables, in one order: a large product rounds by its number of rows, so a text's score would depend on its batch
+            first, second = ([p["embed"] @ p[side][j * DIM : (j + 1) * DIM] for j in range(QUAD)] for side in ("first", "second"))
+            response, ahead = first[0][symbols[:, 0]], symbols[1:]
+            for j in range(1, QUAD):
+                response += first[j][symbols[:, j]]
+            for j in range(QUAD):
+                response[:-1] += second[j][ahead[:, j]]
         response += p["bias"]
         # half windows of each document; the last position of a document is padding and belongs to none
         halves = np.maximum(1, -(-positions // WINDOW))
@@ -88,10 +96,9 @@ class ByteCnn:
         mean = np.add.reduceat(windows, window_first, axis=0) / counts[:, None]
         most = np.maximum.reduceat(windows, window_first, axis=0)
         features = np.concatenate([mean, most], axis=1)
-        logits = features @ p["out"] + p["shift"][0]
         if not keep:
-            return logits
-        return logits, (symbols, x, response, half_start, use, owner, windows, window_owner, counts, window_first, features, most, pooled, starts, positions)
+            return (features * p["out"]).sum(axis=1) + p["shift"][0]
+        return features @ p["out"] + p["shift"][0], (symbols, x, response, half_start, use, owner, windows, window_owner, counts, window_first, features, most, pooled, starts, positions)
 
     def gradients(self, texts: list[bytes], labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         p = self.p

@@ -586,3 +586,14 @@ def test_quality_edges(spark):
     assert scores[0] == scores[1] and scores[2] == scores[3]
     long = quality.ByteCnn().scores([b"ab" * 200_000, b"", b"x"])
     assert len(long) == 3 and np.isfinite(long).all()
+
+
+def test_quality_score_of_a_text_does_not_depend_on_its_batch():
+    rng = random.Random(3)
+    texts = [noise(rng, rng.randrange(60)).encode() for _ in range(300)]
+    net = quality.ByteCnn()
+    net.p["out"] = np.linspace(-1, 1, 2 * quality.FILTERS).astype(np.float32)
+    together = net.scores(texts)
+    assert together.tolist() == [net.scores([t])[0] for t in texts] and together.tolist() == net.scores(texts, most=900).tolist()
+    prob = 1 / (1 + np.exp(-net.forward(texts, keep=True)[0].astype(np.float64)))
+    assert np.allclose(together, prob, atol=1e-5)
