@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_text, released
+from .common import map_text, trimmed
 
 #: Stands between the symbols of words; no word has it.
 BETWEEN = 512
@@ -302,7 +302,7 @@ class WordEncoder:
     #: The same for lower-case ASCII without white space; a blank goes behind each match.
     ASCII = r"('s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+)"
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = 200_000):
         self.merger, self.most, self.path, self.library = Merger(path), most, path, None
         self.newer = newer_characters()
         special = self.merger.special
@@ -423,7 +423,7 @@ def encoded(docs: DataFrame, path: str, keep_text: bool = False) -> DataFrame:
             if keep_text:
                 columns |= {"ids": pa.array([list(map(int, x.split())) for x in ids.to_pylist()], pa.list_(pa.int32())), "decoded": tokens.cast(pa.string())}
             del sizes, ids, tokens
-            released()  # a step's arrays would stay with the worker, beside a heap that other work has filled
+            trimmed()  # a step's arrays would stay with the worker, beside a heap that other work has filled
             return pa.RecordBatch.from_pydict(columns)
 
         return step
