@@ -238,8 +238,8 @@ def last_states(spark: SparkSession, sf: str) -> DataFrame:
 SQL["last_states"] = f"{W} SELECT trace_id, seed, condition, max_by(role, iteration) AS role, max(iteration) AS turns FROM j GROUP BY ALL"
 
 
-def streamed(rows: DataFrame, name: str, through) -> DataFrame:
-    """``rows`` written as files that hold any turns, taken two files at a time, and what ``through`` makes of that stream."""
+def streamed(rows: DataFrame, name: str, through) -> tuple[DataFrame, DataFrame]:
+    """``rows`` written as files that hold any turns, taken two files at a time: the written rows, and what ``through`` makes of that stream."""
     import uuid
 
     from ..operators.graph import shared_folder
@@ -250,14 +250,14 @@ def streamed(rows: DataFrame, name: str, through) -> DataFrame:
     stream = through(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in"))
     query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    return spark.read.schema(rows.schema).parquet(f"{folder}/in"), spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 def stream_turn_state(spark: SparkSession, sf: str) -> DataFrame:
     """The streaming operator over the judged turns, in files of no order."""
     from ..streaming.turn_state import turn_states
 
-    return streamed(judged(spark, sf), "turn-state", turn_states)
+    return streamed(judged(spark, sf), "turn-state", turn_states)[1]
 
 
 SQL["stream_turn_state"] = f"{W} SELECT trace_id, seed, condition, iteration, caught, surviving FROM q"
@@ -273,7 +273,7 @@ def stream_replay(spark: SparkSession, sf: str) -> DataFrame:
     begin = rows.select("trace_id", "seed").distinct().select("trace_id", "seed", F.lit(0).alias("iteration"), F.lit("init").alias("kind"), F.lit(None).cast("string").alias("known"), F.lit("start").alias("digest"))
     both = [side.union(begin).withColumn("side", F.lit(name)) for name, side in (("expected", rows), ("seen", seen))]
     records = both[0].union(both[1])
-    return complete(records, streamed(records, "replay", compared))
+    return complete(*streamed(records, "replay", compared))
 
 
 SQL["stream_replay"] = f"""{W},
