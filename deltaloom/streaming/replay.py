@@ -85,12 +85,16 @@ def compared(records: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def leftovers(records: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of ``records`` (a table) that the stream never took: turns that only one side has, and what comes behind a gap."""
-    return records.where("kind <> 'init'").join(found.select(*KEYS, "iteration"), [*KEYS, "iteration"], "left_anti")
+    """Rows of ``records`` (a table) that the stream never took: turns that only one side has, and what comes behind a gap.
+    Both sides are sorted: turns take so little room in files that they would be taken for a small table, and be held by the driver."""
+    return records.where("kind <> 'init'").join(found.select(*KEYS, "iteration").hint("merge"), [*KEYS, "iteration"], "left_anti")
 
 
 def complete(records: DataFrame, found: DataFrame) -> DataFrame:
-    """``found``, if nothing is left over; else an error that names one row."""
+    """``found``, if nothing is left over; else an error that names one row. A turn that was taken is one row of each side, and
+    none comes twice, so nothing is left over where the counts agree, and nothing is joined."""
+    if records.where("NOT kind <=> 'init'").count() == 2 * found.count():
+        return found
     first = leftovers(records, found).select(*KEYS, "iteration", "side").limit(1).collect()
     if first:
         raise ValueError(f"left over: {first[0].asDict()}")
