@@ -47,6 +47,8 @@ from .words import U, by_text, mixed, shingles, word_hashes
 WORDS, PERCENT = 4, 85
 #: Text of a group that one task takes, and half of what one takes of a group that is dealt in blocks.
 GROUP_BYTES, BLOCK_BYTES = 8 << 20, 4 << 20
+#: So many keys, of 8 bytes, may be broadcast so that texts that nobody asks for aren't shuffled; with more, all texts are.
+FEW_KEYS = 1 << 20
 
 
 class Sizes:
@@ -294,11 +296,15 @@ def in_blocks(texts: DataFrame, placed: DataFrame, k: int, percent: int) -> Data
 def one_text_each(texts: DataFrame, sets: DataFrame, placed: DataFrame) -> DataFrame:
     """(grp, blocks, node, text): one text for each node of ``placed``, however many rows repeat its document.
 
-    Texts are shuffled once, at every size and whatever the groups are, and only those of groups are kept. Where rows meet
+    Texts are shuffled once, whatever the groups are, and only those of groups are kept; where there are few of those, others are
+    left out before, by a hash of their document, and what is left meets its node exactly. Where rows meet
     their node, one is enough, which needs no further shuffle. A document that is repeated in more than ``1 / HUBS`` of
     all rows is one row from each task before it is shuffled.
     """
     name, total = ["doc_id", "th"], sets.count()
+    if placed.count() <= FEW_KEYS:
+        asked = F.broadcast(placed.select(F.xxhash64("rep", "rep_th").alias("_asked")).distinct())
+        texts = texts.withColumn("_asked", F.xxhash64("doc_id", "th")).join(asked, "_asked", "left_semi").drop("_asked")
     hot = sets.groupBy(*name).count().where(F.col("count") > max(HUB, total // HUBS)).select(*name)
     hot = written(hot.join(placed.select(F.col("rep").alias("doc_id"), F.col("rep_th").alias("th")), name, "left_semi"), "repeated-rows")
 
@@ -359,10 +365,22 @@ def one_of_each(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
     ids = docs.select(key.alias("_kept_key"), F.col("doc_id").cast("long").alias("id")).distinct()
     smallest = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "_kept_key"))
     kept = linked.join(ids, "_kept_key").groupBy("component_id").agg(smallest.alias("kept")).select("kept._kept_key")
-    # one shuffle of rows by their key, at every size: the aggregation that follows needs no other
-    rows = docs.select(F.struct("*").alias("row"), key.alias("_kept_key")).join(kept.hint("merge"), "_kept_key", "left_semi")
+    keys = docs.select(key.alias("_kept_key")).groupBy("_kept_key").agg(F.count("*").alias("n")).join(kept.withColumn("stays", F.lit(True)), "_kept_key", "left")
+    keys = written(keys.select("_kept_key", F.coalesce("stays", F.lit(False)).alias("stays"), "n"), "document-keys")
+    stays, again = F.col("stays"), F.col("stays") & (F.col("n") > 1)
+    many = keys.agg(F.count_if(stays).alias("stay"), F.count_if(~stays).alias("go"), F.count_if(again).alias("again")).first()
+    rows = docs.select(F.struct("*").alias("row"), key.alias("_kept_key"))
     others = F.to_json(F.struct(*[F.col("row").getField(c) for c in docs.columns if c not in ("doc_id", "text")], F.lit(0)))
-    return rows.groupBy("_kept_key").agg(F.min_by("row", others).alias("row")).select("row.*")
+    least = lambda rows: rows.groupBy("_kept_key").agg(F.min_by("row", others).alias("row")).select("row.*")
+    if min(many["stay"], many["go"]) > FEW_KEYS or many["again"] > FEW_KEYS:
+        # one shuffle of rows by their key: the aggregation that follows needs no other
+        return least(rows.join(keys.where(stays).select("_kept_key").hint("merge"), "_kept_key", "left_semi"))
+    # rows stay where they are but for those that repeat a document
+    few = lambda which: F.broadcast(keys.where(which).select("_kept_key"))
+    rows = rows.join(few(~stays), "_kept_key", "left_anti") if many["go"] <= many["stay"] else rows.join(few(stays), "_kept_key", "left_semi")
+    if not many["again"]:
+        return rows.select("row.*")
+    return rows.join(few(again), "_kept_key", "left_anti").select("row.*").union(least(rows.join(few(again), "_kept_key", "left_semi")))
 
 
 OP4_SQL = r"""
